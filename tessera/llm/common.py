@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -121,7 +122,7 @@ class _Index(dict):
 class WordTable:
     """Ragged integer rows computed once per distinct word, in bounded memory.
 
-    ``compute(words)`` returns one integer sequence per word. Beyond ``limit`` words the table
+    ``compute(words)`` returns one sequence per word, or all of them joined and their sizes. Beyond ``limit`` words the table
     starts anew between texts; results never depend on what it holds.
     """
 
@@ -149,7 +150,11 @@ class WordTable:
     def _add(self, words: list) -> None:
         done = len(self.index) - len(words)
         parts = self.compute(words)
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        if isinstance(parts, tuple):
+            flat, sizes = parts
+        else:
+            sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+            flat = np.fromiter(chain.from_iterable(parts), self.dtype, int(sizes.sum()))
         total = int(sizes.sum())
         if self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(self.used + total, self.dtype)])
@@ -157,11 +162,9 @@ class WordTable:
             more = len(self.index)
             self.start = np.concatenate([self.start, np.zeros(more, np.int64)])
             self.size = np.concatenate([self.size, np.zeros(more, np.int32)])
-        at = self.used + np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(parts) else np.zeros(0)
-        self.start[done : done + len(parts)] = at
-        self.size[done : done + len(parts)] = sizes
-        if total:
-            self.flat[self.used : self.used + total] = np.concatenate([np.asarray(p, self.dtype) for p in parts if len(p)])
+        self.start[done : done + len(words)] = self.used + np.cumsum(sizes) - sizes
+        self.size[done : done + len(words)] = sizes
+        self.flat[self.used : self.used + total] = flat
         self.used += total
 
     def gather(self, rows: np.ndarray) -> np.ndarray:

@@ -5,7 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import common, exact_dedup, license_scan, packing
+from tessera.llm import common, exact_dedup, language_id, license_scan, packing, quality, toxicity
+
+#: Scores from which a query predicts class 1.
+THRESHOLD = 0.7
+
+
+def _scored(scores: DataFrame, held_out) -> DataFrame:
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
+    held_out = common.fold("doc_id", 3) == 1
+    return _scored(toxicity.score(docs, toxicity.train(docs, labels, ~held_out)), held_out)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +26,19 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    held_out = common.fold("doc_id", 4) == 2
+    found = language_id.predict(docs, language_id.train(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
+    held_out = common.fold("doc_id", 4) == 2
+    return _scored(quality.score(docs, quality.train(docs, labels, ~held_out)), held_out)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(common.table(spark, sf_dir, "documents"))
 
@@ -30,7 +56,7 @@ FROM d WINDOW w AS (PARTITION BY norm)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_packing, op7_exact_dedup, op10_license_scan)}
+    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_language_id, op6_quality, op7_exact_dedup, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
