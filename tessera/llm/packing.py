@@ -17,7 +17,9 @@ null id; repeated rows are packed as often as they occur; an empty table gives n
 
 from __future__ import annotations
 
+import gc
 import heapq
+import os
 import re
 from collections.abc import Iterator
 
@@ -47,19 +49,66 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: After lower-casing: what the vocabulary's pre-tokenizer makes of characters up to U+00FF.
+PLAIN = re.compile("[\x21-\x7e\xa1-\xff]+")
+PRETOKEN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\\sa-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
+
+
 class Encoder:
-    """Ids of whole texts; the tokenizer runs once per distinct white-space chunk.
+    """Ids of whole texts; the tokenizer runs once per distinct pre-token.
 
     The vocabulary's pre-tokenizer never joins characters across white space, so a text's ids
-    are its chunks' ids in order.
+    are its chunks' ids in order, and a chunk's ids are its pre-tokens'. Chunks with a character
+    beyond U+00FF, or that spell a special token, go to the tokenizer as they are.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        run = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        self.words = common.WordTable(lambda words: [e.ids for e in run(words, add_special_tokens=False)])
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.light = Tokenizer.from_file(path)
+        self.light.normalizer = None
+        self.light.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.words = common.WordTable(self._chunks, limit=700_000)
+        self.known: dict[str, list[int]] = {}
+
+    def _chunks(self, chunks: list[str]) -> list[list[int]]:
+        gc.disable()  # many small lists and no cycles
+        try:
+            return self._ids(chunks)
+        finally:
+            gc.enable()
+
+    def _ids(self, chunks: list[str]) -> list[list[int]]:
+        if len(self.known) > 700_000:
+            self.known = {}
+        split = [PRETOKEN.findall(c.lower()) if PLAIN.fullmatch(c) and not ("<" in c and any(s in c for s in self.special)) else None for c in chunks]
+        known = self.known
+        fresh = list({p for parts in split if parts for p in parts if p not in known})
+        if fresh:
+            joined = [" ".join(fresh[k : k + 2000]) for k in range(0, len(fresh), 2000)]
+            ids = np.array([i for e in self.light.encode_batch_fast(joined, add_special_tokens=False) for i in e.ids])
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(fresh):
+                raise RuntimeError("a pre-token has no end mark in the vocabulary")
+            flat, a = ids.tolist(), 0
+            for p, b in zip(fresh, ends.tolist()):
+                known[p] = flat[a:b]
+                a = b
+        out = []
+        for chunk, parts in zip(chunks, split):
+            if parts is None:
+                out.append(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
+            elif len(parts) == 1:
+                out.append(known[parts[0]])
+            else:
+                out.append([i for p in parts for i in known[p]])
+        return out
 
     def __call__(self, text: str) -> np.ndarray:
         if ODD_SPACE.search(text):
