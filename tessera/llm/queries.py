@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import common, exact_dedup, language_id, license_scan, packing, quality, toxicity
+from tessera.llm import common, exact_dedup, language_id, license_scan, near_dedup, packing, quality, toxicity
 
 #: Scores from which a query predicts class 1.
 THRESHOLD = 0.7
@@ -33,6 +33,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.components(common.table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
     held_out = common.fold("doc_id", 4) == 2
@@ -56,7 +60,7 @@ FROM d WINDOW w AS (PARTITION BY norm)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_language_id, op6_quality, op7_exact_dedup, op10_license_scan)}
+    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_language_id, op5_near_dedup, op6_quality, op7_exact_dedup, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
