@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import common, exact_dedup, language_id, license_scan, near_dedup, packing, quality, toxicity
+from tessera.llm import common, exact_dedup, language_id, license_scan, line_dedup, near_dedup, packing, quality, toxicity, warc_zip
 
 #: Scores from which a query predicts class 1.
 THRESHOLD = 0.7
@@ -33,6 +33,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.remove_repeated_lines(common.table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_removed", F.length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.components(common.table(spark, sf_dir, "documents"), k=2, percent=80)
 
@@ -47,6 +52,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(common.table(spark, sf_dir, "documents"))
 
 
+def op8_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zip.round_trip(spark, common.table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(common.table(spark, sf_dir, "documents")).drop("spans")
 
@@ -58,10 +67,26 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM d WINDOW w AS (PARTITION BY norm)
 """
 
+# the digest's 160 bits in groups of five, by the alphabet A-Z 2-7
+OP8_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+h AS (SELECT page_id, body, sha1(body) AS hx, min(page_id) OVER (PARTITION BY body) AS first_id FROM p),
+b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i:
+        ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111']
+        [strpos('0123456789abcdef', substr(hx, i, 1))]), '') AS bits FROM h)
+SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1
+    + 16 * CAST(substr(bits, 5 * k + 1, 1) AS INT) + 8 * CAST(substr(bits, 5 * k + 2, 1) AS INT) + 4 * CAST(substr(bits, 5 * k + 3, 1) AS INT)
+    + 2 * CAST(substr(bits, 5 * k + 4, 1) AS INT) + CAST(substr(bits, 5 * k + 5, 1) AS INT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+FROM b
+"""
+
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_language_id, op5_near_dedup, op6_quality, op7_exact_dedup, op10_license_scan)}
+    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_language_id, op4_line_dedup, op5_near_dedup, op6_quality, op7_exact_dedup, op8_warc_zip, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL}
+    return {"op7_exact_dedup": OP7_SQL, "op8_warc_zip": OP8_SQL}
