@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import common, exact_dedup, language_id, license_scan, line_dedup, near_dedup, packing, quality, toxicity, warc_zip
+from tessera.llm import common, decontaminate, exact_dedup, language_id, license_scan, line_dedup, near_dedup, packing, quality, toxicity, warc_zip
 
 #: Scores from which a query predicts class 1.
 THRESHOLD = 0.7
@@ -56,6 +56,11 @@ def op8_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zip.round_trip(spark, common.table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.matches(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", *[F.round(c, 6).alias(c) for c in ("cosine", "cover", "answer_cover")])
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(common.table(spark, sf_dir, "documents")).drop("spans")
 
@@ -85,7 +90,7 @@ FROM b
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_language_id, op4_line_dedup, op5_near_dedup, op6_quality, op7_exact_dedup, op8_warc_zip, op10_license_scan)}
+    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_language_id, op4_line_dedup, op5_near_dedup, op6_quality, op7_exact_dedup, op8_warc_zip, op9_decontamination, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
