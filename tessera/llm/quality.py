@@ -81,7 +81,7 @@ class Model:
 
 def _sum(row: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """Sums of ``values`` by ``row``, which ascends."""
-    out = np.zeros((n, *values.shape[1:]))
+    out = np.zeros((n, *values.shape[1:]), values.dtype)
     if len(row):
         first = np.concatenate([[0], np.flatnonzero(np.diff(row)) + 1])
         out[row[first]] = np.add.reduceat(values, first, axis=0)
@@ -111,13 +111,13 @@ def fit(label: np.ndarray, ids: list[np.ndarray], stats: np.ndarray) -> Model:
     row, flat = np.repeat(np.arange(len(ids)), size), np.concatenate([*ids, np.zeros(0, np.int32)])
     seen = np.bincount(flat, minlength=words)
     model.v[:words][seen == 0] = 0  # words that training never met have no part in a score
-    x, dense = np.repeat(1 / np.sqrt(np.maximum(size, 1)), size), model.dense(stats)
+    x, dense = np.repeat(1 / np.sqrt(np.maximum(size, 1)), size).astype(np.float32), model.dense(stats).astype(np.float32)
     used = np.flatnonzero(seen)
     new = np.zeros(words, np.int64)
     new[used] = np.arange(len(used))
     col = new[flat]
-    small = Model(np.concatenate([model.w[:words][used], model.w[words:]]), np.concatenate([model.v[:words][used], model.v[words:]]), 0.0, None, None)
-    share = np.where(label == 1, 0.5 / label.sum(), 0.5 / (1 - label).sum())
+    small = Model(*(np.concatenate([p[:words][used], p[words:]]).astype(np.float32) for p in (model.w, model.v)), 0.0, None, None)  # halves the largest arrays
+    share = np.where(label == 1, 0.5 / label.sum(), 0.5 / (1 - label).sum()).astype(np.float32)
     k, moments = len(used), [0.0] * 6
     by_word = np.argsort(col, kind="stable")
     sorted_col = col[by_word]
@@ -126,14 +126,14 @@ def fit(label: np.ndarray, ids: list[np.ndarray], stats: np.ndarray) -> Model:
         total = _sum(row, part, len(label)) + dense @ small.v[k:]
         square = _sum(row, (part * part).sum(1), len(label)) + (dense**2) @ (small.v[k:] ** 2).sum(1)
         y = small.bias + _sum(row, small.w[col] * x, len(label)) + dense @ small.w[k:] + 0.5 * ((total**2).sum(1) - square)
-        g = (1 / (1 + np.exp(-np.clip(y, -30, 30))) - label) * share
+        g = ((1 / (1 + np.exp(-np.clip(y, -30, 30))) - label) * share).astype(np.float32)
         gx = g[row] * x
         gw = np.concatenate([_sum(sorted_col, gx[by_word], k), dense.T @ g]) + PENALTY * small.w
         gv = np.concatenate([_sum(sorted_col, (gx[:, None] * total[row] - part * gx[:, None])[by_word], k), dense.T @ (g[:, None] * total) - small.v[k:] * ((dense**2).T @ g)[:, None]]) + PENALTY * small.v
         for j, (name, grad) in enumerate((("w", gw), ("v", gv), ("bias", float(g.sum())))):
             moments[j] = 0.9 * moments[j] + 0.1 * grad
             moments[j + 3] = 0.999 * moments[j + 3] + 0.001 * grad * grad
-            step = RATE * math.sqrt(1 - 0.999**t) / (1 - 0.9**t) * moments[j] / (np.sqrt(moments[j + 3]) + 1e-8)
+            step = np.float32(RATE * math.sqrt(1 - 0.999**t) / (1 - 0.9**t)) * moments[j] / (np.sqrt(moments[j + 3]) + np.float32(1e-8))
             setattr(small, name, getattr(small, name) - step)
     model.w[:words][used], model.w[words:] = small.w[:k], small.w[k:]
     model.v[:words][used], model.v[words:] = small.v[:k], small.v[k:]
