@@ -169,3 +169,22 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield common.arrow_batch({"doc_id": batch.column(0), "score": 1 / (1 + np.exp(-np.clip(y, -30, 30)))}, {"doc_id": pa.int64(), "score": pa.float64()})
 
     return common.columns_or_null(docs, doc_id="long", text="string", n_chars="long").mapInArrow(run, "doc_id long, score double")
+
+
+def keep(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
+    """The rows that score ``threshold`` or more, with all their columns.
+
+    Rows without id are judged like others; a table without n_chars counts the texts itself.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, table = shared.value, word_table()
+        for batch in common.blocks(batches):
+            at = batch.schema.get_field_index("n_chars")
+            recorded = batch.column(at).cast(pa.int64()).to_pylist() if at >= 0 else [None] * batch.num_rows
+            got = [features(table, t, n) for t, n in zip(common.raw_texts(batch), recorded)]
+            y = own.margins([a for a, _ in got], np.array([b for _, b in got]).reshape(-1, STATS))
+            yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(y, -30, 30))) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
