@@ -88,6 +88,11 @@ class Model:
         return float(1 / (1 + np.exp(-min(max(z, -30), 30))))
 
 
+def log_ratio(toxic, clean, n_toxic: int, n_clean: int) -> np.ndarray:
+    """Naive Bayes log-count ratio of features held by so many toxic and clean texts."""
+    return np.log((toxic + 1.0) / (n_toxic + 2.0)) - np.log((clean + 1.0) / (n_clean + 2.0))
+
+
 def fit(label: np.ndarray, size: np.ndarray, flat: np.ndarray) -> Model:
     """From 0/1 labels and the joined features of the training texts."""
     weight = np.zeros(1 << BITS)
@@ -97,8 +102,7 @@ def fit(label: np.ndarray, size: np.ndarray, flat: np.ndarray) -> Model:
     row = np.repeat(np.arange(len(label)), size)
     toxic = np.bincount(flat[label[row] == 1], minlength=1 << BITS)
     clean = np.bincount(flat[label[row] == 0], minlength=1 << BITS)
-    p, q = (toxic + 1.0) / (label.sum() + 2.0), (clean + 1.0) / ((1 - label).sum() + 2.0)
-    ratio = np.log(p / q)
+    ratio = log_ratio(toxic, clean, label.sum(), (1 - label).sum())
     used = (toxic + clean >= MIN_TEXTS) & (abs(ratio) >= MIN_RATIO)
     new = np.cumsum(used) - 1
     kept = used[flat]
@@ -119,19 +123,44 @@ def fit(label: np.ndarray, size: np.ndarray, flat: np.ndarray) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: Column, per_class: int = PER_CLASS) -> Model:
-    """Fit on about ``per_class`` rows of each class; at most those features reach the driver."""
+    """Fit on about ``per_class`` rows of each class.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = common.WordTable(ngrams)
+    Counts of all features are summed on the executors; the driver gets 2**BITS counts at most,
+    and then of every training text only the features that those select.
+    """
+    sample = common.labelled_sample(docs, labels, "toxic", rows, per_class).select("label", "text")
+    sample = common.materialize(sample.repartition(8), "toxic-sample")  # bounded rows
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, n = common.WordTable(ngrams), np.zeros((2, 1 << BITS), np.int64)
+        for batch in common.blocks(batches):
+            for label, text in zip(batch.column(0).to_pylist(), common.texts(batch)):
+                n[int(label > 0), features(table, text)] += 1
+        some = np.flatnonzero(n.sum(0))
+        yield common.arrow_batch({"id": some, "clean": n[0, some], "toxic": n[1, some]}, {"id": pa.int32(), "clean": pa.int64(), "toxic": pa.int64()})
+
+    n = {r["toxic"]: r["count"] for r in sample.groupBy((F.col("label") > 0).alias("toxic")).count().collect()}
+    counted = sample.mapInArrow(count, "id int, clean long, toxic long").groupBy("id").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    got = counted.where(F.col("clean") + F.col("toxic") >= MIN_TEXTS).toArrow()
+    ids, clean, toxic = (got[c].to_numpy() for c in ("id", "clean", "toxic"))
+    select = np.zeros(1 << BITS, bool)
+    select[ids] = abs(log_ratio(toxic, clean, n.get(True, 0), n.get(False, 0))) >= MIN_RATIO
+
+    def selected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def compute(words):
+            flat, sizes = ngrams(words)
+            own = select[flat]
+            return flat[own], np.bincount(np.repeat(np.arange(len(words)), sizes)[own], minlength=len(words))
+
+        table = common.WordTable(compute)
         for batch in common.blocks(batches):
             yield common.arrow_batch({"label": batch.column(0), "ids": [features(table, t).astype(np.int32).tobytes() for t in common.texts(batch)]}, {"label": pa.int32(), "ids": pa.binary()})
 
-    sample = common.labelled_sample(docs, labels, "toxic", rows, per_class).select("label", "text")
-    got = sample.mapInArrow(run, "label int, ids binary").toArrow()
-    ids = [np.frombuffer(b, np.int32) for b in got["ids"].to_pylist()]
-    order = sorted(range(len(ids)), key=lambda k: ids[k].tobytes())  # the same sums at every run
-    label = np.array(got["label"].to_pylist(), np.int64).clip(0, 1)[order] if ids else np.zeros(0, np.int64)
-    ids = [ids[k] for k in order]
+    got = sample.mapInArrow(selected, "label int, ids binary").toArrow()
+    texts = sorted(zip(got["ids"].to_pylist(), got["label"].to_pylist()))  # the same sums at every run
+    common.release(sample)
+    ids = [np.frombuffer(b, np.int32) for b, _ in texts]
+    label = np.array([k for _, k in texts], np.int64).clip(0, 1)
     return fit(label, np.array([len(x) for x in ids], np.int64), np.concatenate([*ids, np.zeros(0, np.int32)]))
 
 
