@@ -37,7 +37,7 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 def words(chunk: str) -> list[str]:
     """Runs of letters, lower case."""
-    return [w for w in _LETTERS.findall(chunk.lower()) if any(map(str.isalpha, w))]
+    return [w for w in _LETTERS.findall(chunk.lower()) if w.isalpha() or any(map(str.isalpha, w))]
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -49,7 +49,8 @@ class Model:
     def __init__(self, counts: dict[str, dict[int, Counter]]):
         """counts: language to order (0 for words) to what was counted."""
         self.languages = sorted(counts)
-        self.logs: dict[int, dict[str, np.ndarray]] = {}
+        self.place: dict[int, dict[str, int]] = {}
+        self.logs: dict[int, np.ndarray] = {}
         for order in (0, *ORDERS):
             kept = defaultdict(lambda: np.zeros(len(self.languages)))
             for k, language in enumerate(self.languages):
@@ -61,27 +62,45 @@ class Model:
                 for gram in kept:
                     kept[gram][k] = own.get(gram, 0)
             total = sum(kept.values(), np.zeros(len(self.languages)))
-            self.logs[order] = {g: np.log((c + SMOOTH) / (total + SMOOTH * len(kept))).astype(np.float32) for g, c in kept.items()}
-
-    def word(self, word: str) -> np.ndarray:
-        """Log frequency of the word in each language."""
-        known = self.logs[0].get(word)
-        if known is not None:
-            return known
+            self.place[order] = {g: k for k, g in enumerate(kept)}
+            logs = [np.log((c + SMOOTH) / (total + SMOOTH * len(kept))) for c in kept.values()]
+            self.logs[order] = np.array(logs, np.float32).reshape(-1, len(self.languages))
+
+    def words(self, own: list[str]) -> np.ndarray:
+        """Log frequencies of words, a row each and a column per language."""
+        at = np.fromiter((self.place[0].get(w, -1) for w in own), np.int64, len(own))
+        out = np.zeros((len(own), len(self.languages)), np.float32)
+        out[at >= 0] = self.logs[0][at[at >= 0]]
+        left = np.flatnonzero(at < 0).tolist()
         for n in ORDERS:
-            found = [x for x in (self.logs[n].get(g) for g in grams(word, n)) if x is not None]
-            if found:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.languages), np.float32)
+            known, found, size = self.place[n], [], []
+            for k in left:
+                some = [x for x in map(known.get, grams(own[k], n)) if x is not None]
+                found += some
+                size.append(len(some))
+            size = np.array(size, np.int64)
+            hit = np.flatnonzero(size)
+            if len(hit):
+                sums = np.add.reduceat(self.logs[n][found], (np.cumsum(size) - size)[hit], axis=0)
+                out[np.array(left)[hit]] = sums / size[hit, None]
+            left = [k for k, x in zip(left, size.tolist()) if not x]
+        return out
 
     def table(self) -> common.WordTable:
         """A chunk to its words' summed log frequencies, and how many words it has."""
 
-        def row(chunk):
-            own = words(chunk)
-            return [*sum((self.word(w) for w in own), np.zeros(len(self.languages))), float(len(own))]
-
-        return common.WordTable(lambda chunks: [row(c) for c in chunks], limit=200_000, dtype=np.float32)
+        def compute(chunks):
+            split = [words(c) for c in chunks]
+            size = np.fromiter(map(len, split), np.int64, len(split))
+            out = np.zeros((len(chunks), len(self.languages) + 1), np.float32)
+            out[:, -1] = size
+            full = np.flatnonzero(size)
+            if len(full):
+                own = self.words([w for part in split for w in part])
+                out[full, :-1] = np.add.reduceat(own, (np.cumsum(size) - size)[full], axis=0)
+            return out.ravel(), np.full(len(chunks), out.shape[1])
+
+        return common.WordTable(compute, limit=700_000, dtype=np.float32)
 
     def predict(self, table: common.WordTable, text: str) -> tuple[str, float]:
         width = len(self.languages) + 1
