@@ -1,15 +1,19 @@
-"""Registered queries of the retrieval operators and their SQL."""
+"""All registered queries of the retrieval operators and their SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 
-def entry(spark, sf_dir):
-    raise NotImplementedError
+from tessera.plans import search
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.two_stage_search(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return dict(search.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(search.SQL)
