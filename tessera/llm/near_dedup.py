@@ -8,13 +8,16 @@ similarity reaches PERCENT / 100 (compared in integers).
   take 2 * TABLES * WIDTH minhashes in place of TABLES**2 * 2 * WIDTH. Two sets of similarity s share
   a key with probability (1 - (1 - s**WIDTH)**TABLES)**2, 0.9985 at s = 0.8.
 * Classes. Equal sets are one class, so a group of copies is one node however large it is.
-* Candidates. Within a bucket every class is paired with the bucket's smallest only. Pairs are
-  confirmed on the full sets; the minhashes first drop pairs that agree on under half of them
-  (at s = 0.8 that is a chance of 1e-8).
-* The rest. Buckets whose classes are not yet one component may hide links. In buckets of at most
-  SMALL classes all pairs across components are tried; larger ones are split by further minhashes
-  (SPLITS copies, each keeping a pair together with probability s) and treated alike, up to LEVELS
-  times, and what is then still large is tried pair by pair.
+* Candidates. Buckets are read in order of (key, id) from range partitions, so a bucket of any size
+  is cut over tasks and passes by as a stream. Beside the id, a row has the set's size and two bits
+  of each minhash; pairs whose sizes allow the similarity and whose bits agree in LIKELY places (at
+  s = 0.8 all but 3 in 100,000) are candidates. Buckets of up to SMALL sets try all their pairs. In
+  larger ones every set is tried against leaders, which are sets that are unlike all earlier
+  leaders, and sets that resemble their leader only moderately also with their predecessor; so pairs
+  grow with the bucket and not with its square. Leaders of buckets that a partition's edge cuts are
+  brought together once more.
+* Links. Candidates are confirmed on the full sets. Components of the links are found by large-star
+  and small-star steps.
 
 Defined results: null and empty texts and texts without words have an empty set and are linked with
 nothing; with fewer words than the shingle length the whole sequence is one shingle. Rows that
@@ -29,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import common
@@ -37,8 +40,9 @@ from tessera.llm import common
 SHINGLE, PERCENT = 5, 80
 TABLES, WIDTH, SEED = 10, 3, 11
 HASHES = 2 * TABLES * WIDTH
-#: Classes of a bucket that are paired across components; copies of a split; splits in a row.
-SMALL, SPLITS, LEVELS = 32, 4, 3
+#: Sets of a bucket whose pairs are all tried; places of HASHES that agree in a likely pair, and in a
+#: pair that needs no second partner; rows that a task holds.
+SMALL, LIKELY, SURE, HELD = 8, 40, 54, 100_000
 
 _RNG = np.random.default_rng(SEED)
 MULTIPLY = _RNG.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -70,7 +74,7 @@ def shingles(table: common.WordTable, text: bytes, k: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, set_hash, a, b, mins) of every row."""
+    """(doc_id, n_shingles, set_hash, a, b, s1, s2) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = word_table()
@@ -88,7 +92,8 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
             for j in range(1, WIDTH):
                 key = _mix(key) * _ODD + keys[:, :, j]
             key = key.view(np.int64)
-            own = (mins >> np.uint64(32)).astype("<u4")
+            two = (_mix(mins) & np.uint64(3)) << (np.uint64(2) * (np.arange(HASHES, dtype=np.uint64) % np.uint64(30)))
+            two = np.bitwise_or.reduce(two.reshape(len(sets), 2, 30), axis=2).view(np.int64)
             yield common.arrow_batch(
                 {
                     "doc_id": batch.column(0),
@@ -96,36 +101,159 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                     "set_hash": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
                     "a": list(key[:, :TABLES]),
                     "b": list(key[:, TABLES:]),
-                    "mins": [row.tobytes() for row in own],
+                    "s1": two[:, 0],
+                    "s2": two[:, 1],
                 },
-                {"doc_id": pa.int64(), "n_shingles": pa.int64(), "set_hash": pa.binary(), "a": pa.list_(pa.int64()), "b": pa.list_(pa.int64()), "mins": pa.binary()},
+                {"doc_id": pa.int64(), "n_shingles": pa.int64(), "set_hash": pa.binary(), "a": pa.list_(pa.int64()), "b": pa.list_(pa.int64()), "s1": pa.int64(), "s2": pa.int64()},
             )
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, a array<long>, b array<long>, mins binary")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, a array<long>, b array<long>, s1 long, s2 long")
 
 
 def table_keys(classes: DataFrame) -> DataFrame:
-    """(key, node): the tensored keys of every class."""
-    one = classes.select("node", "b", F.posexplode("a").alias("i", "x"))
-    both = one.select("node", "i", "x", F.posexplode("b").alias("j", "y"))
-    return both.select(F.xxhash64("i", "j", "x", "y").alias("key"), "node")
+    """(key, node, n, s1, s2): the tensored keys of every class."""
+    carried = ["node", F.col("n_shingles").cast("int").alias("n"), "s1", "s2"]
+    one = classes.select(*carried, "b", F.posexplode("a").alias("i", "x"))
+    both = one.select("node", "n", "s1", "s2", "i", "x", F.posexplode("b").alias("j", "y"))
+    return both.select(F.xxhash64("i", "j", "x", "y").alias("key"), "node", "n", "s1", "s2")
 
 
-def agreeing(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) whose sizes allow the similarity and whose minhashes agree by half or more."""
-    side = lambda x: classes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("mins").alias(f"m{x}"))
-    both = pairs.join(side("u").hint("merge"), "u").join(side("v").hint("merge"), "v")
-    both = both.where(100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")).select("u", "v", "mu", "mv")
+_FIELDS = np.uint64(0x5555555555555555)
+
+
+def agreement(rows: np.ndarray, i, j) -> np.ndarray:
+    """Minhashes whose two bits agree, for pairs of rows; rows is (key, node, n, s1, s2)."""
+    out = np.full(np.broadcast(i, j).shape, HASHES, np.int64)
+    for c in (3, 4):
+        x = (rows[c][i] ^ rows[c][j]).view(np.uint64)
+        out -= np.bitwise_count((x | (x >> np.uint64(1))) & _FIELDS).astype(np.int64)
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                mu, mv = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, HASHES) for c in (2, 3))
-                keep = (mu == mv).sum(1) * 2 >= HASHES
-                yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in (0, 1)], names=["u", "v"])
 
-    return both.mapInArrow(run, "u long, v long")
+def fit_sizes(rows: np.ndarray, i, j, percent: int) -> np.ndarray:
+    a, b = rows[2][i], rows[2][j]
+    return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+
+
+def led(rows: np.ndarray, percent: int, leaders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates (2, n) among one bucket's rows and its leaders so far, and the leaders then."""
+    pairs, left = [], rows
+    known = leaders
+    while True:  # against the leaders in blocks, then the first row that is unlike all becomes one
+        alike = np.zeros(left.shape[1], bool)
+        for k in range(known.shape[1]):
+            both = np.concatenate([left, known[:, k : k + 1]], axis=1)
+            i = np.arange(left.shape[1])
+            j = np.full(left.shape[1], left.shape[1])
+            near = agreement(both, i, j)
+            hit = (near >= LIKELY) & fit_sizes(both, i, j, percent)
+            some = np.flatnonzero(hit & (left[1] != known[1, k]))
+            pairs.append(np.stack([np.full(len(some), known[1, k]), left[1, some]]))
+            weak = some[near[some] < SURE]
+            if len(weak) > 1:  # also with the one before it
+                last, this = weak[:-1], weak[1:]
+                good = (agreement(left, last, this) >= LIKELY) & fit_sizes(left, last, this, percent)
+                pairs.append(np.stack([left[1, last[good]], left[1, this[good]]]))
+            alike |= hit
+        left = left[:, ~alike]
+        if not left.shape[1]:
+            break
+        known = left[:, :1]
+        leaders = np.concatenate([leaders, known], axis=1)
+    return np.concatenate([np.zeros((2, 0), np.int64), *pairs], axis=1), leaders
+
+
+def bucket_pairs(rows: np.ndarray, percent: int) -> np.ndarray:
+    """Candidates (2, n) of whole buckets, whose rows are sorted by (key, node)."""
+    key = rows[0]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size = np.diff([*first, len(key)])
+    small = np.repeat(size <= SMALL, size)
+    pairs = []
+    for d in range(1, SMALL):
+        i = np.flatnonzero((key[:-d] == key[d:]) & small[:-d]) if d < len(key) else np.zeros(0, np.int64)
+        i = i[fit_sizes(rows, i, i + d, percent)]
+        i = i[agreement(rows, i, i + d) >= LIKELY]
+        pairs.append(np.stack([rows[1, i], rows[1, i + d]]))
+    none = np.zeros((5, 0), np.int64)
+    for k in np.flatnonzero(size > SMALL):
+        pairs.append(led(rows[:, first[k] : first[k] + size[k]], percent, none)[0])
+    return np.unique(np.concatenate(pairs, axis=1), axis=1)
+
+
+def candidates(keys: DataFrame, percent: int) -> DataFrame:
+    """(u, v), u < v: likely pairs that share a bucket."""
+    schema = "u long, v long, key long, n long, s1 long, s2 long"
+    types = {c: pa.int64() for c in ("u", "v", "key", "n", "s1", "s2")}
+
+    def pass_by(edges: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            none = np.zeros((5, 0), np.int64)
+            held, waiting, open_key, leaders = none, [], None, none
+
+            def out(pairs, cut=none):
+                n = cut.shape[1]
+                null = lambda k: pa.nulls(k, pa.int64())
+                columns = [np.concatenate([pairs.min(0), cut[1]]) if pairs.size else cut[1]]
+                columns.append(pa.concat_arrays([pa.array(pairs.max(0) if pairs.size else [], pa.int64()), null(n)]))
+                columns += [pa.concat_arrays([null(pairs.shape[1]), pa.array(cut[c])]) for c in (0, 2, 3, 4)]
+                return common.arrow_batch(dict(zip(types, columns)), types)
+
+            def close(rows, whole: bool):
+                """The open bucket gets its rows; at its end its leaders go on if an edge may cut it."""
+                nonlocal leaders, open_key
+                pairs, leaders = led(rows, percent, leaders)
+                cut = leaders if whole and edges else none
+                if whole:
+                    leaders, open_key = none, None
+                return out(np.unique(pairs, axis=1), cut)
+
+            begun = False
+            for batch in batches:
+                waiting.append(np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in range(5)]))
+                if sum(x.shape[1] for x in waiting) < HELD:
+                    continue
+                held, waiting = np.concatenate([held, *waiting], axis=1), []
+                if not begun and held.shape[1]:
+                    begun, open_key = True, held[0, 0]  # the first bucket may have begun in another partition
+                if open_key is not None:
+                    own = held[0] == open_key
+                    done = not own.all()
+                    yield close(held[:, own], done)
+                    held = held[:, ~own]
+                if held.shape[1]:
+                    last = held[0] == held[0, -1]
+                    if not last.all():
+                        yield out(bucket_pairs(held[:, ~last], percent))
+                        held = held[:, last]
+                    if held.shape[1] >= HELD:
+                        open_key = held[0, 0]
+                        yield close(held, False)
+                        held = none
+            held = np.concatenate([held, *waiting], axis=1)
+            if not begun and held.shape[1]:
+                open_key = held[0, 0]
+            if open_key is not None:
+                own = held[0] == open_key
+                yield close(held[:, own], True)
+                held = held[:, ~own]
+            if held.shape[1]:
+                last = held[0] == held[0, -1]
+                if not last.all():
+                    yield out(bucket_pairs(held[:, ~last], percent))
+                pairs, end = led(held[:, last], percent, none)
+                yield out(np.unique(pairs, axis=1), end if edges else none)
+
+        return run
+
+    parts = max(1, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sorted_keys = keys.repartitionByRange(parts, "key", "node").sortWithinPartitions("key", "node")
+    found = common.materialize(sorted_keys.mapInArrow(pass_by(True), schema), "near-candidates")
+    cut = found.where(F.col("key").isNotNull()).select("key", F.col("u").alias("node"), "n", "s1", "s2")
+    again = cut.repartition("key").sortWithinPartitions("key", "node").mapInArrow(pass_by(False), schema)
+    pairs = found.where(F.col("key").isNull()).select("u", "v").union(again.select("u", "v"))
+    return common.materialize(pairs.distinct(), "near-pairs")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -149,75 +277,18 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     return out
 
 
-def _least_first(u: Column, v: Column) -> list[Column]:
-    return [F.least(u, v).alias("u"), F.greatest(u, v).alias("v")]
-
-
-class _Search:
-    """Links found so far, and the components they make."""
-
-    def __init__(self, docs: DataFrame, classes: DataFrame, k: int, percent: int):
-        self.docs, self.classes, self.k, self.percent = docs, classes, k, percent
-        self.tried = self.links = self.components = None
-
-    def add(self, pairs: DataFrame) -> None:
-        """Try the pairs that were not tried before."""
-        new = pairs if self.tried is None else pairs.join(self.tried.hint("merge"), ["u", "v"], "left_anti")
-        new = common.materialize(new, "near-pairs")
-        likely = common.materialize(agreeing(new, self.classes, self.percent), "near-likely")
-        links = confirmed(likely, self.docs, self.k, self.percent)
-        common.release(likely)
-        self.tried = new if self.tried is None else self.tried.union(new)
-        self.links = links if self.links is None else self.links.union(links)
-        if self.components is None or links.limit(1).count():
-            self.components = common.connected_components(self.links, "near-cc")
-
-    def split(self, members: DataFrame) -> DataFrame:
-        """(key, node, component, n) in buckets that hold more than one component."""
-        named = members.join(self.components.hint("merge"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        named = common.materialize(named, "near-members")
-        sizes = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-        return common.materialize(named.join(sizes.where("lo <> hi").select("key", "n").hint("merge"), "key"), "near-split")
-
-
 def components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     sk = common.materialize(sketches(docs, k), "near-sketches")
     first = lambda c: F.first(c).alias(c)  # noqa: E731  equal in all rows of a class
-    grouped = sk.where("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("node"), first("n_shingles"), first("a"), first("b"), first("mins"))
+    columns = ("n_shingles", "a", "b", "s1", "s2")
+    grouped = sk.where("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("node"), *map(first, columns))
     classes = common.materialize(grouped, "near-classes")
-    known = classes.where(F.col("node").isNotNull())
-
-    keys = table_keys(known)
-    pivots = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = common.materialize(keys.join(pivots.select("key", "pivot").hint("merge"), "key"), "near-buckets")
-    search = _Search(docs, known, k, percent)
-    search.add(members.where("node <> pivot").select(*_least_first(F.col("pivot"), F.col("node"))).distinct())
-
-    level, left = 0, members.select("key", "node")
-    while True:
-        mixed = search.split(left)
-        across = lambda rows: rows.select("key", F.col("node").alias("u"), F.col("component").alias("cu")).join(rows.select("key", F.col("node").alias("v"), F.col("component").alias("cv")).hint("merge"), "key").where("u < v and cu <> cv").select("u", "v")  # noqa: B023, E731
-        large = mixed.where(F.col("n") > SMALL)
-        more = large.limit(1).count() > 0
-        if more and level == LEVELS:  # nothing splits these further
-            search.add(across(mixed).distinct())
-            break
-        small = across(mixed.where(F.col("n") <= SMALL))
-        if more:
-            with_mins = large.select("key", "node").join(known.select("node", "mins").hint("merge"), "node")
-            copies = with_mins.withColumn("l", F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))))
-            part = F.expr(f"substring(mins, cast(4 * pmod(xxhash64(key, l), {HASHES}) as int) + 1, 4)")
-            left = common.materialize(copies.select(F.xxhash64("key", "l", part).alias("key"), "node"), "near-deeper")
-            star = left.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
-            left_star = left.join(star.select("key", "pivot").hint("merge"), "key").where("node <> pivot")
-            small = small.union(left_star.select(*_least_first(F.col("pivot"), F.col("node"))))
-        search.add(small.distinct())
-        if not more:
-            break
-        level += 1
-
-    found = classes.select("set_hash", "node").join(search.components.hint("merge"), "node", "left").select("set_hash", F.coalesce("component", "node").alias("component"))
+    pairs = candidates(table_keys(classes.where(F.col("node").isNotNull())), percent)
+    links = confirmed(pairs, docs, k, percent)
+    named = common.connected_components(links, "near-cc")
+    common.release(pairs, links)
+    found = classes.select("set_hash", "node").join(named.hint("merge"), "node", "left").select("set_hash", F.coalesce("component", "node").alias("component"))
     found = common.materialize(found, "near-found")
     some = sk.where("n_shingles > 0").select("doc_id", "n_shingles", "set_hash").join(found.hint("merge"), "set_hash")
     none = sk.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
