@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import search
+from tessera.plans import corpus, search
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -12,8 +12,8 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return dict(search.QUERIES)
+    return {**search.QUERIES, **corpus.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(search.SQL)
+    return {**search.SQL, **corpus.SQL}
