@@ -1,7 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Terms are the benchmark's words, but for those in over MAX_SHARE of the corpus's passages (runs
-   of WINDOW words). Passage frequencies are counted over all documents.
+1. One pass turns every document into a sequence of term numbers, a term being any word of the
+   benchmark and all other words one blank, and writes it to the shared folder; no later step needs
+   the text, as other words match no item. The pass also counts in how many of the corpus's
+   passages (runs of WINDOW words) each term occurs; terms in over MAX_SHARE of them carry no weight.
 2. Randomised SVD. With A the TF-IDF matrix of all passages, one distributed pass makes
    Y = A'A Omega for a random Omega of RANK + EXTRA columns; the Nystroem form of A'A from Y and
    Omega gives the right singular vectors and values (V x l matrices only, V the benchmark terms).
@@ -21,10 +23,12 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,13 +46,6 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def chunk_words(chunks: list[str], place: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Term numbers of white-space chunks' words, -1 for words that are no terms."""
-    split = [_WORD.findall(c.lower()) for c in chunks]
-    size = np.fromiter(map(len, split), np.int64, len(split))
-    return np.fromiter((place.get(w, -1) for part in split for w in part), np.int32, int(size.sum())), size
-
-
 def lcs(a: list, b: list) -> list[int]:
     """Positions in ``a`` of one longest common subsequence with ``b``, by bit-parallel rows."""
     where: dict = defaultdict(int)
@@ -97,12 +94,22 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
-def _terms(table: common.WordTable, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Term numbers of all words of the texts, and the texts' word counts."""
-    parts = [table.gather(table.rows(t.split())) for t in texts]
+def _sequences(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Term numbers of all words of a block's documents, joined; and the documents' word counts."""
+    parts = [np.frombuffer(b, "<i4") for b in column.to_pylist()]
     return np.concatenate([*parts, np.zeros(0, np.int32)]), np.array([len(p) for p in parts], np.int64)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], words_: int = 200_000) -> Iterator[pa.RecordBatch]:
+    """Slices of batches (doc_id, seq) with about so many words, one row at least."""
+    for batch in batches:
+        if batch.num_rows:
+            size = np.asarray(pc.binary_length(batch.column(1))).astype(np.int64) // 4
+            group = (np.cumsum(size) - size) // words_
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+            yield from (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:]))
+
+
 def _runs(size: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Number of the run of ``width`` words, from each text's start, that each word is in; runs per text; their total."""
     per = -(-size // width)
@@ -111,38 +118,46 @@ def _runs(size: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, int]:
     return first + place // width, per, int(per.sum())
 
 
-def frequencies(docs: DataFrame, terms: list[str]) -> tuple[int, np.ndarray]:
-    """Passages of the corpus, and how many hold each term."""
+def index(docs: DataFrame, terms: list[str]) -> tuple[DataFrame, int, np.ndarray]:
+    """(doc_id, seq) of all documents, the corpus's passages, and how many of them hold each term."""
     place = {w: k for k, w in enumerate(terms)}
+    types = {"doc_id": pa.int64(), "seq": pa.binary(), "term": pa.int64(), "n": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = common.WordTable(lambda c: chunk_words(c, place), limit=700_000)
         n, df = 0, np.zeros(len(terms), np.int64)
         for batch in common.blocks(batches):
-            t, size = _terms(table, common.texts(batch))
+            parts = []
+            for text in common.texts(batch):
+                own = words(text)
+                parts.append(np.fromiter(map(place.get, own, repeat(-1)), "<i4", len(own)))
+            t, size = np.concatenate([*parts, np.zeros(0, np.int32)]), np.array([len(p) for p in parts], np.int64)
             passage, _, count = _runs(size, WINDOW)
             n += count
             some = t >= 0
             df += np.bincount(np.unique(passage[some] * len(terms) + t[some]) % len(terms), minlength=len(terms))
-        yield common.arrow_batch({"term": np.arange(-1, len(terms)), "n": np.concatenate([[n], df])}, {"term": pa.int64(), "n": pa.int64()})
+            none = pa.nulls(len(parts), pa.int64())
+            yield common.arrow_batch({"doc_id": batch.column(0), "seq": [p.tobytes() for p in parts], "term": none, "n": none}, types)
+        none = len(terms) + 1
+        yield common.arrow_batch({"doc_id": pa.nulls(none, pa.int64()), "seq": pa.nulls(none, pa.binary()), "term": np.arange(-1, len(terms)), "n": np.concatenate([[n], df])}, types)
 
-    got = _texts(docs).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    found = {r["term"]: r["n"] for r in got}  # one row per term
-    return found.get(-1, 0), np.array([found.get(k, 0) for k in range(len(terms))], np.int64)
+    table = common.materialize(_texts(docs).mapInArrow(run, "doc_id long, seq binary, term long, n long"), "leak-terms")
+    got = table.where(F.col("term").isNotNull()).groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row per benchmark term
+    found = {r["term"]: r["n"] for r in got}
+    return table.where(F.col("seq").isNotNull()).select("doc_id", "seq"), found.get(-1, 0), np.array([found.get(k, 0) for k in range(len(terms))], np.int64)
 
 
-def sketch(docs: DataFrame, terms: list[str], idf: np.ndarray, omega: np.ndarray) -> np.ndarray:
+def sketch(sequences: DataFrame, idf: np.ndarray, omega: np.ndarray) -> np.ndarray:
     """A'A omega over all passages."""
-    place, width = {w: k for k, w in enumerate(terms) if idf[k] > 0}, omega.shape[1]
-    shared = docs.sparkSession.sparkContext.broadcast((idf * omega.T).T.astype(np.float32))  # terms x columns
+    n_terms, width = omega.shape
+    shared = sequences.sparkSession.sparkContext.broadcast(((idf * omega.T).T.astype(np.float32), idf > 0))  # the benchmark's terms
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = common.WordTable(lambda c: chunk_words(c, place), limit=700_000)
-        scaled, total = shared.value, np.zeros((len(terms), width))
-        for batch in common.blocks(batches, 1_000_000):
-            t, size = _terms(table, common.texts(batch))
+        scaled, used = shared.value
+        total = np.zeros((n_terms, width))
+        for batch in _slices(batches):
+            t, size = _sequences(batch.column(1))
             passage, _, _ = _runs(size, WINDOW)
-            some = t >= 0
+            some = used[t] & (t >= 0)
             t, passage = t[some], passage[some]
             if not len(t):
                 continue
@@ -164,8 +179,8 @@ def sketch(docs: DataFrame, terms: list[str], idf: np.ndarray, omega: np.ndarray
         yield common.arrow_batch({"term": list(sums), "row": [x.tobytes() for x in sums.values()]}, {"term": pa.int64(), "row": pa.binary()})
 
     # a term's rows, one per task, are summed by the task that owns the term
-    parts = _texts(docs).mapInArrow(run, "term long, row binary").repartition("term").mapInArrow(add, "term long, row binary")
-    out = np.zeros((len(terms), width))
+    parts = sequences.mapInArrow(run, "term long, row binary").repartition("term").mapInArrow(add, "term long, row binary")
+    out = np.zeros((n_terms, width))
     for r in parts.toLocalIterator():
         out[r["term"]] = np.frombuffer(r["row"], "<f8")
     return (idf * out.T).T
@@ -182,19 +197,18 @@ def singular(y: np.ndarray, omega: np.ndarray, rank: int) -> tuple[np.ndarray, n
     return u[:, :rank][:, keep], s[:rank][keep]
 
 
-def projection(docs: DataFrame, terms: list[str]) -> np.ndarray:
-    """A row per term: what a word adds to the latent vector of a passage."""
-    n, df = frequencies(docs, terms)
-    rare = (df <= max(1.0, MAX_SHARE * n)) if n else np.zeros(len(terms), bool)
+def projection(sequences: DataFrame, n: int, df: np.ndarray) -> np.ndarray:
+    """A row per term: what a word adds to the latent vector of a passage. n passages, df of them with the term."""
+    rare = (df <= max(1.0, MAX_SHARE * n)) & (n > 0)
     idf = np.where(rare, np.log((1 + n) / (1 + df)) + 1, 0.0)
     if not rare.any():
-        return np.zeros((len(terms), 1), np.float32)
+        return np.zeros((len(df), 1), np.float32)
     width = min(RANK + EXTRA, int(rare.sum()))
-    omega = np.random.default_rng(SEED).normal(size=(len(terms), width))
+    omega = np.random.default_rng(SEED).normal(size=(len(df), width))
     omega[~rare] = 0
-    y = sketch(docs, terms, idf, omega)
+    y = sketch(sequences, idf, omega)
     if not y.any():
-        return np.zeros((len(terms), 1), np.float32)
+        return np.zeros((len(df), 1), np.float32)
     u, s = singular(y, omega, min(RANK, width))
     return ((idf * u.T).T / s).astype(np.float32)
 
@@ -204,18 +218,23 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 class Matcher:
-    """Checks candidates of a text: (item number, first word of the window)."""
-
-    def __init__(self, items: Items):
-        self.items, self.counts = items, [Counter(w) for w in items.words]
-
-    def check(self, own: list[str], item: int, at: int) -> tuple[float, float] | None:
-        """Shares of the item and of its answer that the text around the window covers, if it holds."""
-        target = self.items.words[item]
-        near = own[max(0, at - len(target)) : at + WINDOW + len(target)]
-        known = self.counts[item]
-        if sum(known[w] for w in known.keys() & set(near)) < min(COVER, COVER_ANSWER) * len(target):
+    """Checks candidates: an item and a run of a document's windows."""
+
+    def __init__(self, targets: list[np.ndarray]):
+        self.targets = [t.tolist() for t in targets]
+        self.counts = [Counter(t) for t in self.targets]
+
+    def check(self, own: np.ndarray, item: int, begin: int, end: int) -> tuple[float, float] | None:
+        """Shares of the item and of its answer that the terms around own[begin:end] cover, if it holds."""
+        target, known = self.targets[item], self.counts[item]
+        near = own[max(0, begin - len(target)) : end + len(target)].tolist()
+        have = Counter(map(known.get, near))
+        if len(near) - have[None] < min(COVER, COVER_ANSWER) * len(target):
             return None  # not even as a bag of words
+        near = [t for t in near if t in known]
+        have = Counter(near)
+        if sum(min(c, have[t]) for t, c in known.items()) < min(COVER, COVER_ANSWER) * len(target):
+            return None
         found = lcs(target, near)
         answer = min(ANSWER, len(target))
         cover, last = len(found) / len(target), sum(k >= len(target) - answer for k in found) / answer
@@ -224,49 +243,59 @@ class Matcher:
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, cosine, cover, answer_cover): a row per document and item found in it."""
+    schema = "doc_id long, item_id long, cosine double, cover double, answer_cover double"
     items = load_items(benchmark)
     terms = items.terms
+    if not terms:
+        return docs.sparkSession.createDataFrame([], schema)
     place = {w: k for k, w in enumerate(terms)}
-    rows = projection(docs, terms) if terms else np.zeros((0, 1), np.float32)
-    targets = _unit(np.stack([rows[[place[w] for w in own]].sum(0) for own in items.words])) if terms else np.zeros((0, 1), np.float32)
-    place = {w: k for w, k in place.items() if rows[k].any()}
-    shared = docs.sparkSession.sparkContext.broadcast((rows, targets.astype(np.float32), items, place))  # the benchmark's size
+    targets = [np.array([place[w] for w in own], np.int32) for own in items.words]
+    sequences, n, df = index(docs, terms)
+    rows = projection(sequences, n, df)
+    latent = _unit(np.stack([rows[t].sum(0) for t in targets])).astype(np.float32)
+    shared = docs.sparkSession.sparkContext.broadcast((rows, latent, targets, items.ids))  # the benchmark's size
     types = {"doc_id": pa.int64(), "item_id": pa.int64(), "cosine": pa.float64(), "cover": pa.float64(), "answer_cover": pa.float64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, targets, items, place = shared.value
-        table, half, matcher = common.WordTable(lambda c: chunk_words(c, place), limit=700_000), WINDOW // 2, Matcher(items)
-        for batch in common.blocks(batches, 1_000_000):
-            texts, ids, out = common.texts(batch), batch.column(0).to_pylist(), {k: [] for k in types}
-            t, size = _terms(table, texts) if place else (np.zeros(0, np.int32), np.zeros(len(texts), np.int64))
+        rows, latent, targets, item_ids = shared.value
+        half, matcher, used = WINDOW // 2, Matcher(targets), rows.any(1)
+        for batch in _slices(batches):
+            ids, out = batch.column(0).to_pylist(), {k: [] for k in types}
+            every, size = _sequences(batch.column(1))
             run_, per, count = _runs(size, half)
-            some = t >= 0
-            if some.any():
-                t, run_ = t[some], run_[some]
-                first = np.concatenate([[0], np.flatnonzero(np.diff(run_)) + 1])
-                halves = np.zeros((count + 1, rows.shape[1]), np.float32)
-                halves[run_[first]] = np.add.reduceat(rows[t], first, axis=0)
-                end = np.cumsum(per)[per > 0] - 1  # a text's last half stands alone
-                after = halves[1:].copy()
-                after[end] = 0
-                cosine = _unit(halves[:-1] + after) @ targets.T
-                window, item = np.nonzero(cosine >= COSINE)
-                doc = np.searchsorted(np.cumsum(per), window, side="right")
-                best: dict[tuple[int, int], list] = defaultdict(list)
-                for d, i, w in zip(doc.tolist(), item.tolist(), window.tolist()):
-                    best[d, i].append(w)
-                begun, own, at = np.cumsum(per) - per, [], -1
-                for (d, i), found in sorted(best.items()):
-                    if d != at:
-                        own, at = words(texts[d]), d
-                    held = [(cosine[w, i], x) for w in found if (x := matcher.check(own, i, int(w - begun[d]) * half))]
-                    if held:
-                        c, (cover, last) = max(held, key=lambda h: (h[1], h[0]))
-                        for key, value in zip(types, (ids[d], items.ids[i], float(c), cover, last)):
-                            out[key].append(value)
+            some = used[every] & (every >= 0)
+            if not some.any():
+                continue
+            t, run_ = every[some], run_[some]
+            first = np.concatenate([[0], np.flatnonzero(np.diff(run_)) + 1])
+            halves = np.zeros((count + 1, rows.shape[1]), np.float32)
+            halves[run_[first]] = np.add.reduceat(rows[t], first, axis=0)
+            after = halves[1:].copy()
+            after[np.cumsum(per)[per > 0] - 1] = 0  # a document's last half stands alone
+            cosine = _unit(halves[:-1] + after) @ latent.T
+            item, window = np.nonzero(cosine.T >= COSINE)
+            if not len(item):
+                continue
+            value, doc = cosine[window, item], np.searchsorted(np.cumsum(per), window, side="right")
+            # windows of an item that follow each other in one document are one candidate
+            new = np.concatenate([[True], (np.diff(item) != 0) | (np.diff(window) != 1) | (np.diff(doc) != 0)])
+            start = np.flatnonzero(new)
+            stop = np.append(start[1:], len(item))
+            top = np.maximum.reduceat(value, start)
+            begun, words_at = np.cumsum(per) - per, np.cumsum(size) - size
+            best: dict[tuple[int, int], tuple] = {}
+            for a, b, c in zip(start.tolist(), stop.tolist(), top.tolist()):
+                d, i = int(doc[a]), int(item[a])
+                own = every[words_at[d] : words_at[d] + size[d]]
+                held = matcher.check(own, i, int(window[a] - begun[d]) * half, int(window[b - 1] - begun[d]) * half + WINDOW)
+                if held:
+                    best[d, i] = max(best.get((d, i), ((-1.0, 0.0), 0.0)), (held, c))
+            for (d, i), ((cover, last), c) in sorted(best.items()):
+                for key, x in zip(types, (ids[d], item_ids[i], c, cover, last)):
+                    out[key].append(x)
             yield common.arrow_batch(out, types)
 
-    return _texts(docs).mapInArrow(run, "doc_id long, item_id long, cosine double, cover double, answer_cover double")
+    return sequences.mapInArrow(run, schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
