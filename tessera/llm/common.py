@@ -96,7 +96,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
         share = F.when(F.col("label") == value, F.lit(min(1.0, per_class / n))).otherwise(share)
     taken = marked.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(label)), F.lit(1_000_000)) < share * 1_000_000)
     # about per_class rows of two columns: bounded, so broadcast
-    return docs.select("doc_id", "text", "n_chars").join(F.broadcast(taken), "doc_id").select("label", "text", "n_chars")
+    rows = columns_or_null(docs, doc_id="long", text="string", n_chars="long")
+    return rows.join(F.broadcast(taken), "doc_id").select("label", "text", "n_chars")
 
 
 def columns_or_null(df: DataFrame, **types: str) -> DataFrame:

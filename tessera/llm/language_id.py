@@ -64,7 +64,7 @@ class Model:
             total = sum(kept.values(), np.zeros(len(self.languages)))
             self.place[order] = {g: k for k, g in enumerate(kept)}
             logs = [np.log((c + SMOOTH) / (total + SMOOTH * len(kept))) for c in kept.values()]
-            self.logs[order] = np.array(logs, np.float32).reshape(-1, len(self.languages))
+            self.logs[order] = np.array(logs, np.float32).reshape(len(kept), len(self.languages))
 
     def words(self, own: list[str]) -> np.ndarray:
         """Log frequencies of words, a row each and a column per language."""

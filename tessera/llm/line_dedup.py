@@ -128,8 +128,11 @@ def repeated(docs: DataFrame) -> DataFrame:
 
 def remove_repeated_lines(docs: DataFrame) -> DataFrame:
     """The documents with aligned repeated blocks deleted from their texts, and n_removed lines."""
-    gone = repeated(docs).withColumnRenamed("removed", "_removed")
-    joined = docs.drop("n_removed").join(gone.hint("merge"), "doc_id", "left")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, k: ~F.array_contains("_removed", k)), "\n")
-    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(kept)
-    return joined.withColumn("text", text).withColumn("n_removed", F.coalesce(F.size("_removed"), F.lit(0)).cast("long")).select(*[c for c in docs.columns if c != "n_removed"], "n_removed")
+    own = "removed"
+    while own in docs.columns:
+        own += "_"
+    joined = docs.drop("n_removed").join(repeated(docs).withColumnRenamed("removed", own).hint("merge"), "doc_id", "left")
+    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, k: ~F.array_contains(own, k)), "\n")
+    text = F.when(F.col(own).isNull(), F.col("text")).otherwise(kept)
+    count = F.when(F.col(own).isNull(), F.lit(0)).otherwise(F.size(own)).cast("long")
+    return joined.withColumn("text", text).withColumn("n_removed", count).select(*[c for c in docs.columns if c != "n_removed"], "n_removed")
