@@ -15,7 +15,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
     A file is one partition's work here, as a line's number depends on all before it.
     """
-    rows = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("k", "line"))
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("k", "line"))
     return rows.select("path", (F.col("k") + 1).cast("long").alias("line_no"), "line").where(X.strip(F.col("line")) != "")
 
 
