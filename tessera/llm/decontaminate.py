@@ -39,11 +39,29 @@ RANK, EXTRA, SEED = 128, 10, 5
 COSINE = 0.5
 COVER, COVER_ANSWER, ANSWER, ANSWER_COVER = 0.6, 0.5, 8, 0.75
 
-_WORD = re.compile(r"[^\W_]+")
+#: Punctuation beyond ASCII that ends words; other characters beyond ASCII belong to them.
+_MARKS = re.compile("[\u00a0-\u00bf\u2000-\u206f\u3000-\u3003\uff0c\uff0e]")
+#: Of UTF-8 bytes: ASCII letters, digits and bytes of other characters stay, the rest separates.
+_BYTES = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
 
-def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+def words(text: str) -> list[bytes]:
+    """Lower-case words in UTF-8."""
+    low = text.lower()
+    if not low.isascii():
+        low = _MARKS.sub(" ", low)
+    return low.encode("utf-8", "replace").translate(_BYTES).split()
+
+
+def segment_sums(table: np.ndarray, rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of table[rows] over the runs of ``rows`` that begin at ``first``; the j-th rows of all runs at once."""
+    size = np.diff([*first, len(rows)])
+    out, longest = table[rows[first]], np.argsort(-size, kind="stable")
+    ends = np.searchsorted(-size[longest], -np.arange(1, size.max(initial=1)), side="left")
+    for j, n in enumerate(ends, 1):
+        k = longest[:n]
+        out[k] += table[rows[first[k] + j]]
+    return out
 
 
 def lcs(a: list, b: list) -> list[int]:
@@ -75,10 +93,10 @@ def lcs(a: list, b: list) -> list[int]:
 
 class Items(NamedTuple):
     ids: list
-    words: list[list[str]]
+    words: list[list[bytes]]
 
     @property
-    def terms(self) -> list[str]:
+    def terms(self) -> list[bytes]:
         return sorted({w for own in self.words for w in own})
 
 
@@ -118,7 +136,7 @@ def _runs(size: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, int]:
     return first + place // width, per, int(per.sum())
 
 
-def index(docs: DataFrame, terms: list[str]) -> tuple[DataFrame, int, np.ndarray]:
+def index(docs: DataFrame, terms: list[bytes]) -> tuple[DataFrame, int, np.ndarray]:
     """(doc_id, seq) of all documents, the corpus's passages, and how many of them hold each term."""
     place = {w: k for k, w in enumerate(terms)}
     types = {"doc_id": pa.int64(), "seq": pa.binary(), "term": pa.int64(), "n": pa.int64()}
@@ -134,7 +152,9 @@ def index(docs: DataFrame, terms: list[str]) -> tuple[DataFrame, int, np.ndarray
             passage, _, count = _runs(size, WINDOW)
             n += count
             some = t >= 0
-            df += np.bincount(np.unique(passage[some] * len(terms) + t[some]) % len(terms), minlength=len(terms))
+            both = passage[some] * len(terms) + t[some]
+            both = np.sort(both.astype(np.int32) if count * len(terms) < 2**31 else both)
+            df += np.bincount(both[np.diff(both, prepend=-1) != 0] % len(terms), minlength=len(terms))
             none = pa.nulls(len(parts), pa.int64())
             yield common.arrow_batch({"doc_id": batch.column(0), "seq": [p.tobytes() for p in parts], "term": none, "n": none}, types)
         none = len(terms) + 1
@@ -162,11 +182,11 @@ def sketch(sequences: DataFrame, idf: np.ndarray, omega: np.ndarray) -> np.ndarr
             if not len(t):
                 continue
             first = np.concatenate([[0], np.flatnonzero(np.diff(passage)) + 1])
-            row = np.add.reduceat(scaled[t], first, axis=0)  # A omega
+            row = segment_sums(scaled, t, first)  # A omega
             own = np.repeat(np.arange(len(first)), np.diff([*first, len(t)]))
             order = np.argsort(t, kind="stable")
             begin = np.concatenate([[0], np.flatnonzero(np.diff(t[order])) + 1])
-            total[t[order][begin]] += np.add.reduceat(row[own[order]], begin, axis=0)
+            total[t[order][begin]] += segment_sums(row, own[order], begin)
         used = np.flatnonzero(total.any(1))
         yield common.arrow_batch({"term": used, "row": [total[k].astype("<f8").tobytes() for k in used]}, {"term": pa.int64(), "row": pa.binary()})
 
@@ -220,22 +240,25 @@ def _unit(x: np.ndarray) -> np.ndarray:
 class Matcher:
     """Checks candidates: an item and a run of a document's windows."""
 
-    def __init__(self, targets: list[np.ndarray]):
-        self.targets = [t.tolist() for t in targets]
-        self.counts = [Counter(t) for t in self.targets]
+    def __init__(self, targets: list[np.ndarray], n_terms: int):
+        self.place, self.targets, self.counts = [], [], []
+        for t in targets:
+            own, local, count = np.unique(t, return_inverse=True, return_counts=True)
+            place = np.full(n_terms + 1, -1, np.int16)  # term -1 is the last entry
+            place[own] = np.arange(len(own))
+            self.place.append(place)
+            self.targets.append(local.tolist())
+            self.counts.append(count)
 
     def check(self, own: np.ndarray, item: int, begin: int, end: int) -> tuple[float, float] | None:
         """Shares of the item and of its answer that the terms around own[begin:end] cover, if it holds."""
-        target, known = self.targets[item], self.counts[item]
-        near = own[max(0, begin - len(target)) : end + len(target)].tolist()
-        have = Counter(map(known.get, near))
-        if len(near) - have[None] < min(COVER, COVER_ANSWER) * len(target):
+        target, count = self.targets[item], self.counts[item]
+        need = min(COVER, COVER_ANSWER) * len(target)
+        near = self.place[item][own[max(0, begin - len(target)) : end + len(target)]]
+        near = near[near >= 0]
+        if len(near) < need or np.minimum(np.bincount(near, minlength=len(count)), count).sum() < need:
             return None  # not even as a bag of words
-        near = [t for t in near if t in known]
-        have = Counter(near)
-        if sum(min(c, have[t]) for t, c in known.items()) < min(COVER, COVER_ANSWER) * len(target):
-            return None
-        found = lcs(target, near)
+        found = lcs(target, near.tolist())
         answer = min(ANSWER, len(target))
         cover, last = len(found) / len(target), sum(k >= len(target) - answer for k in found) / answer
         return (cover, last) if cover >= COVER or cover >= COVER_ANSWER and last >= ANSWER_COVER else None
@@ -258,7 +281,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, latent, targets, item_ids = shared.value
-        half, matcher, used = WINDOW // 2, Matcher(targets), rows.any(1)
+        half, matcher, used = WINDOW // 2, Matcher(targets, len(rows)), rows.any(1)
         for batch in _slices(batches):
             ids, out = batch.column(0).to_pylist(), {k: [] for k in types}
             every, size = _sequences(batch.column(1))
@@ -269,7 +292,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             t, run_ = every[some], run_[some]
             first = np.concatenate([[0], np.flatnonzero(np.diff(run_)) + 1])
             halves = np.zeros((count + 1, rows.shape[1]), np.float32)
-            halves[run_[first]] = np.add.reduceat(rows[t], first, axis=0)
+            halves[run_[first]] = segment_sums(rows, t, first)
             after = halves[1:].copy()
             after[np.cumsum(per)[per > 0] - 1] = 0  # a document's last half stands alone
             cosine = _unit(halves[:-1] + after) @ latent.T

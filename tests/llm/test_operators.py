@@ -232,7 +232,7 @@ def test_planted_and_paraphrased_items_are_found(spark, documents):
     df = spark.createDataFrame([tuple(r) for r in clean] + planted, "doc_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(df, benchmark).collect()}
     missed = [(10_000 + k, i) for k, i in enumerate(sorted(items)) if (10_000 + k, i) not in got]
-    whole = lambda t: " ".join(decontaminate.words(t))
+    whole = lambda t: b" ".join(decontaminate.words(t)).decode()
     exact = {(r["doc_id"], i) for r in clean for i, t in items.items() if f" {whole(t)} " in f" {whole(r['text'] or '')} "}
     assert len(missed) <= 1 and exact <= got
     hosts = {10_000 + k: clean[k]["doc_id"] for k in range(len(items))}
@@ -304,7 +304,7 @@ def test_pipeline_by_brute_force(spark):
         first.setdefault(__import__("re").sub(r"[\x20\x09-\x0D]+", " ", texts[i]), i)
     texts = {i: texts[i] for i in first.values()}
     texts = {i: texts[i] for i, (_, c) in brute_components(texts, 5).items() if i == c}
-    whole = lambda t: f" {' '.join(decontaminate.words(t))} "
+    whole = lambda t: f" {b' '.join(decontaminate.words(t)).decode()} "
     items = [whole(r["text"]) for r in common.table(spark, sf, "benchmark").collect()]
     texts = {i: t for i, t in texts.items() if not any(x in whole(t) for x in items)}
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, sf).select("doc_id").distinct().collect()} == set(texts)
