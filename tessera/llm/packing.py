@@ -22,6 +22,7 @@ import heapq
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +55,12 @@ PLAIN = re.compile("[\x21-\x7e\xa1-\xff]+")
 PRETOKEN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\\sa-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
 
 
+#: Marks a chunk that goes to the tokenizer as it is; chunks hold no white space.
+ASIS = " "
+#: Chunks, and pre-tokens, whose ids a worker keeps.
+WORDS = 600_000
+
+
 class Encoder:
     """Ids of whole texts; the tokenizer runs once per distinct pre-token.
 
@@ -74,46 +81,36 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-        self.words = common.WordTable(self._chunks, limit=700_000)
-        self.known: dict[str, list[int]] = {}
-
-    def _chunks(self, chunks: list[str]) -> list[list[int]]:
-        gc.disable()  # many small lists and no cycles
-        try:
-            return self._ids(chunks)
-        finally:
-            gc.enable()
-
-    def _ids(self, chunks: list[str]) -> list[list[int]]:
-        if len(self.known) > 700_000:
-            self.known = {}
-        split = [PRETOKEN.findall(c.lower()) if PLAIN.fullmatch(c) and not ("<" in c and any(s in c for s in self.special)) else None for c in chunks]
-        known = self.known
-        fresh = list({p for parts in split if parts for p in parts if p not in known})
-        if fresh:
-            joined = [" ".join(fresh[k : k + 2000]) for k in range(0, len(fresh), 2000)]
-            ids = np.array([i for e in self.light.encode_batch_fast(joined, add_special_tokens=False) for i in e.ids])
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) != len(fresh):
-                raise RuntimeError("a pre-token has no end mark in the vocabulary")
-            flat, a = ids.tolist(), 0
-            for p, b in zip(fresh, ends.tolist()):
-                known[p] = flat[a:b]
-                a = b
-        out = []
-        for chunk, parts in zip(chunks, split):
-            if parts is None:
-                out.append(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
-            elif len(parts) == 1:
-                out.append(known[parts[0]])
-            else:
-                out.append([i for p in parts for i in known[p]])
-        return out
+        self.words = common.WordTable(self._chunks, limit=WORDS)
+        self.parts = common.WordTable(self._pretokens, limit=WORDS)
+
+    def _chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The chunks' ids, joined, and how many each has, by way of the table of pre-tokens."""
+        plain = [PLAIN.fullmatch(c) and not ("<" in c and any(s in c for s in self.special)) for c in chunks]
+        split = [PRETOKEN.findall(c.lower()) if p else [ASIS + c] for c, p in zip(chunks, plain)]
+        rows = self.parts.rows(list(chain.from_iterable(split)))
+        per = np.fromiter(map(len, split), np.int64, len(split))
+        size = np.add.reduceat(self.parts.size[rows].astype(np.int64), np.cumsum(per) - per) if len(rows) else per
+        return self.parts.gather(rows), size
+
+    def _pretokens(self, parts: list[str]) -> list[list[int]]:
+        fresh = [p for p in parts if not p.startswith(ASIS)]
+        joined = [" ".join(fresh[k : k + 2000]) for k in range(0, len(fresh), 2000)]
+        ids = [i for e in self.light.encode_batch_fast(joined, add_special_tokens=False) for i in e.ids]
+        ends = (np.flatnonzero(self.ends[ids]) + 1).tolist() if ids else []
+        if len(ends) != len(fresh):
+            raise RuntimeError("a pre-token has no end mark in the vocabulary")
+        spans = iter(zip([0, *ends], ends))
+        return [ids[slice(*next(spans))] if not p.startswith(ASIS) else self.tokenizer.encode(p[len(ASIS) :], add_special_tokens=False).ids for p in parts]
 
     def __call__(self, text: str) -> np.ndarray:
         if ODD_SPACE.search(text):
             return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
-        return self.words.gather(self.words.rows(text.split()))
+        gc.disable()  # long lists of strings and no cycles
+        try:
+            return self.words.gather(self.words.rows(text.split()))
+        finally:
+            gc.enable()
 
 
 _encoders: dict[str, Encoder] = {}
