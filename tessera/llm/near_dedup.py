@@ -16,6 +16,10 @@ similarity reaches PERCENT / 100 (compared in integers).
   leaders, and sets that resemble their leader only moderately also with their predecessor; so pairs
   grow with the bucket and not with its square. Leaders of buckets that a partition's edge cuts are
   brought together once more.
+* Orphans. A set of a large bucket that resembles a partner, is not linked with it and is in the smaller
+  component may have links that were not tried. It is compared with all sets of its buckets that are in
+  other components: its BEST likeliest partners in each are tried first, and if it stays apart, all
+  likely ones.
 * Links. Candidates are confirmed on the full sets. Components of the links are found by large-star
   and small-star steps.
 
@@ -43,6 +47,8 @@ HASHES = 2 * TABLES * WIDTH
 #: Sets of a bucket whose pairs are all tried; places of HASHES that agree in a likely pair, and in a
 #: pair that needs no second partner; rows that a task holds.
 SMALL, LIKELY, SURE, HELD = 8, 40, 54, 100_000
+#: Partners that an orphan tries first in a bucket; parts into which an orphan's bucket is dealt.
+BEST, DEALT = 16, 8
 
 _RNG = np.random.default_rng(SEED)
 MULTIPLY = _RNG.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -164,8 +170,8 @@ def led(rows: np.ndarray, percent: int, leaders: np.ndarray) -> tuple[np.ndarray
     return np.concatenate([np.zeros((2, 0), np.int64), *pairs], axis=1), leaders
 
 
-def bucket_pairs(rows: np.ndarray, percent: int) -> np.ndarray:
-    """Candidates (2, n) of whole buckets, whose rows are sorted by (key, node)."""
+def bucket_pairs(rows: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates (2, n) of whole small and large buckets, whose rows are sorted by (key, node)."""
     key = rows[0]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff([*first, len(key)])
@@ -177,13 +183,13 @@ def bucket_pairs(rows: np.ndarray, percent: int) -> np.ndarray:
         i = i[agreement(rows, i, i + d) >= LIKELY]
         pairs.append(np.stack([rows[1, i], rows[1, i + d]]))
     none = np.zeros((5, 0), np.int64)
-    for k in np.flatnonzero(size > SMALL):
-        pairs.append(led(rows[:, first[k] : first[k] + size[k]], percent, none)[0])
-    return np.unique(np.concatenate(pairs, axis=1), axis=1)
+    large = [led(rows[:, first[k] : first[k] + size[k]], percent, none)[0] for k in np.flatnonzero(size > SMALL)]
+    joined = lambda x: np.unique(np.concatenate([np.zeros((2, 0), np.int64), *x], axis=1), axis=1)
+    return joined(pairs), joined(large)
 
 
 def candidates(keys: DataFrame, percent: int) -> DataFrame:
-    """(u, v), u < v: likely pairs that share a bucket."""
+    """(u, v, led), u < v: likely pairs that share a bucket, and whether it was a large one."""
     schema = "u long, v long, key long, n long, s1 long, s2 long"
     types = {c: pa.int64() for c in ("u", "v", "key", "n", "s1", "s2")}
 
@@ -192,12 +198,14 @@ def candidates(keys: DataFrame, percent: int) -> DataFrame:
             none = np.zeros((5, 0), np.int64)
             held, waiting, open_key, leaders = none, [], None, none
 
-            def out(pairs, cut=none):
+            def out(pairs, cut=none, led_=True):
                 n = cut.shape[1]
                 null = lambda k: pa.nulls(k, pa.int64())
                 columns = [np.concatenate([pairs.min(0), cut[1]]) if pairs.size else cut[1]]
                 columns.append(pa.concat_arrays([pa.array(pairs.max(0) if pairs.size else [], pa.int64()), null(n)]))
-                columns += [pa.concat_arrays([null(pairs.shape[1]), pa.array(cut[c])]) for c in (0, 2, 3, 4)]
+                columns += [pa.concat_arrays([null(pairs.shape[1]), pa.array(cut[0])])]
+                columns += [pa.concat_arrays([pa.array(np.full(pairs.shape[1], int(led_))), pa.array(cut[2])])]
+                columns += [pa.concat_arrays([null(pairs.shape[1]), pa.array(cut[c])]) for c in (3, 4)]
                 return common.arrow_batch(dict(zip(types, columns)), types)
 
             def close(rows, whole: bool):
@@ -225,7 +233,9 @@ def candidates(keys: DataFrame, percent: int) -> DataFrame:
                 if held.shape[1]:
                     last = held[0] == held[0, -1]
                     if not last.all():
-                        yield out(bucket_pairs(held[:, ~last], percent))
+                        small, large = bucket_pairs(held[:, ~last], percent)
+                        yield out(small, led_=False)
+                        yield out(large)
                         held = held[:, last]
                     if held.shape[1] >= HELD:
                         open_key = held[0, 0]
@@ -241,7 +251,9 @@ def candidates(keys: DataFrame, percent: int) -> DataFrame:
             if held.shape[1]:
                 last = held[0] == held[0, -1]
                 if not last.all():
-                    yield out(bucket_pairs(held[:, ~last], percent))
+                    small, large = bucket_pairs(held[:, ~last], percent)
+                    yield out(small, led_=False)
+                    yield out(large)
                 pairs, end = led(held[:, last], percent, none)
                 yield out(np.unique(pairs, axis=1), end if edges else none)
 
@@ -252,8 +264,65 @@ def candidates(keys: DataFrame, percent: int) -> DataFrame:
     found = common.materialize(sorted_keys.mapInArrow(pass_by(True), schema), "near-candidates")
     cut = found.where(F.col("key").isNotNull()).select("key", F.col("u").alias("node"), "n", "s1", "s2")
     again = cut.repartition("key").sortWithinPartitions("key", "node").mapInArrow(pass_by(False), schema)
-    pairs = found.where(F.col("key").isNull()).select("u", "v").union(again.select("u", "v"))
-    return common.materialize(pairs.distinct(), "near-pairs")
+    pairs = found.where(F.col("key").isNull()).select("u", "v", F.col("n").alias("led")).union(again.select("u", "v", F.lit(1).cast("long")))
+    return common.materialize(pairs.groupBy("u", "v").agg(F.max("led").alias("led")), "near-pairs")
+
+
+def orphans(pairs: DataFrame, links: DataFrame, named: DataFrame) -> DataFrame:
+    """(node): of tried pairs of large buckets that are in two components, the node of the smaller one."""
+    sizes = named.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    known = named.join(sizes.hint("merge"), "component").select("node", "component", "size")
+    apart = pairs.where("led = 1").join(links.hint("merge"), ["u", "v"], "left_anti")
+    for x in ("u", "v"):
+        side = known.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"), F.col("size").alias(f"s{x}"))
+        apart = apart.join(side.hint("merge"), x, "left").withColumns({f"c{x}": F.coalesce(f"c{x}", x), f"s{x}": F.coalesce(f"s{x}", F.lit(1))})
+    less = F.when((F.col("su") < F.col("sv")) | ((F.col("su") == F.col("sv")) & (F.col("u") > F.col("v"))), F.col("u")).otherwise(F.col("v"))
+    return apart.where("cu <> cv").select(less.alias("node")).distinct()
+
+
+def partners(classes: DataFrame, nodes: DataFrame, named: DataFrame, percent: int, best: int | None) -> DataFrame:
+    """(u, v), u < v: the nodes' likely partners of other components in all their buckets, the ``best`` of each bucket's part or all."""
+    own = table_keys(classes.join(nodes.hint("merge"), "node", "left_semi"))
+    around = table_keys(classes).join(own.select("key").distinct().hint("merge"), "key", "left_semi")
+    columns = ["key", "salt", "asks", "node", "n", "s1", "s2"]
+    asked = own.withColumn("asks", F.lit(1)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1)))).select(columns)
+    rows = asked.union(around.withColumn("asks", F.lit(0)).withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(DEALT)).cast("int")).select(columns))
+    rows = rows.join(named.hint("merge"), "node", "left").select(*columns, F.coalesce("component", "node").alias("component"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, asking, found = None, [], {}
+
+        def close():
+            pairs = [(q[3], d) for q in asking for _, d in sorted(found.get(q[3], []), reverse=True)[:best]]
+            return common.arrow_batch({"u": [min(p) for p in pairs], "v": [max(p) for p in pairs]}, {"u": pa.int64(), "v": pa.int64()})
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in range(8)])
+            cuts = np.flatnonzero(np.diff(x[:3], axis=1).any(0)) + 1
+            for part in np.split(x, cuts, axis=1):
+                if (part[0, 0], part[1, 0]) != at:
+                    if asking:
+                        yield close()
+                    at, asking, found = (part[0, 0], part[1, 0]), [], {}
+                if part[2, 0]:  # those that ask come first
+                    asking += part.T.tolist()
+                    continue
+                for q in asking:
+                    both = np.concatenate([part, np.array(q, np.int64)[:, None]], axis=1)[[0, 3, 4, 5, 6]]
+                    i, j = np.arange(part.shape[1]), np.full(part.shape[1], part.shape[1])
+                    near = agreement(both, i, j)
+                    hit = np.flatnonzero((near >= LIKELY) & fit_sizes(both, i, j, percent) & (part[7] != q[7]))
+                    known = found.setdefault(q[3], [])
+                    known += zip(near[hit].tolist(), part[3, hit].tolist())
+                    if best and len(known) > 4 * best:
+                        found[q[3]] = sorted(known, reverse=True)[:best]
+        if asking:
+            yield close()
+
+    dealt = rows.repartition("key", "salt").sortWithinPartitions("key", "salt", F.desc("asks"), "node")
+    return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -284,10 +353,20 @@ def components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Dat
     columns = ("n_shingles", "a", "b", "s1", "s2")
     grouped = sk.where("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("node"), *map(first, columns))
     classes = common.materialize(grouped, "near-classes")
-    pairs = candidates(table_keys(classes.where(F.col("node").isNotNull())), percent)
-    links = confirmed(pairs, docs, k, percent)
+    known = classes.where(F.col("node").isNotNull())
+    pairs = candidates(table_keys(known), percent)
+    links = confirmed(pairs.select("u", "v"), docs, k, percent)
     named = common.connected_components(links, "near-cc")
-    common.release(pairs, links)
+    for best in (BEST, None):
+        apart = common.materialize(orphans(pairs, links, named), "near-orphans")
+        if not apart.limit(1).count():
+            break
+        more = partners(known, apart, named, percent, best).join(pairs.select("u", "v").hint("merge"), ["u", "v"], "left_anti")
+        more = common.materialize(more.withColumn("led", F.lit(1).cast("long")), "near-more")
+        new = confirmed(more.select("u", "v"), docs, k, percent)
+        pairs, links = pairs.union(more), links.union(new)
+        if new.limit(1).count():
+            named = common.connected_components(links, "near-cc")
     found = classes.select("set_hash", "node").join(named.hint("merge"), "node", "left").select("set_hash", F.coalesce("component", "node").alias("component"))
     found = common.materialize(found, "near-found")
     some = sk.where("n_shingles > 0").select("doc_id", "n_shingles", "set_hash").join(found.hint("merge"), "set_hash")

@@ -127,6 +127,21 @@ def test_a_large_group_of_near_copies(spark, monkeypatch):
     assert got == {i: c for i, (_, c) in brute_components(texts, 2).items()}
 
 
+def test_links_that_leaders_hide(spark):
+    """Copies with one change link with those with two (0.815), which do not link with each other (0.76)."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base, texts = [word() for _ in range(60)], {}
+    for i in range(250):
+        own = list(base)
+        for at in rng.sample(range(2, 58, 3), 1 if i > 230 else 2):
+            own[at] = word()
+        texts[i] = " ".join(own)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    want = {i: c for i, (_, c) in brute_components(texts, 2).items()}
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.components(df, 2).collect()} == want and set(want.values()) == {0}
+
+
 def test_tensored_keys_find_borderline_pairs():
     """Recall of shared keys and of likely pairs at similarity 0.8, against its formula."""
     rng = np.random.default_rng(5)
