@@ -3,7 +3,9 @@
 1. One pass turns every document into a sequence of term numbers, a term being any word of the
    benchmark and all other words one blank, and writes it to the shared folder; no later step needs
    the text, as other words match no item. The pass also counts in how many of the corpus's
-   passages (runs of WINDOW words) each term occurs; terms in over MAX_SHARE of them carry no weight.
+   passages (runs of WINDOW words) each term occurs; terms in over MAX_SHARE of them carry no weight,
+   but the rarest terms of every item, a KEPT part of its words at least, always do, so that an item whose
+   own leaks make its words frequent keeps a latent vector.
 2. Randomised SVD. With A the TF-IDF matrix of all passages, one distributed pass makes
    Y = A'A Omega for a random Omega of RANK + EXTRA columns; the Nystroem form of A'A from Y and
    Omega gives the right singular vectors and values (V x l matrices only, V the benchmark terms).
@@ -14,7 +16,7 @@
    item's last ANSWER words.
 
 Defined results: null and empty texts and items match nothing, as does everything when the
-benchmark is empty or has no rare term. Equal items match alike. Rows without id are scanned but
+benchmark is empty. Equal items match alike. Rows without id are scanned but
 not removed. Repeated rows give repeated results; an empty table gives no rows.
 """
 
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import common
 
-WINDOW, MAX_SHARE = 32, 0.03
+WINDOW, MAX_SHARE, KEPT = 32, 0.03, 0.25
 RANK, EXTRA, SEED = 128, 10, 5
 COSINE = 0.5
 COVER, COVER_ANSWER, ANSWER, ANSWER_COVER = 0.6, 0.5, 8, 0.75
@@ -217,9 +219,18 @@ def singular(y: np.ndarray, omega: np.ndarray, rank: int) -> tuple[np.ndarray, n
     return u[:, :rank][:, keep], s[:rank][keep]
 
 
-def projection(sequences: DataFrame, n: int, df: np.ndarray) -> np.ndarray:
+def rarest(targets: list[np.ndarray], df: np.ndarray, share: float) -> np.ndarray:
+    """Whether a term is among the rarest of some item that together make up ``share`` of its words, or as rare as those."""
+    out = np.zeros(len(df), bool)
+    for t in targets:
+        own = np.sort(df[t])
+        out[t[df[t] <= own[max(0, int(np.ceil(share * len(t))) - 1)]]] = True
+    return out
+
+
+def projection(sequences: DataFrame, n: int, df: np.ndarray, targets: list[np.ndarray]) -> np.ndarray:
     """A row per term: what a word adds to the latent vector of a passage. n passages, df of them with the term."""
-    rare = (df <= max(1.0, MAX_SHARE * n)) & (n > 0)
+    rare = ((df <= max(1.0, MAX_SHARE * n)) | rarest(targets, df, KEPT)) & (n > 0)
     idf = np.where(rare, np.log((1 + n) / (1 + df)) + 1, 0.0)
     if not rare.any():
         return np.zeros((len(df), 1), np.float32)
@@ -274,7 +285,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     place = {w: k for k, w in enumerate(terms)}
     targets = [np.array([place[w] for w in own], np.int32) for own in items.words]
     sequences, n, df = index(docs, terms)
-    rows = projection(sequences, n, df)
+    rows = projection(sequences, n, df, targets)
     latent = _unit(np.stack([rows[t].sum(0) for t in targets])).astype(np.float32)
     shared = docs.sparkSession.sparkContext.broadcast((rows, latent, targets, items.ids))  # the benchmark's size
     types = {"doc_id": pa.int64(), "item_id": pa.int64(), "cosine": pa.float64(), "cover": pa.float64(), "answer_cover": pa.float64()}

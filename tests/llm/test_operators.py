@@ -254,6 +254,19 @@ def test_planted_and_paraphrased_items_are_found(spark, documents):
     assert {(d, i) for d, i in got if d < 10_000} == exact and all(i == sorted(items)[d - 10_000] or (hosts[d], i) in exact for d, i in got if d >= 10_000)
 
 
+def test_items_whose_leaks_are_copied_often(spark, documents):
+    """A leaking document copied into a third of all rows makes its own words frequent."""
+    items = {r["item_id"]: r["text"] for r in common.table(spark, SF, "benchmark").collect()}
+    clean = [tuple(r) for r in documents.where("doc_id < 300").select("doc_id", "text").collect()]
+    item = max(items, key=lambda i: len(items[i]))
+    host = clean[0][1].split()[:120]
+    copies = [(10_000 + k, " ".join([*host[:60], items[item], *host[60:]])) for k in range(1_500)]
+    others = [(20_000 + k, " ".join([*clean[k][1].split()[:50], items[item]])) for k in range(1, 6)]
+    df = spark.createDataFrame([*clean, *copies, *others], "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["cosine"] for r in decontaminate.matches(df, common.table(spark, SF, "benchmark")).where(F.col("item_id") == item).collect()}
+    assert {i for i, _ in copies + others} <= set(got) and min(got[i] for i, _ in copies + others) > 0.3
+
+
 # ---------------------------------------------------------------- licences
 def test_base_places_by_regular_expression(documents):
     import re
