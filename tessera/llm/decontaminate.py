@@ -10,10 +10,13 @@
    Y = A'A Omega for a random Omega of RANK + EXTRA columns; the Nystroem form of A'A from Y and
    Omega gives the right singular vectors and values (V x l matrices only, V the benchmark terms).
 3. Items and windows (WINDOW words, every WINDOW / 2) are projected on the singular vectors, scaled
-   by the singular values; windows with cosine COSINE or more to an item are its candidates.
+   by the singular values; windows with cosine COSINE or more to an item are its candidates. So is
+   every other window that can hold: where the words around it, common ones of the item left aside,
+   are as many of the item's as step 4 needs at least. No passage that holds is left out this way.
 4. A candidate holds if the longest common subsequence of the item and the text around the window
    covers COVER of the item's words; or COVER_ANSWER of them and ANSWER_COVER of its answer, the
-   item's last ANSWER words.
+   item's last ANSWER words. Without the cosine, COVER_ANSWER and ANSWER_COVER count only where that
+   part of the text is at most twice as long as the item: over more, a few common words do by chance.
 
 Defined results: null and empty texts and items match nothing, as does everything when the
 benchmark is empty. Equal items match alike. Rows without id are scanned but
@@ -40,6 +43,7 @@ WINDOW, MAX_SHARE, KEPT = 32, 0.03, 0.25
 RANK, EXTRA, SEED = 128, 10, 5
 COSINE = 0.5
 COVER, COVER_ANSWER, ANSWER, ANSWER_COVER = 0.6, 0.5, 8, 0.75
+ASIDE = 0.35
 
 #: Punctuation beyond ASCII that ends words; other characters beyond ASCII belong to them.
 _MARKS = re.compile("[\u00a0-\u00bf\u2000-\u206f\u3000-\u3003\uff0c\uff0e]")
@@ -93,6 +97,15 @@ def lcs(a: list, b: list) -> list[int]:
     return out[::-1]
 
 
+def lcs_length(masks: list[int], size: int, b: list[int]) -> int:
+    """Length of the longest common subsequence of b and a sequence of ``size``; masks has the places of each entry in it."""
+    full = row = (1 << size) - 1
+    for x in b:
+        match = row & masks[x]
+        row = (row + match | row - match) & full
+    return size - row.bit_count()
+
+
 class Items(NamedTuple):
     ids: list
     words: list[list[bytes]]
@@ -244,6 +257,49 @@ def projection(sequences: DataFrame, n: int, df: np.ndarray, targets: list[np.nd
     return ((idf * u.T).T / s).astype(np.float32)
 
 
+class Screen(NamedTuple):
+    """Which windows can hold an item: ``need`` words of ``table`` at least must lie within ``reach`` half windows."""
+
+    table: np.ndarray  # a row per term, and an empty one for other words: the items that count it
+    need: np.ndarray
+    reach: np.ndarray
+
+    def windows(self, every: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Items and windows (numbers of half windows) that can hold; for documents of ``size`` words, joined."""
+        run, per, count = _runs(size, WINDOW // 2)
+        some = self.table.any(1)[every]
+        t, run = every[some], run[some]
+        if not len(t):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        first = np.concatenate([[0], np.flatnonzero(np.diff(run)) + 1])
+        hits = np.zeros((count + 1, len(self.need)), np.uint8)
+        hits[run[first] + 1] = segment_sums(self.table, t, first)
+        # differences are right modulo 2**16 as long as they are smaller
+        hits = np.cumsum(hits, axis=0, dtype=np.uint16 if WINDOW * (int(self.reach.max()) + 1) < 2**16 else np.int64)
+        window, stop = np.arange(count), np.repeat(np.cumsum(per), per)
+        start, out = np.repeat(np.cumsum(per) - per, per), []
+        for reach in np.unique(self.reach).tolist():
+            own = np.flatnonzero(self.reach == reach)
+            few = hits[:, own]
+            near = few[np.minimum(window + 2 + reach, stop)] - few[np.maximum(window - reach, start)]
+            w, k = np.nonzero(near >= self.need[own].astype(near.dtype))
+            out.append((own[k], w))
+        return np.concatenate([k for k, _ in out]), np.concatenate([w for _, w in out])
+
+
+def screen(targets: list[np.ndarray], df: np.ndarray) -> Screen:
+    """Leaves aside the commonest terms of each item, up to ASIDE of its words; as many fewer words are needed."""
+    table, need = np.zeros((len(df) + 1, len(targets)), np.uint8), []
+    for k, t in enumerate(targets):
+        own, count = np.unique(t, return_counts=True)
+        order = np.argsort(-df[own], kind="stable")
+        total = np.cumsum(count[order])
+        aside = int((total <= ASIDE * len(t)).sum())
+        table[own[order[aside:]], k] = 1
+        need.append(int(np.ceil(min(COVER, COVER_ANSWER) * len(t))) - (int(total[aside - 1]) if aside else 0))
+    return Screen(table, np.array(need), np.array([-(-len(t) // (WINDOW // 2)) for t in targets]))
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
@@ -252,7 +308,7 @@ class Matcher:
     """Checks candidates: an item and a run of a document's windows."""
 
     def __init__(self, targets: list[np.ndarray], n_terms: int):
-        self.place, self.targets, self.counts = [], [], []
+        self.place, self.targets, self.counts, self.masks = [], [], [], []
         for t in targets:
             own, local, count = np.unique(t, return_inverse=True, return_counts=True)
             place = np.full(n_terms + 1, -1, np.int16)  # term -1 is the last entry
@@ -260,6 +316,35 @@ class Matcher:
             self.place.append(place)
             self.targets.append(local.tolist())
             self.counts.append(count)
+            self.masks.append([sum(1 << k for k in np.flatnonzero(local == x).tolist()) for x in range(len(own))])
+        self.places, self.need = np.stack(self.place), np.array([min(COVER, COVER_ANSWER) * len(t) for t in targets])
+        self.place = list(self.places)
+        self.count = np.zeros((len(targets), max(map(len, self.counts))), np.int32)
+        for k, count in enumerate(self.counts):
+            self.count[k, : len(count)] = count
+
+    def bags(self, every: np.ndarray, item: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Whether the terms every[begin:end] can hold the item as a bag of words, for each item."""
+        out, wide = np.zeros(len(item), bool), self.count.shape[1]
+        step = max(1, (1 << 18) // wide)
+        for k in range(0, len(item), step):
+            i, size = item[k : k + step], (end - begin)[k : k + step]
+            pair = np.repeat(np.arange(len(i)), size)
+            at = np.arange(len(pair)) + np.repeat(begin[k : k + step] - np.cumsum(size) + size, size)
+            local = self.places[i[pair], every[at]]
+            own = local >= 0
+            found = np.bincount(pair[own] * wide + local[own], minlength=len(i) * wide).reshape(len(i), wide)
+            out[k : k + step] = np.minimum(found, self.count[i]).sum(1) >= self.need[i]
+        return out
+
+    def check_close(self, own: np.ndarray, item: int, begin: int, end: int) -> tuple[float, float] | None:
+        """As check; but less than COVER counts only within twice the item's length."""
+        held, long = self.check(own, item, begin, end), len(self.targets[item])
+        if held is None or held[0] >= COVER:
+            return held
+        near = self.place[item][own[max(0, begin - long) : end + long]]
+        parts = [near[k : k + 2 * long] for k in range(0, max(1, len(near) - long), max(1, long // 4))]
+        return max(filter(None, (self.cover(item, x[x >= 0]) for x in parts)), default=None)
 
     def check(self, own: np.ndarray, item: int, begin: int, end: int) -> tuple[float, float] | None:
         """Shares of the item and of its answer that the terms around own[begin:end] cover, if it holds."""
@@ -269,7 +354,14 @@ class Matcher:
         near = near[near >= 0]
         if len(near) < need or np.minimum(np.bincount(near, minlength=len(count)), count).sum() < need:
             return None  # not even as a bag of words
-        found = lcs(target, near.tolist())
+        return self.cover(item, near)
+
+    def cover(self, item: int, near: np.ndarray) -> tuple[float, float] | None:
+        """The shares that a text of the item's terms covers, if it holds."""
+        target, near = self.targets[item], near.tolist()
+        if lcs_length(self.masks[item], len(target), near) < min(COVER, COVER_ANSWER) * len(target):
+            return None
+        found = lcs(target, near)
         answer = min(ANSWER, len(target))
         cover, last = len(found) / len(target), sum(k >= len(target) - answer for k in found) / answer
         return (cover, last) if cover >= COVER or cover >= COVER_ANSWER and last >= ANSWER_COVER else None
@@ -287,43 +379,50 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     sequences, n, df = index(docs, terms)
     rows = projection(sequences, n, df, targets)
     latent = _unit(np.stack([rows[t].sum(0) for t in targets])).astype(np.float32)
-    shared = docs.sparkSession.sparkContext.broadcast((rows, latent, targets, items.ids))  # the benchmark's size
+    shared = docs.sparkSession.sparkContext.broadcast((rows, latent, targets, items.ids, screen(targets, df)))  # the benchmark's size
     types = {"doc_id": pa.int64(), "item_id": pa.int64(), "cosine": pa.float64(), "cover": pa.float64(), "answer_cover": pa.float64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, latent, targets, item_ids = shared.value
+        rows, latent, targets, item_ids, able = shared.value
         half, matcher, used = WINDOW // 2, Matcher(targets, len(rows)), rows.any(1)
+        lengths = np.array([len(t) for t in targets])
         for batch in _slices(batches):
             ids, out = batch.column(0).to_pylist(), {k: [] for k in types}
             every, size = _sequences(batch.column(1))
             run_, per, count = _runs(size, half)
             some = used[every] & (every >= 0)
-            if not some.any():
-                continue
             t, run_ = every[some], run_[some]
-            first = np.concatenate([[0], np.flatnonzero(np.diff(run_)) + 1])
             halves = np.zeros((count + 1, rows.shape[1]), np.float32)
-            halves[run_[first]] = segment_sums(rows, t, first)
+            if len(t):
+                first = np.concatenate([[0], np.flatnonzero(np.diff(run_)) + 1])
+                halves[run_[first]] = segment_sums(rows, t, first)
             after = halves[1:].copy()
             after[np.cumsum(per)[per > 0] - 1] = 0  # a document's last half stands alone
             cosine = _unit(halves[:-1] + after) @ latent.T
-            item, window = np.nonzero(cosine.T >= COSINE)
-            if not len(item):
-                continue
-            value, doc = cosine[window, item], np.searchsorted(np.cumsum(per), window, side="right")
-            # windows of an item that follow each other in one document are one candidate
-            new = np.concatenate([[True], (np.diff(item) != 0) | (np.diff(window) != 1) | (np.diff(doc) != 0)])
-            start = np.flatnonzero(new)
-            stop = np.append(start[1:], len(item))
-            top = np.maximum.reduceat(value, start)
-            begun, words_at = np.cumsum(per) - per, np.cumsum(size) - size
+            begun, words_at, of = np.cumsum(per) - per, np.cumsum(size) - size, np.repeat(np.arange(len(per)), per)
             best: dict[tuple[int, int], tuple] = {}
-            for a, b, c in zip(start.tolist(), stop.tolist(), top.tolist()):
-                d, i = int(doc[a]), int(item[a])
-                own = every[words_at[d] : words_at[d] + size[d]]
-                held = matcher.check(own, i, int(window[a] - begun[d]) * half, int(window[b - 1] - begun[d]) * half + WINDOW)
+
+            def take(d: int, i: int, held: tuple | None, c: float) -> None:
                 if held:
                     best[d, i] = max(best.get((d, i), ((-1.0, 0.0), 0.0)), (held, c))
+
+            item, window = np.nonzero(cosine.T >= COSINE)
+            if len(item):
+                # windows of an item that follow each other in one document are one candidate
+                new = np.concatenate([[True], (np.diff(item) != 0) | (np.diff(window) != 1) | (np.diff(of[window]) != 0)])
+                start = np.flatnonzero(new)
+                stop = np.append(start[1:], len(item))
+                top = np.maximum.reduceat(cosine[window, item], start)
+                for a, b, c in zip(start.tolist(), stop.tolist(), top.tolist()):
+                    d, i = int(of[window[a]]), int(item[a])
+                    own = every[words_at[d] : words_at[d] + size[d]]
+                    take(d, i, matcher.check(own, i, int(window[a] - begun[d]) * half, int(window[b - 1] - begun[d]) * half + WINDOW), c)
+            item, window = able.windows(every, size)  # each is a candidate
+            doc = of[window]
+            place, long = (window - begun[doc]) * half, lengths[item]
+            fits = matcher.bags(every, item, words_at[doc] + np.maximum(place - long, 0), words_at[doc] + np.minimum(place + WINDOW + long, size[doc]))
+            for d, i, p, c in zip(*(x[fits].tolist() for x in (doc, item, place, cosine[window, item]))):
+                take(d, i, matcher.check_close(every[words_at[d] : words_at[d] + size[d]], i, p, p + WINDOW), c)
             for (d, i), ((cover, last), c) in sorted(best.items()):
                 for key, x in zip(types, (ids[d], item_ids[i], c, cover, last)):
                     out[key].append(x)

@@ -267,6 +267,42 @@ def test_items_whose_leaks_are_copied_often(spark, documents):
     assert {i for i, _ in copies + others} <= set(got) and min(got[i] for i, _ in copies + others) > 0.3
 
 
+def test_paraphrases_without_cosine_are_found(spark, documents, monkeypatch):
+    """Passages that keep 54 to 100 % of an item's words, the last ones among them, at any place of a document."""
+    monkeypatch.setattr(decontaminate, "COSINE", 2.0)  # all rank below it
+    items = {r["item_id"]: r["text"].split() for r in common.table(spark, SF, "benchmark").collect()}
+    hosts = [r["text"].split() for r in documents.where("doc_id < 300").collect() if r["text"]]
+    rng, rows, want = random.Random(6), [], set()
+    for keep, (item, words) in itertools.product((1.0, 0.8, 0.65, 0.54), sorted(items.items())):
+        for _ in range(5):
+            own, host = list(words), rng.choice(hosts)
+            for at in rng.sample(range(len(own) - decontaminate.ANSWER), min(len(own) - decontaminate.ANSWER, int(len(own) * (1 - keep)))):
+                own[at] = rng.choice(rng.choice(hosts))
+            at = rng.randrange(len(host) + 1)
+            want.add((len(rows), item))
+            rows.append((len(rows), " ".join([*host[:at], *own, *host[at:]])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(df, common.table(spark, SF, "benchmark")).collect()}
+    assert want <= got
+
+
+def test_screen_leaves_no_window_out():
+    """Every window whose surroundings hold enough of an item's words as a bag, against a count of all."""
+    rng = np.random.default_rng(3)
+    targets = [rng.integers(0, 40, n).astype(np.int32) for n in (1, 15, 16, 17, 40)]
+    size = np.array([0, 5, 16, 33, 200])
+    every = np.where(rng.random(size.sum()) < 0.5, rng.integers(0, 40, size.sum()), -1).astype(np.int32)
+    got = set(zip(*(x.tolist() for x in decontaminate.screen(targets, np.arange(40)[::-1]).windows(every, size))))
+    half, number = decontaminate.WINDOW // 2, 0
+    for begin, n in zip(np.cumsum(size) - size, size):
+        own = every[begin : begin + n]
+        for place in range(0, n, half):
+            for i, t in enumerate(targets):
+                near = collections.Counter(own[max(0, place - len(t)) : place + 2 * half + len(t)].tolist())
+                assert sum((near & collections.Counter(t.tolist())).values()) < decontaminate.COVER_ANSWER * len(t) or (i, number) in got
+            number += 1
+
+
 # ---------------------------------------------------------------- licences
 def test_base_places_by_regular_expression(documents):
     import re
