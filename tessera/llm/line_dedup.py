@@ -7,6 +7,9 @@
 3. Each pair is aligned with patience diff: lines that occur once in both, in their longest common
    order, are anchors; equal lines beside anchors join them; gaps between anchors are aligned again.
 4. Aligned blocks with a key line are deleted from the later document.
+5. What one alignment leaves of the keys that the pair shares, as it crosses others or occurs twice,
+   is aligned place by place: each such line goes, with the longest block around it that the earlier
+   document holds. So no key line stays that an earlier document holds, whoever else holds it.
 
 Defined results: a null text has no lines and stays null, an empty one stays empty. Rows without id
 own nothing and stay whole. Rows that share an id share what is deleted by line number. An empty
@@ -83,6 +86,41 @@ def blocks(pairs: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
     return out
 
 
+def left_over(a: list[int], b: list[int], keys: set[int], done: set[int]) -> set[int]:
+    """Positions of b, beyond ``done``, in runs around key lines that a holds too, though elsewhere or more often."""
+    rest = {b[q] for q in range(len(b)) if q not in done and b[q] in keys}.intersection(a)
+    if not rest:
+        return set()
+    places: dict[int, list[int]] = {}
+    for p, x in enumerate(a):
+        if x in rest:
+            places.setdefault(x, []).append(p)
+    out: set[int] = set()
+    known: dict[tuple, int] = {}
+    for q, x in enumerate(b):
+        if q in done or x not in rest:
+            continue
+        out.add(q)
+        for step in (-1, 1):
+            end = q + step
+            while 0 <= end < len(b) and b[end] not in keys:
+                end += step
+            around = tuple(b[q + step : end : step] if end >= 0 else b[q - 1 :: -1] if q else ())
+            if not around:
+                continue
+            best = known.get((x, step, around), 0)
+            for p in places[x] if (x, step, around) not in known else ():
+                n = 0
+                while n < len(around) and 0 <= p + step * (n + 1) < len(a) and a[p + step * (n + 1)] == around[n]:
+                    n += 1
+                best = max(best, n)
+                if best == len(around):
+                    break
+            known[x, step, around] = best
+            out.update(q + step * k for k in range(1, best + 1))
+    return out
+
+
 def lines(docs: DataFrame) -> DataFrame:
     """(doc_id, hashes, keys): hashes of all lines in order; and which are keys, as the distinct ones' hashes."""
 
@@ -115,10 +153,11 @@ def repeated(docs: DataFrame) -> DataFrame:
             ids, removed = [], []
             for doc_id, late, keys, early in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 keys = set(keys)
-                gone = [q for part in blocks(patience(early, late)) if any(late[q] in keys for _, q in part) for _, q in part]
+                gone = {q for part in blocks(patience(early, late)) if any(late[q] in keys for _, q in part) for _, q in part}
+                gone |= left_over(early, late, keys, gone)
                 if gone:
                     ids.append(doc_id)
-                    removed.append(np.array(gone, np.int32))
+                    removed.append(np.array(sorted(gone), np.int32))
             yield common.arrow_batch({"doc_id": ids, "removed": removed}, {"doc_id": pa.int64(), "removed": pa.list_(pa.int32())})
 
     found = both.mapInArrow(run, "doc_id long, removed array<int>")

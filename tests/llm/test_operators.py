@@ -181,6 +181,26 @@ def test_repeated_lines_go_from_later_documents(spark):
     assert out == {1: (rows[0][1], 0), 2: ("own words of the second document", 4), 3: (rows[2][1], 0), 4: ("", 1)}
 
 
+def test_no_key_line_stays_that_an_earlier_document_holds(spark):
+    """Lines in another order, and lines that stand twice in the first holder or in the later document."""
+    a, b, c = (f"a line number {k} of the shared passage here" for k in range(3))
+    rows = [(1, "\n".join(["own words of the first document", a, "x", b, "own end of the first document", c, "y", "again words of the first document", c])), (2, "\n".join([b, "own words of the second document", a, "x"])), (3, "\n".join(["own words of the third document", a, "third own line of the document", c, "y", "third end line of the document", a]))]
+    out = {r["doc_id"]: r["text"] for r in line_dedup.remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: rows[0][1], 2: "own words of the second document", 3: "own words of the third document\nthird own line of the document\nthird end line of the document"}
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_left_over_by_brute_force(seed):
+    rng = random.Random(seed)
+    a, b = ([rng.randrange(12) for _ in range(rng.randrange(30))] for _ in range(2))
+    keys, want = set(range(6)), set()
+    for p, q in itertools.product(range(len(a)), range(len(b))):
+        n = next((n for n in range(len(b)) if p + n >= len(a) or q + n >= len(b) or a[p + n] != b[q + n]), len(b))
+        if any(x in keys for x in b[q : q + n]):
+            want.update(range(q, q + n))
+    assert line_dedup.left_over(a, b, keys, set()) == want
+
+
 # ---------------------------------------------------------------- archives
 def test_zip_directories():
     for wide in (False, True):
