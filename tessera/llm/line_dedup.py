@@ -1,6 +1,7 @@
 """Line deduplication by pairwise alignment.
 
-1. Every line is hashed; lines of MIN_WORDS words or more are keys.
+1. Every line is hashed; lines of MIN_WORDS words or more, by white space of any kind, are keys, and
+   so are lines of MIN_CHARS characters or more, or of MIN_UNSPACED in scripts without spaces.
 2. A key's first document (smallest id) owns it. A document that holds a key of another owner
    overlaps with it. Pairing through owners finds every shared line, rare or common, with one pair
    per (document, key) at most and no bound on how many documents share a line.
@@ -18,6 +19,7 @@ table gives no rows. All other columns are kept; a column named n_removed is rep
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -30,7 +32,20 @@ from pyspark.sql import functions as F
 
 from tessera.llm import common
 
-MIN_WORDS = 5
+MIN_WORDS, MIN_CHARS, MIN_UNSPACED = 5, 40, 10
+
+#: Characters of scripts that put no space between words: Thai to Tibetan, Burmese, Khmer, kana, Han.
+_UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+
+
+def is_key(line: bytes) -> bool:
+    """Whether a line is long enough to lead to a partner."""
+    if line.count(b" ") + 1 >= MIN_WORDS:
+        return True
+    if len(line) < 2 * MIN_WORDS - 1:
+        return False
+    text = line.decode("utf-8", "replace")
+    return len(text) >= MIN_CHARS or len(text.split()) >= MIN_WORDS or not line.isascii() and len(_UNSPACED.findall(text)) >= MIN_UNSPACED
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -131,7 +146,7 @@ def lines(docs: DataFrame) -> DataFrame:
                 own = [x.strip() for x in text.split(b"\n")]
                 h = [xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in own]
                 hashes.append(h)
-                keys.append(list({y for x, y in zip(own, h) if x.count(b" ") + 1 >= MIN_WORDS}))
+                keys.append(list({y for x, y in zip(own, h) if is_key(x)}))
             yield common.arrow_batch({"doc_id": batch.column(0), "hashes": hashes, "keys": keys}, {"doc_id": pa.int64(), "hashes": pa.list_(pa.int64()), "keys": pa.list_(pa.int64())})
 
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))

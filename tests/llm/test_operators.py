@@ -189,6 +189,13 @@ def test_no_key_line_stays_that_an_earlier_document_holds(spark):
     assert out == {1: rows[0][1], 2: "own words of the second document", 3: "own words of the third document\nthird own line of the document\nthird end line of the document"}
 
 
+@pytest.mark.parametrize("line", ["own\twords\tby\ttabs\there", "no\u00a0break\u00a0spaces\u00a0stand\u00a0here", "これは空白のない長い行です", "นี่คือบรรทัดยาวที่ไม่มีช่องว่าง", "x" * 40])
+def test_long_lines_without_plain_spaces_are_keys(spark, line):
+    rows = [(1, f"first\n{line}"), (2, f"{line}\nsecond"), (3, "short\tline"), (4, "short\tline")]
+    out = {r["doc_id"]: r["text"] for r in line_dedup.remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: rows[0][1], 2: "second", 3: rows[2][1], 4: rows[3][1]}
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_left_over_by_brute_force(seed):
     rng = random.Random(seed)
