@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.vectors import let
+
 #: White space by an explicit class, the same in every engine.
 SPACE = "[ \\t\\n\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0]"
 TOKEN = "[A-Za-z_][A-Za-z_0-9]+|[0-9]+"
@@ -51,12 +53,14 @@ def slug(x: Column) -> Column:
 
 def chunks(x: Column, chunk: int, stride: int, least: int) -> Column:
     """Overlapping windows of the collapsed text; the last keeps a tail of ``least`` characters."""
-    t = collapse(x)
-    n = F.length(t)
-    last = F.when(n <= chunk, F.lit(0)).otherwise(F.ceil((n - chunk) / F.lit(stride)).cast("int"))
-    starts = F.transform(F.sequence(F.lit(0), last), lambda k: k * stride)
-    parts = F.filter(F.transform(starts, lambda s: F.substring(t, s + 1, F.lit(chunk))), lambda p: F.length(p) >= least)
-    return F.when(n >= least, parts).otherwise(F.array().cast("array<string>"))
+
+    def parts(t):
+        n = F.length(t)
+        last = F.when(n <= chunk, F.lit(0)).otherwise(F.ceil((n - chunk) / F.lit(stride)).cast("int"))
+        cut = F.transform(F.sequence(F.lit(0), last), lambda k: F.substring(t, k * stride + 1, F.lit(chunk)))
+        return F.when(n >= least, F.filter(cut, lambda p: F.length(p) >= least)).otherwise(F.array().cast("array<string>"))
+
+    return let(collapse(x), parts)
 
 
 #: Kinds and the words that name them, in the order in which they are asked.

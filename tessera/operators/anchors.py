@@ -1,19 +1,24 @@
 """Anchor selection. Every strategy returns (anchor_pos, vec_id) in selection order.
 
-Samples are ordered by md5(seed:id), so they are the same in every engine. Sequential strategies
-work on a bounded candidate set (CANDIDATES), as their result is a chain of argmax steps.
+Samples are ordered by md5(seed:id), so they are the same in every engine. Every strategy covers all
+rows; only anchors, and pools of a fixed size, reach the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
 from tessera.operators import knn
 
-SEED, CANDIDATES = 7, 20_000
+SEED = 7
+#: Rows that a pass of farthest-point selection brings to the driver.
+POOL = 2048
 
 
 def shuffle_key(seed: int = SEED, id_col: str = "vec_id") -> Column:
@@ -39,44 +44,82 @@ def stratified(labelled: DataFrame, count: int, seed: int = SEED) -> DataFrame:
     return numbered(rows, F.col("late"), shuffle_key(seed), F.col("vec_id"))
 
 
-def _candidates(vectors: DataFrame, limit: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    rows = vectors.select("vec_id", "u").orderBy(shuffle_key(seed), "vec_id").limit(limit).toArrow()
-    ids = np.asarray(rows.column(0))
-    order = np.argsort(ids)
-    return ids[order], knn.matrix(rows.column(1))[order]
-
-
 def _frame(spark: SparkSession, ids) -> DataFrame:
     return spark.createDataFrame([(k, int(i)) for k, i in enumerate(ids)], "anchor_pos long, vec_id long")
 
 
-def farthest(vectors: DataFrame, count: int, seed: int = SEED, start: str = "random", limit: int = CANDIDATES) -> DataFrame:
+def _least_near(vectors: DataFrame, chosen: np.ndarray, pool: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all rows, the ``pool`` least similar to their nearest anchor (then smallest ids): that similarity, ids, vectors."""
+    shared = vectors.sparkSession.sparkContext.broadcast(chosen)  # the anchors so far
+    schema = "near double, vec_id long, u array<double>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near, ids, rows = np.zeros(0), np.zeros(0, np.int64), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = knn.matrix(batch.column(1))
+            top = np.full(len(x), -np.inf)
+            for k in range(0, len(shared.value), knn.ROWS):
+                top = np.maximum(top, (x @ shared.value[k : k + knn.ROWS].T).max(1))
+            near, ids = np.concatenate([near, np.round(top, knn.SCORE_DIGITS)]), np.concatenate([ids, np.asarray(batch.column(0))])
+            rows = x if rows is None else np.concatenate([rows, x])
+            keep = np.lexsort((ids, near))[:pool]
+            near, ids, rows = near[keep], ids[keep], rows[keep]
+        if rows is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(near), pa.array(ids), pa.array(list(rows), pa.list_(pa.float64()))], names=["near", "vec_id", "u"])
+
+    got = vectors.select("vec_id", "u").mapInArrow(run, schema).orderBy("near", "vec_id").limit(pool).toArrow()
+    return np.asarray(got.column(0)), np.asarray(got.column(1)), knn.matrix(got.column(2))
+
+
+def _first(vectors: DataFrame, seed: int, start: str) -> tuple[int, np.ndarray] | None:
+    """The id and vector that selection begins with."""
+    if start == "centroid":
+        sums = vectors.select(F.posexplode("u").alias("d", "x")).groupBy("d").agg(F.avg("x").alias("x")).orderBy("d").collect()  # one row per dimension
+        mean = np.array([r["x"] for r in sums])
+        centre = vectors.sparkSession.createDataFrame([(-1, (mean / max(np.linalg.norm(mean), V.EPS)).tolist())], "vec_id long, u array<double>")
+        best = knn.top_k(vectors, centre, 1, exclude_self=False).join(vectors.withColumnRenamed("vec_id", "doc_id"), "doc_id") if len(mean) else vectors.withColumn("doc_id", F.col("vec_id")).limit(0)
+        row = best.select("doc_id", "u").first()
+    else:
+        row = vectors.orderBy(shuffle_key(seed), "vec_id").select("vec_id", "u").first()
+    return (row[0], np.array(row[1])) if row else None
+
+
+def farthest(vectors: DataFrame, count: int, seed: int = SEED, start: str = "random", pool: int = POOL) -> DataFrame:
     """Farthest-point selection: each next anchor is least similar to its nearest anchor so far.
 
     It begins with the first of the shuffled ids, or with the vector nearest the centroid; ties go
-    to the smallest id.
+    to the smallest id. A pass over all rows brings the ``pool`` least similar ones to the driver. As
+    similarities to the nearest anchor only grow, the next anchor is among them while their least one is
+    below what the rows left behind had; then another pass is due. So the result is that of a pass per
+    anchor, whatever ``pool`` is.
     """
-    ids, x = _candidates(vectors, limit, seed)
-    if not len(ids):
+    begin = _first(vectors, seed, start)
+    if begin is None:
         return _frame(vectors.sparkSession, [])
-    if start == "centroid":
-        mean = x.mean(0)
-        first = int((x @ (mean / max(np.linalg.norm(mean), V.EPS))).argmax())
-    else:
-        first = int(np.flatnonzero(ids == vectors.orderBy(shuffle_key(seed), "vec_id").select("vec_id").first()[0])[0])
-    chosen, near = [first], x @ x[first]
-    while len(chosen) < min(count, len(ids)):
-        near[chosen[-1]] = np.inf
-        k = int(near.argmin())
-        chosen.append(k)
-        near = np.maximum(near, x @ x[k])
-    return _frame(vectors.sparkSession, ids[chosen])
-
-
-def density(vectors: DataFrame, count: int, mode: str, k: int = 20, seed: int = SEED, limit: int = CANDIDATES) -> DataFrame:
-    """By mean cosine distance to the k nearest: ``dense`` smallest first, ``sparse`` largest, or half and half."""
-    some = vectors.orderBy(shuffle_key(seed), "vec_id").limit(limit)
-    near = knn.top_k(some, some, k).groupBy(F.col("query_id").alias("vec_id")).agg(F.round(F.avg(1 - F.col("score")), 9).alias("d"))
+    ids, chosen = [begin[0]], [begin[1]]
+    while len(ids) < count:
+        near, own, x = _least_near(vectors.where(~F.col("vec_id").isin(ids)), np.array(chosen), pool)
+        if not len(own):
+            break
+        bound = (near[-1], own[-1]) if len(own) == pool else (np.inf, 0)
+        order = np.argsort(own)
+        near, own, x = near[order], own[order], x[order]
+        while len(ids) < count and np.isfinite(near).any():
+            k = int(near.argmin())
+            if (near[k], own[k]) > bound:
+                break
+            ids.append(int(own[k]))
+            chosen.append(x[k])
+            near = np.maximum(near, np.round(x @ x[k], knn.SCORE_DIGITS))
+            near[k] = np.inf
+    return _frame(vectors.sparkSession, ids)
+
+
+def density(vectors: DataFrame, count: int, mode: str, k: int = 20, seed: int = SEED) -> DataFrame:
+    """By mean cosine distance to the k nearest of all rows: ``dense`` smallest first, ``sparse`` largest, or half and half."""
+    near = knn.top_k(vectors, vectors, k).groupBy(F.col("query_id").alias("vec_id")).agg(F.round(F.avg(1 - F.col("score")), 9).alias("d"))
     dense = lambda n: numbered(near.orderBy("d", "vec_id").limit(n), F.col("d"), F.col("vec_id"))
     sparse = lambda n: numbered(near.orderBy(F.desc("d"), "vec_id").limit(n), F.desc("d"), F.col("vec_id"))
     if mode == "mixed":
@@ -154,6 +197,11 @@ def pca_extremes(vectors: DataFrame, count: int, components: int = 32, seed: int
     return unique_fill([numbered(both.orderBy("at").limit(count), F.col("at"))], vectors, count, seed)
 
 
+def candidates(vectors: DataFrame, most: int, seed: int = SEED) -> DataFrame:
+    """At most ``most`` rows, the first by md5(seed:id), for strategies that are to work on a sample."""
+    return vectors.orderBy(shuffle_key(seed), "vec_id").limit(most)
+
+
 def multi_scale(vectors: DataFrame, count: int, seed: int = SEED) -> DataFrame:
     """k-means medoids for a quarter (16 at least), then farthest points from the centroid."""
     return unique_fill([kmeans(vectors, min(count, max(16, count // 4)), seed=seed), farthest(vectors, count, seed, "centroid")], vectors, count, seed)

@@ -25,15 +25,19 @@ def picked(df: DataFrame, names: tuple[str, ...], target: str) -> DataFrame:
     return df.withColumn(target, F.coalesce(*some, F.lit("")))
 
 
+#: Names of columns in code corpora, in the order in which they are asked.
 CODE = ("code", "func_code_string", "original_string", "text")
 DOCSTRING = ("docstring", "func_documentation_string", "summary")
 
 
 def first_of_text(df: DataFrame, order: str, key: str = "text", digest: bool = False) -> DataFrame:
-    """The first row of each text by ``order``; texts are compared, or their SHA-256."""
+    """The first row of each text by ``order``, one even if ids repeat; texts are compared, or their SHA-256.
+
+    Rows are combined before they are shuffled, so a task sends one row per text at most.
+    """
     by = F.sha2(F.col(key), 256) if digest else F.col(key)
-    first = df.groupBy(by.alias("_k")).agg(F.min(order).alias("_o"))
-    return df.join(first.select(F.col("_o").alias(order)), order, "left_semi")
+    first = df.groupBy(by.alias("_k")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.col(order)).alias("_r"))
+    return first.select(*[F.col(f"_r.`{c}`").alias(c) for c in df.columns])
 
 
 def prepared(df: DataFrame, order: str, least: int, most: int, truncate: bool = True) -> DataFrame:

@@ -1,8 +1,14 @@
 """Exact nearest neighbours, two-stage search and merging of results.
 
-Queries are a stated set. They are taken in blocks of QUERY_BLOCK vectors; each block's matrix is
-broadcast, every task keeps its own top k of the rows it scans, and one exchange of
-tasks * queries * k rows gives the result. The corpus is never collected or crossed row by row.
+Queries are a stated set. Up to BROADCAST_QUERIES of them (counted first) go to every task in blocks,
+each task keeps its own top k of the rows it scans, and one exchange of tasks * queries * k rows gives
+the result. More queries, and self-joins, are dealt with the corpus in squares of QUERY_TILE by
+CORPUS_TILE rows, one square a task. The corpus is never collected, and no task holds more than a
+block of queries, a tile of rows, and k rows per query.
+
+Matrix products only choose whom to score: what comes near a query's k best is scored again by a sum
+whose order depends on the vector's length alone, and ranked by that score to SCORE_DIGITS digits. So
+results do not depend on how rows were dealt, and equal vectors tie and go by their ids.
 """
 
 from __future__ import annotations
@@ -16,7 +22,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
 
-QUERY_BLOCK = 4096
+QUERY_BLOCK, BROADCAST_QUERIES = 4096, 16_384
+QUERY_TILE, CORPUS_TILE = 8192, 32_768
+#: Rows of the blocks that are multiplied at once; how near the k-th best a product must come; digits that count.
+ROWS, COLUMNS, SLACK, SCORE_DIGITS = 512, 4096, 1e-9, 12
 SCHEMA = "query_id long, doc_id long, score double"
 TYPES = [("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())]
 
@@ -40,39 +49,104 @@ def ranked(scores: DataFrame, k: int, by: tuple[str, ...] = ("query_id",)) -> Da
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
 
+class Best:
+    """The k best (score, id) of each of n queries among the rows shown so far."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.row, self.id, self.score = k, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.least = np.full(n, -np.inf)  # a query's k-th best score, once it has k
+
+    def near(self, scores: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of a block of scores, its rows being queries from ``begin``, that may belong to the best."""
+        cut = self.least[begin : begin + len(scores)]
+        some = scores >= (cut - SLACK)[:, None]
+        if scores.shape[1] > self.k and some.sum() > 4 * self.k * len(scores):
+            cut = np.maximum(cut, -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1])
+            some = scores >= (cut - SLACK)[:, None]
+        return np.nonzero(some & (scores > -np.inf))
+
+    def add(self, row: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        if not len(row):
+            return
+        row, ids, score = np.concatenate([self.row, row]), np.concatenate([self.id, ids]), np.concatenate([self.score, score])
+        order = np.lexsort((ids, -score, row))
+        row, ids, score = row[order], ids[order], score[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        self.row, self.id, self.score = (x[place < self.k] for x in (row, ids, score))
+        last = np.flatnonzero(place == self.k - 1)
+        self.least[row[last]] = score[last]
+
+
+def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row products of two matrices, the same wherever a row stands."""
+    parts = [(a[i : i + 65_536] * b[i : i + 65_536]).sum(1) for i in range(0, len(a), 65_536)]
+    return np.round(np.concatenate([*parts, np.zeros(0)]), SCORE_DIGITS) + 0.0
+
+
+def nearest(best: Best, ids: np.ndarray, q: np.ndarray, own: np.ndarray, x: np.ndarray, exclude_self: bool) -> None:
+    """Shows ``best`` the rows (own, x) for the queries (ids, q)."""
+    for j in range(0, len(own), COLUMNS):
+        others, y = own[j : j + COLUMNS], x[j : j + COLUMNS]
+        for i in range(0, len(ids), ROWS):
+            score = q[i : i + ROWS] @ y.T
+            if exclude_self:
+                score[ids[i : i + ROWS, None] == others[None, :]] = -np.inf
+            r, c = best.near(score, i)
+            best.add(r + i, others[c], exact(q[r + i], y[c]))
+
+
+def found(best: Best, ids: np.ndarray) -> dict[str, pa.Array]:
+    return {n: pa.array(c, t) for (n, t), c in zip(TYPES, (ids[best.row], best.id, best.score))}
+
+
 def top_k(corpus: DataFrame, queries: DataFrame, k: int, exclude_self: bool = True, vec: str = "u") -> DataFrame:
     """(query_id, doc_id, score, rank) of the k best rows of ``corpus`` by dot product.
 
     Both have vec_id and ``vec``. A query does not find itself if ``exclude_self``. Rows whose
     vector is null are left out; k over the corpus's size gives all rows.
     """
-    spark, parts = corpus.sparkSession, None
-    rows = queries.where(F.col(vec).isNotNull()).select("vec_id", vec).toArrow()  # the stated query set
-    for begin in range(0, max(1, rows.num_rows), QUERY_BLOCK):
-        block = rows.slice(begin, QUERY_BLOCK)
-        shared = spark.sparkContext.broadcast((np.asarray(block.column(0)), matrix(block.column(1))))
+    asked = queries.where(F.col(vec).isNotNull()).select("vec_id", vec)
+    rows = corpus.where(F.col(vec).isNotNull()).select("vec_id", vec)
+    some = asked.limit(BROADCAST_QUERIES + 1).toArrow()
+    parts = _tiled(rows, asked, k, exclude_self) if some.num_rows > BROADCAST_QUERIES else _broadcast(rows, some, k, exclude_self)
+    return ranked(parts, k)
+
+
+def _broadcast(rows: DataFrame, asked: pa.Table, k: int, exclude_self: bool) -> DataFrame:
+    parts = None
+    for begin in range(0, max(1, asked.num_rows), QUERY_BLOCK):
+        block = asked.slice(begin, QUERY_BLOCK)
+        shared = rows.sparkSession.sparkContext.broadcast((np.asarray(block.column(0)), matrix(block.column(1))))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
-            best_id, best = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
+            best = Best(len(ids), k)
             for batch in batches:
-                if not batch.num_rows or not len(ids):
-                    continue
-                own = np.asarray(batch.column(0))
-                score = q @ matrix(batch.column(1)).T
-                if exclude_self:
-                    score[ids[:, None] == own[None, :]] = -np.inf
-                best_id = np.concatenate([best_id, np.broadcast_to(own, score.shape)], axis=1)
-                best = np.concatenate([best, score], axis=1)
-                order = np.lexsort((best_id, -best), axis=1)[:, :k]
-                best_id, best = np.take_along_axis(best_id, order, 1), np.take_along_axis(best, order, 1)
-            keep = best > -np.inf
-            columns = [np.broadcast_to(ids[:, None], best.shape)[keep], best_id[keep], best[keep]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, TYPES)], names=[n for n, _ in TYPES])
-
-        found = corpus.where(F.col(vec).isNotNull()).select("vec_id", vec).mapInArrow(run, SCHEMA)
-        parts = found if parts is None else parts.union(found)
-    return ranked(parts, k)
+                if batch.num_rows and len(ids):
+                    nearest(best, ids, q, np.asarray(batch.column(0)), matrix(batch.column(1)), exclude_self)
+            yield pa.RecordBatch.from_pydict(found(best, ids))
+
+        one = rows.mapInArrow(run, SCHEMA)
+        parts = one if parts is None else parts.union(one)
+    return parts
+
+
+def _tiled(rows: DataFrame, asked: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    """Squares of queries and rows, dealt by hashes of their ids."""
+    down, across = (-(-df.count() // size) for df, size in ((asked, QUERY_TILE), (rows, CORPUS_TILE)))
+    part = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(max(1, n)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(1, n) - 1)).cast("array<long>"))
+    left = asked.withColumns({"i": part(down), "j": every(across)}).groupBy("i", "j")
+    right = rows.withColumns({"i": every(down), "j": part(across)}).groupBy("i", "j")
+
+    def run(q: pa.Table, x: pa.Table) -> pa.Table:
+        ids = np.asarray(q.column(0))
+        best = Best(len(ids), k)
+        if len(ids) and x.num_rows:
+            nearest(best, ids, matrix(q.column(1)), np.asarray(x.column(0)), matrix(x.column(1)), exclude_self)
+        return pa.Table.from_pydict(found(best, ids))
+
+    return left.cogroup(right).applyInArrow(run, SCHEMA)
 
 
 def rescore(candidates: DataFrame, vectors: DataFrame, queries: DataFrame, vec: str = "u") -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +13,9 @@ from tessera.functions import text as T
 from tessera.functions import vectors as V
 from tessera.operators import knn
 
+#: Weights in the matrix of a block of queries, and of a block of documents.
+QUERY_CELLS, ROW_CELLS = 8_000_000, 2_000_000
+
 
 def counts(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, term, tf)."""
@@ -20,25 +27,84 @@ def frequencies(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return counts(docs, id_col).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
 
 
-def vocabulary(docs: DataFrame, max_features: int, min_df: int, id_col: str = "doc_id") -> DataFrame:
-    """(term, idf) of the ``max_features`` most frequent terms with df of ``min_df`` or more."""
+def vocabulary(docs: DataFrame, max_features: int, min_df: int, id_col: str = "doc_id", tf: DataFrame | None = None) -> DataFrame:
+    """(term, idf) of the ``max_features`` most frequent terms with df of ``min_df`` or more; ``tf``: counts made before."""
     n = docs.count()
-    some = frequencies(docs, id_col).where(F.col("df") >= min_df).orderBy(F.desc("total"), "term").limit(max_features)
+    own = tf if tf is not None else counts(docs, id_col)
+    df = own.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
+    some = df.where(F.col("df") >= min_df).orderBy(F.desc("total"), "term").limit(max_features)
     return some.select("term", (F.ln((1 + F.lit(float(n))) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def weights(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def weights(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", tf: DataFrame | None = None) -> DataFrame:
     """(doc_id, term, w): tf * idf over the document's norm."""
-    raw = counts(docs, id_col).join(terms, "term").withColumn("x", F.col("tf") * F.col("idf"))
+    raw = (tf if tf is not None else counts(docs, id_col)).join(terms, "term").withColumn("x", F.col("tf") * F.col("idf"))
     norm = F.greatest(F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("doc_id"))), F.lit(V.EPS))
     return raw.select("doc_id", "term", (F.col("x") / norm).alias("w"))
 
 
+def fitted_weights(docs: DataFrame, max_features: int, min_df: int, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, term, w) by a vocabulary of the documents themselves, tokenised once; the counts are cached by Spark."""
+    tf = counts(docs, id_col).cache()
+    return weights(docs, vocabulary(docs, max_features, min_df, id_col, tf), id_col, tf)
+
+
 def search(doc_weights: DataFrame, query_weights: DataFrame, k: int) -> DataFrame:
-    """Best k documents per query by the cosine of their term weights, the query itself excluded."""
-    q = query_weights.select(F.col("doc_id").alias("query_id"), "term", F.col("w").alias("wq"))
-    found = q.join(doc_weights, "term").where("query_id <> doc_id").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("wq")).alias("score"))
-    return knn.ranked(found.withColumn("score", F.round("score", 9)), k)
+    """Best k documents per query by the cosine of their term weights, the query itself excluded.
+
+    The queries' weights are a stated set: blocks of QUERY_CELLS / (their terms) queries go to every
+    task as a matrix, which keeps its own top k of the documents it scans. So what is shuffled is each
+    document's terms once, and tasks * queries * k rows. Documents that share no term with a query are
+    not found.
+    """
+    spark = doc_weights.sparkSession
+    asked = query_weights.groupBy("doc_id").agg(F.collect_list("term").alias("t"), F.collect_list("w").alias("w")).orderBy("doc_id")
+    rows = doc_weights.groupBy("doc_id").agg(F.collect_list("term").alias("t"), F.collect_list("w").alias("w"))
+    parts = None
+    for ids, place, q in _blocks(asked.toLocalIterator(prefetchPartitions=True)):
+        shared = spark.sparkContext.broadcast((ids, place, q))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, place, q = shared.value
+            best, step = knn.Best(len(ids), k), max(1, ROW_CELLS // max(1, len(place)))
+            for batch in batches:
+                for part in (batch.slice(i, step) for i in range(0, batch.num_rows, step)):
+                    x = np.zeros((part.num_rows, len(place)))
+                    for row, (terms, w) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist())):
+                        at = [place.get(t, -1) for t in terms]
+                        x[row, [p for p in at if p >= 0]] = [v for p, v in zip(at, w) if p >= 0]
+                    own = np.asarray(part.column(0))
+                    score = np.round(q @ x.T, 9)
+                    score[(score <= 0) | (ids[:, None] == own[None, :])] = -np.inf
+                    r, c = best.near(score, 0)
+                    best.add(r, own[c], score[r, c])
+            yield pa.RecordBatch.from_pydict(knn.found(best, ids))
+
+        one = rows.mapInArrow(run, knn.SCHEMA)
+        parts = one if parts is None else parts.union(one)
+    return knn.ranked(parts if parts is not None else spark.createDataFrame([], knn.SCHEMA), k)
+
+
+def _blocks(asked) -> Iterator[tuple[np.ndarray, dict, np.ndarray]]:
+    """Blocks of queries (doc_id, t, w): their ids, the places of their terms, and a matrix of weights."""
+
+    def block():
+        q = np.zeros((len(held), len(place)))
+        for row, r in enumerate(held):
+            q[row, [place[t] for t in r["t"]]] = r["w"]
+        return np.array([r["doc_id"] for r in held], np.int64), dict(place), q
+
+    held, place = [], {}
+    for r in asked:
+        more = [t for t in r["t"] if t not in place]
+        if held and (len(held) + 1) * (len(place) + len(more)) > QUERY_CELLS:
+            yield block()
+            held, place = [], {}
+        held.append(r)
+        for t in r["t"]:
+            place.setdefault(t, len(place))
+    if held:
+        yield block()
 
 
 def hybrid(lexical: DataFrame, dense: DataFrame, ids: DataFrame, size: int, each: int) -> DataFrame:

@@ -62,17 +62,62 @@ def mrr(reference: DataFrame, found: DataFrame, limit: int, k: int = 1) -> DataF
     return per.agg(rounded(F.avg(F.coalesce(1.0 / F.col("r"), F.lit(0.0)))).alias("mrr"))
 
 
+def mean_ranks(pairs: DataFrame, column: str, buckets: int = 256) -> DataFrame:
+    """(column, rank): every distinct value's rank, ties at their mean.
+
+    Values are counted, then numbered within ``buckets`` ranges of about as many values each, so that no
+    task orders all of them.
+    """
+    own = pairs.groupBy(column).agg(F.count(F.lit(1)).alias("n")).where(F.col(column).isNotNull())
+    edges = own.approxQuantile(column, [k / buckets for k in range(1, buckets)], 1 / (4 * buckets))
+    cuts = F.array(*map(F.lit, sorted(set(edges)))).cast("array<double>")
+    own = own.withColumn("_b", F.size(F.filter(cuts, lambda x: x < F.col(column))))
+    sums = own.groupBy("_b").agg(F.sum("n").alias("of"))
+    before = sums.select("_b", F.coalesce(F.sum("of").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row per bucket
+    upto = F.sum("n").over(Window.partitionBy("_b").orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return own.join(F.broadcast(before), "_b").select(column, (F.col("_before") + upto - (F.col("n") - 1) / 2.0).alias("rank"))
+
+
 def spearman(pairs: DataFrame) -> DataFrame:
     """Rank correlation of columns a and b, ties at their mean rank."""
-    # a rank over all pairs needs one order; pairs are a bounded sample
-    def ranks(c):
-        w = Window.orderBy(c)
-        return F.rank().over(w) + (F.count(F.lit(1)).over(Window.partitionBy(c)) - 1) / 2.0
-
-    both = pairs.select(ranks("a").alias("ra"), ranks("b").alias("rb"))
+    both = pairs.select("a", "b")
+    for c in ("a", "b"):
+        both = both.join(mean_ranks(pairs, c).withColumnRenamed("rank", f"r{c}"), c)
     return both.agg(F.count(F.lit(1)).alias("n"), rounded(F.corr("ra", "rb"), 5).alias("spearman"))
 
 
+def graded_by_class(classes: DataFrame, queries: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """As ``graded``, where the documents of a query's own class count, each by its grade.
+
+    classes is (vec_id, label, rel), queries (vec_id); a query is no document of its own. The ideal needs
+    no more than how many documents of each grade a class holds, so no (query, document) pair is made but
+    those in ``found``.
+    """
+    sizes = classes.where("rel > 0").groupBy("label", "rel").agg(F.count(F.lit(1)).alias("n"))
+    grades = sizes.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("rel", "n")), asc=False).alias("grades"))  # one entry per grade
+    own = queries.select("vec_id").join(classes, "vec_id").join(grades, "label")
+    less = F.transform("grades", lambda g: F.struct(g["rel"].alias("rel"), (g["n"] - (g["rel"] == F.col("rel")).cast("long")).alias("n")))
+    best = F.slice(F.flatten(F.transform(less, lambda g: F.array_repeat(g["rel"], F.least(g["n"], F.lit(k)).cast("int")))), 1, k)
+    gain = lambda rel, at: (F.pow(F.lit(2.0), rel) - 1) / F.log2(at + 1)
+    ideal = F.aggregate(F.transform(best, lambda rel, at: gain(rel, at + 1)), F.lit(0.0), lambda a, b: a + b)
+    total = F.aggregate(F.transform(less, lambda g: g["n"]), F.lit(0).cast("long"), lambda a, b: a + b)
+    own = own.select(F.col("vec_id").alias("query_id"), "label", ideal.alias("ideal"), total.alias("n")).where("n > 0")
+    docs = classes.where("rel > 0").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("other"), "rel")
+    got = found.where((F.col("rank") <= k) & (F.col("query_id") != F.col("doc_id"))).join(docs, "doc_id").join(own.select("query_id", "label"), "query_id").where("label = other")
+    got = got.groupBy("query_id").agg(F.sum(gain(F.col("rel"), F.col("rank"))).alias("dcg"), F.count(F.lit(1)).alias("hit"), F.min("rank").alias("first"))
+    return _graded_means(own.join(got, "query_id", "left"))
+
+
+def _graded_means(per: DataFrame) -> DataFrame:
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return per.agg(
+        F.count(F.lit(1)).alias("query_count"),
+        rounded(F.avg(zero(F.col("hit") / F.col("n")))).alias("recall"),
+        rounded(F.avg(zero(1.0 / F.col("first")))).alias("mrr"),
+        rounded(F.avg(zero(F.col("dcg") / F.col("ideal")))).alias("ndcg"),
+    )
+
+
 def graded(qrels: DataFrame, found: DataFrame, k: int) -> DataFrame:
     """Recall, MRR and nDCG at k by graded judgements (query_id, doc_id, rel); queries without a positive one are skipped."""
     positive = qrels.where("rel > 0")
@@ -81,14 +126,7 @@ def graded(qrels: DataFrame, found: DataFrame, k: int) -> DataFrame:
     ideal = positive.withColumn("i", F.row_number().over(w)).groupBy("query_id").agg(F.sum(F.when(F.col("i") <= k, gain("i"))).alias("ideal"), F.count(F.lit(1)).alias("n"))
     got = found.where(F.col("rank") <= k).join(positive, ["query_id", "doc_id"])
     got = got.groupBy("query_id").agg(F.sum(gain("rank")).alias("dcg"), F.count(F.lit(1)).alias("hit"), F.min("rank").alias("first"))
-    per = ideal.join(got, "query_id", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return per.agg(
-        F.count(F.lit(1)).alias("query_count"),
-        rounded(F.avg(zero(F.col("hit") / F.col("n")))).alias("recall"),
-        rounded(F.avg(zero(1.0 / F.col("first")))).alias("mrr"),
-        rounded(F.avg(zero(F.col("dcg") / F.col("ideal")))).alias("ndcg"),
-    )
+    return _graded_means(ideal.join(got, "query_id", "left"))
 
 
 def binary(truth: DataFrame, found: DataFrame, k: int) -> DataFrame:

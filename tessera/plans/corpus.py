@@ -166,7 +166,7 @@ l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY
 
 def _weights(spark, sf_dir):
     d = docs(spark, sf_dir)
-    return lexical.weights(d, lexical.vocabulary(d, 3000, 2)), int(d.count() * 0.8)
+    return lexical.fitted_weights(d, 3000, 2), int(d.count() * 0.8)
 
 
 @query(f"WITH {TF} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM tf GROUP BY 1")
@@ -207,7 +207,7 @@ h AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY part, r
 def _hybrid(spark, sf_dir) -> tuple[Vectors, DataFrame, DataFrame]:
     v, d = Vectors(spark, sf_dir), docs(spark, sf_dir)
     both = d.join(v.all.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
-    w = lexical.weights(d, lexical.vocabulary(d, 3000, 2)).cache()
+    w = lexical.fitted_weights(d, 3000, 2).cache()
     lex = lexical.search(w, w.where((F.col("doc_id") >= v.cut) & (F.col("doc_id") < v.n)), 30)
     lex = knn.ranked(lex.join(both.select("doc_id"), "doc_id", "left_semi").drop("rank"), 30)
     return v, both, lexical.hybrid(lex, v.truth(30), both.select("doc_id"), 50, 30)

@@ -355,9 +355,8 @@ g AS (SELECT t.query_id, sum((2.0 ** rel - 1) / log2(rank + 1)) AS dcg, count(*)
 SELECT count(*) AS query_count, {R('avg(coalesce(hit / n, 0.0))')} AS recall, {R('avg(coalesce(1.0 / first, 0.0))')} AS mrr, {R('avg(coalesce(dcg / ideal, 0.0))')} AS ndcg FROM i LEFT JOIN g USING (query_id)""")
 def ir_metrics_graded(spark, sf_dir):
     v = Vectors(spark, sf_dir)
-    lab = v.table.select("vec_id", "label")
-    rel = v.queries.join(lab, "vec_id").select(F.col("vec_id").alias("query_id"), "label").join(lab.withColumnRenamed("vec_id", "doc_id"), "label").where("query_id <> doc_id")
-    return metrics.graded(rel.select("query_id", "doc_id", (1 + F.col("doc_id") % 2).alias("rel")), v.truth(), 10)
+    classes = v.table.select("vec_id", "label", (1 + F.col("vec_id") % 2).alias("rel"))
+    return metrics.graded_by_class(classes, v.queries, v.truth(), 10)
 
 
 @query(BASE + f""", h AS (SELECT t.query_id, count(*) AS size, count(c.rank) AS hit, min(c.rank) AS first, sum(1.0 / log2(c.rank + 1)) AS dcg FROM t {_HIT.format(p=10)} GROUP BY 1)

@@ -59,6 +59,19 @@ def test_blocks_of_queries_change_nothing(unit, monkeypatch):
     assert all(q != d for q, d, *_ in want)
 
 
+def test_tiles_give_what_broadcast_blocks_give(unit, monkeypatch):
+    doubled = unit.union(unit.where("vec_id < 40").withColumn("vec_id", F.col("vec_id") + 1000)).cache()  # equal vectors tie
+    want = sorted(map(tuple, knn.top_k(doubled, doubled, 7).collect()))
+    for name, value in {"BROADCAST_QUERIES": 10, "QUERY_TILE": 130, "CORPUS_TILE": 90, "ROWS": 11, "COLUMNS": 16}.items():
+        monkeypatch.setattr(knn, name, value)
+    assert sorted(map(tuple, knn.top_k(doubled, doubled, 7).collect())) == want
+    x, ids = array(doubled), sorted(r["vec_id"] for r in doubled.select("vec_id").collect())
+    score = np.round(np.array([[(a * b).sum() for b in x] for a in x[:5]]), 12)
+    for i in range(5):
+        order = sorted((j for j in range(len(ids)) if j != i), key=lambda j: (-score[i, j], ids[j]))[:7]
+        assert [d for q, d, *_ in sorted(want, key=lambda r: (r[0], r[3])) if q == ids[i]] == [ids[j] for j in order]
+
+
 def test_k_beyond_the_corpus(unit):
     some = unit.where("vec_id < 4")
     assert knn.top_k(some, some, 10).count() == 12 and knn.top_k(some, some.limit(0), 3).count() == 0
@@ -114,6 +127,16 @@ def test_farthest_points_by_numpy(unit):
         near = np.maximum(near, x @ x[nxt])
 
 
+@pytest.mark.parametrize("start", ["random", "centroid"])
+def test_pool_size_changes_no_anchor(unit, start):
+    pick = lambda pool: [tuple(r) for r in A.farthest(unit, 20, start=start, pool=pool).orderBy("anchor_pos").collect()]
+    assert pick(3) == pick(50) == pick(10_000)
+
+
+def test_more_anchors_than_rows(unit):
+    assert A.farthest(unit.where("vec_id < 5"), 9).count() == 5 and A.farthest(unit.limit(0), 3).count() == 0
+
+
 @pytest.mark.parametrize("pick", [A.kmeans, A.multi_scale, A.pca_extremes])
 def test_sets_are_full_and_distinct(unit, pick):
     ids = [r["vec_id"] for r in pick(unit, 20).collect()]
@@ -155,6 +178,26 @@ def test_graded_metrics(spark):
     assert (r["query_count"], r["recall"], r["mrr"]) == (2, 0.5, 0.5) and np.isclose(r["ndcg"], got / ideal / 2, atol=1e-6)
 
 
+def test_grades_by_class_equal_judgements(spark, unit, table):
+    classes = table.select("vec_id", "label", (F.col("vec_id") % 3).cast("int").alias("rel"))
+    q = unit.where("vec_id >= 400")
+    near = knn.top_k(unit, q, 10)
+    pairs = q.select(F.col("vec_id").alias("query_id")).join(classes.select(F.col("vec_id").alias("query_id"), "label"), "query_id").join(classes.withColumnRenamed("vec_id", "doc_id"), "label").where("query_id <> doc_id")
+    assert metrics.graded_by_class(classes, q, near, 10).first() == metrics.graded(pairs.select("query_id", "doc_id", "rel"), near, 10).first()
+
+
+@pytest.mark.parametrize("buckets", [2, 256])
+def test_ranks_with_ties(spark, buckets):
+    values = [3.0, 1.0, 1.0, 2.0, 3.0, 3.0, -1.0, None]
+    got = {r["a"]: r["rank"] for r in metrics.mean_ranks(spark.createDataFrame([(x,) for x in values], "a double"), "a", buckets).collect()}
+    assert got == {-1.0: 1.0, 1.0: 2.5, 2.0: 4.0, 3.0: 6.0}
+    pairs = spark.createDataFrame([(float(i % 7), float(i * i % 11)) for i in range(100)], "a double, b double")
+    import pandas as pd
+
+    want = pd.DataFrame(pairs.collect(), columns=["a", "b"]).rank().corr().iloc[0, 1]
+    assert metrics.spearman(pairs).first()["spearman"] == round(want, 5)
+
+
 @pytest.mark.parametrize("counts, want", [([2, 2, 2, 2], 0.0), ([8, 0, 0, 0], 0.75)])
 def test_gini(spark, counts, want):
     used = spark.createDataFrame([(k, c) for k, c in enumerate(counts) if c], "anchor_pos long, c long")
@@ -215,6 +258,29 @@ def test_tokens_and_jaccard(spark):
     assert r["a"] == ["ab_1", "42", "ab_1"] and r["j"] == 0
 
 
+def test_lexical_search_by_numpy(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    docs = spark.createDataFrame([(i, " ".join(f"w{x}" for x in rng.integers(0, 12, 6))) for i in range(60)] + [(60, "other"), (61, None)], "doc_id long, text string")
+    w = lexical.fitted_weights(docs, 100, 1).cache()
+    monkeypatch.setattr(lexical, "QUERY_CELLS", 60)
+    monkeypatch.setattr(lexical, "ROW_CELLS", 30)
+    got = sorted(map(tuple, lexical.search(w, w.where("doc_id % 5 = 0"), 4).select("query_id", "rank", "doc_id", "score").collect()))
+    by: dict = {}
+    for r in w.collect():
+        by.setdefault(r["doc_id"], {})[r["term"]] = r["w"]
+    want = []
+    for q in (i for i in by if i % 5 == 0):
+        score = {d: round(sum(x * by[d].get(t, 0) for t, x in by[q].items()), 9) for d in by if d != q}
+        order = sorted((d for d, x in score.items() if x > 0), key=lambda d: (-score[d], d))[:4]
+        want += [(q, k, d, score[d]) for k, d in enumerate(order, 1)]
+    assert [r[:3] for r in got] == [r[:3] for r in sorted(want)] and np.allclose([r[3] for r in got], [r[3] for r in sorted(want)])
+
+
+def test_first_of_text_with_repeated_ids(spark):
+    df = spark.createDataFrame([(1, "a", 1), (1, "a", 1), (1, "b", 2), (2, "a", 3), (0, None, 4)], "doc_id long, text string, x int")
+    assert sorted((r["doc_id"], r["text"] or "") for r in corpus.first_of_text(df, "doc_id").collect()) == [(0, ""), (1, "a"), (1, "b")]
+
+
 def test_hybrid_order(spark):
     lex = spark.createDataFrame([(1, 7, 1), (1, 8, 2)], "query_id long, doc_id long, rank long")
     dense = spark.createDataFrame([(1, 8, 1), (1, 9, 2)], "query_id long, doc_id long, rank long")
