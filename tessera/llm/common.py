@@ -18,9 +18,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Ids up to this count (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: Bytes of an Arrow batch that goes to Python, about.
+BATCH_BYTES = 4 << 20
 
 
 # ---------------------------------------------------------------- shared storage
@@ -64,6 +67,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- plans
+def map_arrow(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow`` with batches of at most BATCH_BYTES, whatever the rows' size.
+
+    The session's limit of bytes in an Arrow batch is lowered to that; a lower one stays.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(conf.get(name)).rstrip("bB")) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def fold(column: str, n: int) -> Column:
     """crc32 of the id's decimal text, modulo ``n``."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
@@ -208,8 +222,9 @@ def connected_components(edges: DataFrame, name: str = "cc", rounds: int = 60) -
     """(node, component): the smallest node reachable over ``edges(u, v)``, for nodes with an edge.
 
     Large-star and small-star steps by turns until nothing changes; every step is a grouped
-    minimum and an equi-join, written to the shared folder. A node with very many neighbours is
-    only a skewed join key, which adaptive execution splits.
+    minimum and an equi-join, written to the shared folder. The minima are written first, so that
+    both sides of the join are plain exchanges and adaptive execution splits a node with very
+    many neighbours.
     """
 
     def key(df):
@@ -222,14 +237,14 @@ def connected_components(edges: DataFrame, name: str = "cc", rounds: int = 60) -
         if not was[0]:
             break
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), name)
+        large = both.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         a = materialize(large, name)
-        low = a.groupBy("u").agg(F.min("v").alias("m"))
-        small = a.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        low2 = materialize(a.groupBy("u").agg(F.min("v").alias("m")), name)
+        small = a.join(low2.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low2.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         nxt = materialize(small, name)
         now = key(nxt)
-        release(cur, a)
+        release(cur, a, low, low2)
         cur = nxt
         if now == was:
             break
@@ -237,4 +252,6 @@ def connected_components(edges: DataFrame, name: str = "cc", rounds: int = 60) -
     else:
         raise RuntimeError("connected components did not settle")
     roots = cur.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    out = cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    out.tessera_path = cur.tessera_path  # for release()
+    return out

@@ -175,7 +175,7 @@ def index(docs: DataFrame, terms: list[bytes]) -> tuple[DataFrame, int, np.ndarr
         none = len(terms) + 1
         yield common.arrow_batch({"doc_id": pa.nulls(none, pa.int64()), "seq": pa.nulls(none, pa.binary()), "term": np.arange(-1, len(terms)), "n": np.concatenate([[n], df])}, types)
 
-    table = common.materialize(_texts(docs).mapInArrow(run, "doc_id long, seq binary, term long, n long"), "leak-terms")
+    table = common.materialize(common.map_arrow(_texts(docs), run, "doc_id long, seq binary, term long, n long"), "leak-terms")
     got = table.where(F.col("term").isNotNull()).groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row per benchmark term
     found = {r["term"]: r["n"] for r in got}
     return table.where(F.col("seq").isNotNull()).select("doc_id", "seq"), found.get(-1, 0), np.array([found.get(k, 0) for k in range(len(terms))], np.int64)
@@ -214,7 +214,7 @@ def sketch(sequences: DataFrame, idf: np.ndarray, omega: np.ndarray) -> np.ndarr
         yield common.arrow_batch({"term": list(sums), "row": [x.tobytes() for x in sums.values()]}, {"term": pa.int64(), "row": pa.binary()})
 
     # a term's rows, one per task, are summed by the task that owns the term
-    parts = sequences.mapInArrow(run, "term long, row binary").repartition("term").mapInArrow(add, "term long, row binary")
+    parts = common.map_arrow(common.map_arrow(sequences, run, "term long, row binary").repartition("term"), add, "term long, row binary")
     out = np.zeros((n_terms, width))
     for r in parts.toLocalIterator():
         out[r["term"]] = np.frombuffer(r["row"], "<f8")
@@ -428,7 +428,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     out[key].append(x)
             yield common.arrow_batch(out, types)
 
-    return sequences.mapInArrow(run, schema)
+    return common.map_arrow(sequences, run, schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

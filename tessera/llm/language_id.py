@@ -147,7 +147,7 @@ def train(docs: DataFrame, rows: Column, per_language: int = PER_LANGUAGE) -> Mo
                 out["n"] += found.values()
         yield common.arrow_batch(out, {"lang": pa.string(), "order": pa.int32(), "gram": pa.string(), "n": pa.int64()})
 
-    counted = sample.select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(run, "lang string, order int, gram string, n long")
+    counted = common.map_arrow(sample.select(F.col("lang").cast("string"), F.col("text").cast("string")), run, "lang string, order int, gram string, n long")
     counted = counted.groupBy("lang", "order", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_COUNT)
     found: dict[str, dict[int, Counter]] = {language: {n: Counter() for n in (0, *ORDERS)} for language in counts}
     for batch in counted.toArrow().to_batches():  # bounded by the sample
@@ -167,4 +167,4 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             got = [own.predict(table, t) for t in common.texts(batch)]
             yield common.arrow_batch({"doc_id": batch.column(0), "lang_pred": [a for a, _ in got], "score": [b for _, b in got]}, {"doc_id": pa.int64(), "lang_pred": pa.string(), "score": pa.float64()})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return common.map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, lang_pred string, score double")

@@ -80,7 +80,7 @@ def frequencies(docs: DataFrame, vocabulary: set[bytes]) -> tuple[int, dict[byte
         rows = [(b"", n), *df.items()]
         yield common.arrow_batch({"word": [w.decode() for w, _ in rows], "n": [c for _, c in rows]}, {"word": pa.string(), "n": pa.int64()})
 
-    counted = docs.select(F.col("text").cast("string")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = common.map_arrow(docs.select(F.col("text").cast("string")), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     found = {r["word"].encode(): r["n"] for r in counted.collect()}  # one row per template word
     return found.pop(b"", 0), found
 
@@ -171,4 +171,4 @@ def scan(docs: DataFrame, templates=TEMPLATES, base: dict[str, str] = BASE) -> D
                 out["spans"].append([dict(zip(("label", "start", "words", "score"), s)) for s in spans])
             yield common.arrow_batch(out, TYPES)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    return common.map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, SCHEMA)

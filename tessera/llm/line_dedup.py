@@ -150,7 +150,7 @@ def lines(docs: DataFrame) -> DataFrame:
             yield common.arrow_batch({"doc_id": batch.column(0), "hashes": hashes, "keys": keys}, {"doc_id": pa.int64(), "hashes": pa.list_(pa.int64()), "keys": pa.list_(pa.int64())})
 
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, hashes array<long>, keys array<long>")
+    return common.map_arrow(rows, run, "doc_id long, hashes array<long>, keys array<long>")
 
 
 def repeated(docs: DataFrame) -> DataFrame:
@@ -175,7 +175,7 @@ def repeated(docs: DataFrame) -> DataFrame:
                     removed.append(np.array(sorted(gone), np.int32))
             yield common.arrow_batch({"doc_id": ids, "removed": removed}, {"doc_id": pa.int64(), "removed": pa.list_(pa.int32())})
 
-    found = both.mapInArrow(run, "doc_id long, removed array<int>")
+    found = common.map_arrow(both, run, "doc_id long, removed array<int>")
     # a document has no more partners than key lines, so its lists are bounded by its own size
     return common.materialize(found.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("removed"))).alias("removed")), "line-removed")
 

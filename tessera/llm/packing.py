@@ -206,4 +206,4 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int
         if held:
             yield from close(True)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    return common.map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, SCHEMA)

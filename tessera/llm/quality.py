@@ -151,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: Column, per_class: int = PER
             yield common.arrow_batch({"label": batch.column(0), "ids": [a.astype(np.int32).tobytes() for a, _ in got], "stats": [b for _, b in got]}, {"label": pa.int32(), "ids": pa.binary(), "stats": pa.list_(pa.float64())})
 
     sample = common.labelled_sample(docs, labels, "quality", rows, per_class).select("label", "text", F.col("n_chars").cast("long"))
-    got = sample.mapInArrow(run, "label int, ids binary, stats array<double>").toArrow()
+    got = common.map_arrow(sample, run, "label int, ids binary, stats array<double>").toArrow()
     rows_ = sorted(zip(got["ids"].to_pylist(), got["stats"].to_pylist(), got["label"].to_pylist()))  # the same sums at every run
     ids = [np.frombuffer(b, np.int32) for b, _, _ in rows_]
     return fit(np.array([r[2] for r in rows_], np.int64).clip(0, 1), ids, np.array([r[1] for r in rows_]).reshape(-1, STATS))
@@ -168,7 +168,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             y = own.margins([a for a, _ in got], np.array([b for _, b in got]).reshape(-1, STATS))
             yield common.arrow_batch({"doc_id": batch.column(0), "score": 1 / (1 + np.exp(-np.clip(y, -30, 30)))}, {"doc_id": pa.int64(), "score": pa.float64()})
 
-    return common.columns_or_null(docs, doc_id="long", text="string", n_chars="long").mapInArrow(run, "doc_id long, score double")
+    return common.map_arrow(common.columns_or_null(docs, doc_id="long", text="string", n_chars="long"), run, "doc_id long, score double")
 
 
 def keep(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
@@ -187,4 +187,4 @@ def keep(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
             y = own.margins([a for a, _ in got], np.array([b for _, b in got]).reshape(-1, STATS))
             yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(y, -30, 30))) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.map_arrow(docs, run, docs.schema)

@@ -140,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: Column, per_class: int = PER
         yield common.arrow_batch({"id": some, "clean": n[0, some], "toxic": n[1, some]}, {"id": pa.int32(), "clean": pa.int64(), "toxic": pa.int64()})
 
     n = {r["toxic"]: r["count"] for r in sample.groupBy((F.col("label") > 0).alias("toxic")).count().collect()}
-    counted = sample.mapInArrow(count, "id int, clean long, toxic long").groupBy("id").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counted = common.map_arrow(sample, count, "id int, clean long, toxic long").groupBy("id").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     got = counted.where(F.col("clean") + F.col("toxic") >= MIN_TEXTS).toArrow()
     ids, clean, toxic = (got[c].to_numpy() for c in ("id", "clean", "toxic"))
     select = np.zeros(1 << BITS, bool)
@@ -156,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: Column, per_class: int = PER
         for batch in common.blocks(batches):
             yield common.arrow_batch({"label": batch.column(0), "ids": [features(table, t).astype(np.int32).tobytes() for t in common.texts(batch)]}, {"label": pa.int32(), "ids": pa.binary()})
 
-    got = sample.mapInArrow(selected, "label int, ids binary").toArrow()
+    got = common.map_arrow(sample, selected, "label int, ids binary").toArrow()
     texts = sorted(zip(got["ids"].to_pylist(), got["label"].to_pylist()))  # the same sums at every run
     common.release(sample)
     ids = [np.frombuffer(b, np.int32) for b, _ in texts]
@@ -174,4 +174,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in common.blocks(batches):
             yield common.arrow_batch({"doc_id": batch.column(0), "score": [own.score(table, t) for t in common.texts(batch)]}, {"doc_id": pa.int64(), "score": pa.float64()})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+    return common.map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, score double")

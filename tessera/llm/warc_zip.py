@@ -205,7 +205,7 @@ def write(pages: DataFrame, where: str, min_bytes: int = 0) -> DataFrame:
         if n:
             yield close()
 
-    found = roles(pages, min_bytes).mapInArrow(run, "uri string, size long, records long")
+    found = common.map_arrow(roles(pages, min_bytes), run, "uri string, size long, records long")
     return common.materialize(found, "warc-manifest")
 
 
@@ -247,7 +247,7 @@ def read(manifest: DataFrame, payloads: bool = False) -> DataFrame:
                 yield common.arrow_batch(held, types)
 
     tasks = max(1, manifest.count() // PACKAGES_PER_TASK)
-    return manifest.select("uri", "size").repartition(tasks, F.xxhash64("uri")).mapInArrow(run, schema)
+    return common.map_arrow(manifest.select("uri", "size").repartition(tasks, F.xxhash64("uri")), run, schema)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, min_bytes: int = 0) -> DataFrame:
