@@ -9,6 +9,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 from itertools import chain
@@ -70,12 +72,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def map_arrow(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
     """``df.mapInArrow`` with batches of at most BATCH_BYTES, whatever the rows' size.
 
-    The session's limit of bytes in an Arrow batch is lowered to that; a lower one stays.
+    The session's limit of bytes in an Arrow batch is lowered to that; a lower one stays. Workers
+    outlive tasks, so at the end of each they give memory that is free back to the system.
     """
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(str(conf.get(name)).rstrip("bB")) > BATCH_BYTES:
         conf.set(name, str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(lean, schema)
+
+
+def give_back() -> None:
+    """Return this process's free memory to the system, as far as its C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def fold(column: str, n: int) -> Column:
@@ -141,7 +160,7 @@ class WordTable:
     starts anew between texts; results never depend on what it holds.
     """
 
-    def __init__(self, compute: Callable[[list], list], limit: int = 500_000, dtype=np.int32):
+    def __init__(self, compute: Callable[[list], list], limit: int = 150_000, dtype=np.int32):
         self.compute, self.limit, self.dtype = compute, limit, dtype
         self.reset()
 
@@ -190,7 +209,7 @@ class WordTable:
         return self.flat[np.repeat(self.start[rows] - (ends - size), size) + np.arange(total)]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def blocks(batches: Iterator[pa.RecordBatch], chars: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``chars`` bytes of column ``text``, one row at least."""
     for batch in batches:
         if not batch.num_rows:

@@ -53,7 +53,7 @@ HASHES = 2 * TABLES * WIDTH
 #: pair that needs no second partner; rows that a task holds.
 SMALL, LIKELY, SURE, HELD = 8, 40, 54, 100_000
 #: Sets of a bucket, about, that a task compares at once with as many orphans.
-PART = 2048
+PART = 1024
 #: Bits of the smallest and the largest bitmap.
 FEWEST_BITS, MOST_BITS = 256, 1 << 16
 

@@ -58,7 +58,7 @@ PRETOKEN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xf
 #: Marks a chunk that goes to the tokenizer as it is; chunks hold no white space.
 ASIS = " "
 #: Chunks, and pre-tokens, whose ids a worker keeps.
-WORDS = 600_000
+WORDS = 200_000
 
 
 class Encoder:
