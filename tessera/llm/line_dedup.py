@@ -2,15 +2,18 @@
 
 1. Every line is hashed; lines of MIN_WORDS words or more, by white space of any kind, are keys, and
    so are lines of MIN_CHARS characters or more, or of MIN_UNSPACED in scripts without spaces.
-2. A key's first document (smallest id) owns it. A document that holds a key of another owner
-   overlaps with it. Pairing through owners finds every shared line, rare or common, with one pair
-   per (document, key) at most and no bound on how many documents share a line.
+2. A key's first document (smallest id) owns it. Documents overlap through the keys that they share,
+   rare ones first: a document is paired with the owner of its rarest shared key, which for a copy is
+   its original rather than the page that first had some common line.
 3. Each pair is aligned with patience diff: lines that occur once in both, in their longest common
    order, are anchors; equal lines beside anchors join them; gaps between anchors are aligned again.
 4. Aligned blocks with a key line are deleted from the later document.
 5. What one alignment leaves of the keys that the pair shares, as it crosses others or occurs twice,
    is aligned place by place: each such line goes, with the longest block around it that the earlier
-   document holds. So no key line stays that an earlier document holds, whoever else holds it.
+   document holds.
+6. Keys that a document still has, though an earlier document owns them, lead to further partners: their
+   owners, all at once. So after two rounds no key line stays that any earlier document holds, however
+   many hold it, with one pair per (document, key) at most.
 
 Defined results: a null text has no lines and stays null, an empty one stays empty. Rows without id
 own nothing and stay whole. Rows that share an id share what is deleted by line number. An empty
@@ -153,31 +156,46 @@ def lines(docs: DataFrame) -> DataFrame:
     return common.map_arrow(rows, run, "doc_id long, hashes array<long>, keys array<long>")
 
 
-def repeated(docs: DataFrame) -> DataFrame:
-    """(doc_id, removed): numbers of the lines to delete, for documents that have any."""
-    own = common.materialize(lines(docs), "line-hashes")
-    keyed = own.select("doc_id", F.explode("keys").alias("key"))
-    owners = keyed.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").select("key", "first_id")
-    pairs = keyed.join(owners.hint("merge"), "key").where("doc_id > first_id").groupBy("first_id", "doc_id").agg(F.count(F.lit(1)).alias("shared"))
+def aligned(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """(doc_id, removed, left): for each pair (first_id, doc_id) the lines that go, and the keys that stay."""
     side = lambda x: own.select(F.col("doc_id").alias(x), F.col("hashes").alias(f"{x}_lines"), F.col("keys").alias(f"{x}_keys"))
     both = pairs.select("first_id", "doc_id").join(side("doc_id").hint("merge"), "doc_id")
     both = both.join(side("first_id").drop("first_id_keys").hint("merge"), "first_id").select("doc_id", "doc_id_lines", "doc_id_keys", "first_id_lines")
+    types = {"doc_id": pa.int64(), "removed": pa.list_(pa.int32()), "left": pa.list_(pa.int64())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, removed = [], []
+            out = {k: [] for k in types}
             for doc_id, late, keys, early in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 keys = set(keys)
                 gone = {q for part in blocks(patience(early, late)) if any(late[q] in keys for _, q in part) for _, q in part}
                 gone |= left_over(early, late, keys, gone)
-                if gone:
-                    ids.append(doc_id)
-                    removed.append(np.array(sorted(gone), np.int32))
-            yield common.arrow_batch({"doc_id": ids, "removed": removed}, {"doc_id": pa.int64(), "removed": pa.list_(pa.int32())})
+                out["doc_id"].append(doc_id)
+                out["removed"].append(np.array(sorted(gone), np.int32))
+                out["left"].append(list({x for q, x in enumerate(late) if q not in gone and x in keys}))
+            yield common.arrow_batch(out, types)
+
+    return common.map_arrow(both, run, "doc_id long, removed array<int>, left array<long>")
+
 
-    found = common.map_arrow(both, run, "doc_id long, removed array<int>")
+def repeated(docs: DataFrame) -> DataFrame:
+    """(doc_id, removed): numbers of the lines to delete, for documents that have any."""
+    own = common.materialize(lines(docs), "line-hashes")
+    keyed = own.select("doc_id", F.explode("keys").alias("key"))
+    owners = keyed.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.count(F.lit(1)).alias("holders"))
+    # written, so that both sides of the join are plain exchanges and a line that many documents hold is split over tasks
+    owners = common.materialize(owners.where("first_id < last_id").select("key", "first_id", "holders"), "line-owners")
+    shared = common.materialize(keyed.join(owners.hint("merge"), "key").where("doc_id > first_id"), "line-shared")
+    rarest = shared.groupBy("doc_id").agg(F.min(F.struct("holders", "first_id", "key")).alias("r")).select("doc_id", F.col("r.first_id").alias("first_id"))
+    first = common.materialize(aligned(rarest, own), "line-first")
+    rest = shared.join(first.select("doc_id", "left").hint("merge"), "doc_id").where(F.array_contains("left", F.col("key"))).select("first_id", "doc_id").distinct()
+    rest = common.materialize(rest, "line-rest")
+    second = aligned(rest, own)
+    found = first.select("doc_id", "removed").union(second.select("doc_id", "removed")).where(F.size("removed") > 0)
     # a document has no more partners than key lines, so its lists are bounded by its own size
-    return common.materialize(found.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("removed"))).alias("removed")), "line-removed")
+    out = common.materialize(found.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("removed"))).alias("removed")), "line-removed")
+    common.release(own, owners, shared, first, rest)
+    return out
 
 
 def remove_repeated_lines(docs: DataFrame) -> DataFrame:
