@@ -1,5 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
+The benchmark is a stated query set, searched for in blocks of MOST_ITEMS items; of each block:
+
 1. One pass turns every document into a sequence of term numbers, a term being any word of the
    benchmark and all other words one blank, and writes it to the shared folder; no later step needs
    the text, as other words match no item. The pass also counts in how many of the corpus's
@@ -44,6 +46,8 @@ RANK, EXTRA, SEED = 128, 10, 5
 COSINE = 0.5
 COVER, COVER_ANSWER, ANSWER, ANSWER_COVER = 0.6, 0.5, 8, 0.75
 ASIDE = 0.35
+#: Items that are searched for at once, and their number times their distinct words: a table of that size is in every task.
+MOST_ITEMS, MOST_CELLS = 1024, 8_000_000
 
 #: Punctuation beyond ASCII that ends words; other characters beyond ASCII belong to them.
 _MARKS = re.compile("[\u00a0-\u00bf\u2000-\u206f\u3000-\u3003\uff0c\uff0e]")
@@ -106,6 +110,9 @@ def lcs_length(masks: list[int], size: int, b: list[int]) -> int:
     return size - row.bit_count()
 
 
+SCHEMA = "doc_id long, item_id long, cosine double, cover double, answer_cover double"
+
+
 class Items(NamedTuple):
     ids: list
     words: list[list[bytes]]
@@ -115,12 +122,26 @@ class Items(NamedTuple):
         return sorted({w for own in self.words for w in own})
 
 
-def load_items(benchmark: DataFrame) -> Items:
-    """The benchmark, a fixed set of passages that does not grow with the corpus."""
-    rows = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct().collect()
-    rows = sorted((r[0], words(r[1])) for r in rows)
-    rows = [(i, w) for i, w in rows if w]
-    return Items([i for i, _ in rows], [w for _, w in rows])
+def item_blocks(benchmark: DataFrame, most: int = MOST_ITEMS, cells: int = MOST_CELLS) -> Iterator[Items]:
+    """The benchmark in blocks of at most ``most`` items whose number times their distinct words is ``cells`` at most.
+
+    Items come one partition at a time; what a block needs in the driver and in every task is bounded by
+    its size (an item that exceeds it alone is a block).
+    """
+    rows = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("t"))
+    held, terms = [], set()
+    for r in rows.distinct().orderBy("i", "t").toLocalIterator():
+        own = words(r["t"])
+        if not own:
+            continue
+        more = terms.union(own)
+        if held and (len(held) == most or (len(held) + 1) * len(more) > cells):
+            yield Items([i for i, _ in held], [w for _, w in held])
+            held, more = [], set(own)
+        held.append((r["i"], own))
+        terms = more
+    if held:
+        yield Items([i for i, _ in held], [w for _, w in held])
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -311,7 +332,7 @@ class Matcher:
         self.place, self.targets, self.counts, self.masks = [], [], [], []
         for t in targets:
             own, local, count = np.unique(t, return_inverse=True, return_counts=True)
-            place = np.full(n_terms + 1, -1, np.int16)  # term -1 is the last entry
+            place = np.full(n_terms + 1, -1, np.int16 if len(own) < 2**15 else np.int32)  # term -1 is the last entry
             place[own] = np.arange(len(own))
             self.place.append(place)
             self.targets.append(local.tolist())
@@ -368,18 +389,26 @@ class Matcher:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, cosine, cover, answer_cover): a row per document and item found in it."""
-    schema = "doc_id long, item_id long, cosine double, cover double, answer_cover double"
-    items = load_items(benchmark)
+    """(doc_id, item_id, cosine, cover, answer_cover): a row per document and item found in it.
+
+    A benchmark of several blocks is searched for block by block, each over all documents.
+    """
+    out = None
+    for items in item_blocks(benchmark):
+        one = block_matches(docs, items)
+        out = one if out is None else out.union(one)
+    return out if out is not None else docs.sparkSession.createDataFrame([], SCHEMA)
+
+
+def block_matches(docs: DataFrame, items: Items) -> DataFrame:
+    """As ``matches``, for one block of items."""
     terms = items.terms
-    if not terms:
-        return docs.sparkSession.createDataFrame([], schema)
     place = {w: k for k, w in enumerate(terms)}
     targets = [np.array([place[w] for w in own], np.int32) for own in items.words]
     sequences, n, df = index(docs, terms)
     rows = projection(sequences, n, df, targets)
     latent = _unit(np.stack([rows[t].sum(0) for t in targets])).astype(np.float32)
-    shared = docs.sparkSession.sparkContext.broadcast((rows, latent, targets, items.ids, screen(targets, df)))  # the benchmark's size
+    shared = docs.sparkSession.sparkContext.broadcast((rows, latent, targets, items.ids, screen(targets, df)))  # bounded by MOST_ITEMS and MOST_CELLS
     types = {"doc_id": pa.int64(), "item_id": pa.int64(), "cosine": pa.float64(), "cover": pa.float64(), "answer_cover": pa.float64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -428,7 +457,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     out[key].append(x)
             yield common.arrow_batch(out, types)
 
-    return common.map_arrow(sequences, run, schema)
+    return common.map_arrow(sequences, run, SCHEMA)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
