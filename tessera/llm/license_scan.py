@@ -1,11 +1,16 @@
 """Licence scan with a positional index of rare words.
 
-Templates are short licence notices. Document frequencies of the templates' words are counted over
-all documents; each template is indexed by its words of highest inverse document frequency, with
-their positions. A file's words that are index keys are looked up, and postings are intersected by
-relative position: words that agree on (template, file position - template position) propose that
-the template stands there. A proposal holds when every mandatory key phrase of the template stands
-in the file near its place; its score is the share of template words found at their places.
+Templates are whole licence texts and one-line notices. Document frequencies of all their words are
+counted over all documents. The index has every place of every template word; a template's rare words
+are those of highest inverse document frequency that together make up more than 1 - AGREE of its weight
+(the sum of its words' frequencies), so a place where AGREE of the weight agrees holds one of them.
+
+A file's licence words are those of its words that are rare in some template. Each of them, wherever it
+stands, is looked up, the file's rarest first, and votes for (template, file place - template place). Postings are
+intersected by that relative position: places within DRIFT of each other count together, as names and
+years shift the words behind them. What can still reach AGREE of the template's weight is compared word
+by word, and holds when it does reach it and every mandatory key phrase stands in that stretch of the file.
+The score is the share of the template's weight that agrees.
 
 Beside that, base phrases are found wherever their words stand consecutively.
 
@@ -23,35 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm import common
+from tessera.llm import common, licence_texts
 
 # Phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-# Notices as their licences word them, with the phrases that must occur.
-TEMPLATES = [
-    ("mit", "Released under the MIT License", ["mit license"]),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", ["permission is hereby granted", "free of charge"]),
-    ("apache", "Licensed under the Apache License, Version 2.0", ["apache license", "version 2 0"]),
-    ("gpl", "This work is licensed under the GNU General Public License, version 3", ["general public license"]),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License", ["free software", "general public license"]),
-    ("lgpl", "under the terms of the GNU Lesser General Public License", ["lesser general public license"]),
-    ("agpl", "under the terms of the GNU Affero General Public License", ["affero general public license"]),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0", ["cc by nc"]),
-    ("cc-by-sa", "Licensed under CC BY-SA 4.0", ["cc by sa"]),
-    ("cc-by", "Licensed under CC BY 4.0", ["cc by 4 0"]),
-    ("cc0", "dedicated to the public domain under CC0 1.0 Universal", ["cc0"]),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", ["mozilla public license"]),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted", ["redistribution and use", "source and binary forms"]),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", ["permission to use", "with or without fee"]),
-    ("unlicense", "This is free and unencumbered software released into the public domain", ["free and unencumbered software"]),
-    ("proprietary", "All rights reserved. Unauthorized copying of this file, via any medium is strictly prohibited", ["unauthorized copying", "strictly prohibited"]),
-]
-#: Words of a template that are index keys.
-KEYS_PER_TEMPLATE = 4
-#: Keys that must agree on one relative position, as a share of the template's keys.
+TEMPLATES = [*licence_texts.WHOLE, *licence_texts.NOTICES]
+#: Share of a template's weight that must agree.
 AGREE = 0.5
-#: Words by which a key phrase may be displaced from its place.
-SLACK = 2
+#: Words by which a template's words may be shifted against each other, and a key phrase against its place.
+DRIFT, SLACK = 12, 2
 
 #: Separators become spaces and A-Z lower case; bytes of non-ASCII characters are word bytes.
 WORD_BYTES = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
@@ -69,7 +54,7 @@ def split(text: str) -> list[bytes]:
 
 
 def frequencies(docs: DataFrame, vocabulary: set[bytes]) -> tuple[int, dict[bytes, int]]:
-    """Documents, and how many hold each word of the vocabulary (a few hundred words)."""
+    """Documents, and how many hold each word of the vocabulary (that of the templates)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, df = 0, Counter()
@@ -86,49 +71,92 @@ def frequencies(docs: DataFrame, vocabulary: set[bytes]) -> tuple[int, dict[byte
 
 
 class Index:
-    """Postings of the templates' rare words."""
+    """Postings of the templates' words, and which of them are rare."""
 
     def __init__(self, templates, n: int, df: dict[bytes, int]):
         self.templates = [(label, split(text), [split(p) for p in phrases]) for label, text, phrases in templates]
+        self.idf = {w: math.log((1 + n) / (1 + df.get(w, 0))) + 1 for _, own, _ in self.templates for w in own}
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        self.needed = []
+        self.weight, self.from_rare = [], []
         for t, (_, own, _) in enumerate(self.templates):
-            rare = sorted(set(own), key=lambda w: (-math.log((1 + n) / (1 + df.get(w, 0))), w))[:KEYS_PER_TEMPLATE]
+            total = sum(self.idf[w] for w in own)
+            rare, rest = set(), total
+            for w in sorted(set(own), key=lambda w: (-self.idf[w], w)):
+                if rest < AGREE * total:
+                    break
+                rare.add(w)
+                rest -= self.idf[w] * own.count(w)
             for q, w in enumerate(own):
                 if w in rare:
                     self.postings[w].append((t, q))
-            self.needed.append(max(1, math.ceil(AGREE * len(rare))))
+            self.weight.append(total)
+            self.from_rare.append(AGREE * total - rest)  # what rare words must bring at least
         self.keys = frozenset(self.postings)
 
     def scan(self, own: list[bytes]) -> list[tuple[str, int, int, float]]:
         """(label, first word, words, score) of the templates that stand in the file."""
         if self.keys.isdisjoint(own):
             return []
-        votes: dict[tuple[int, int], set[bytes]] = defaultdict(set)
+        where: dict[bytes, list[int]] = defaultdict(list)
         for p, w in enumerate(own):
             if w in self.keys:
-                for t, q in self.postings[w]:
-                    votes[t, p - q].add(w)
+                where[w].append(p)
+        votes: dict[int, list[tuple[int, int, float]]] = defaultdict(list)
+        for w in sorted(where, key=lambda w: (-self.idf[w], w)):
+            for t, q in self.postings[w]:
+                votes[t] += [(p - q, q, self.idf[w]) for p in where[w]]
         found = []
-        for (t, at), agreed in votes.items():
-            if len(agreed) < self.needed[t]:
-                continue
-            label, text, phrases = self.templates[t]
-            if all(self._near(own, phrase, at + _place(text, phrase)) for phrase in phrases):
-                same = sum(0 <= at + q < len(own) and own[at + q] == w for q, w in enumerate(text))
-                found.append((label, max(0, at), len(text), same / len(text)))
-        return found
+        for t, cast in votes.items():
+            last = None  # of templates found within DRIFT of each other the best counts
+            for at in self._stretches(sorted(cast), self.from_rare[t]):
+                score = self._agrees(own, t, at)
+                if score and last and at - last[0] <= DRIFT:
+                    last = max(last, (at, score), key=lambda x: x[1])
+                elif score:
+                    found += [self._span(t, *last)] if last else []
+                    last = (at, score)
+            found += [self._span(t, *last)] if last else []
+        return sorted(found, key=lambda s: (s[1], s[0]))
+
+    def _span(self, t: int, at: int, score: float) -> tuple[str, int, int, float]:
+        return self.templates[t][0], max(0, at), len(self.templates[t][1]), score
 
     @staticmethod
-    def _near(own: list[bytes], phrase: list[bytes], at: int) -> bool:
-        return any(own[max(0, s) : max(0, s) + len(phrase)] == phrase for s in range(at - SLACK, at + SLACK + 1))
-
-
-def _place(text: list[bytes], phrase: list[bytes]) -> int:
-    for q in range(len(text)):
-        if text[q : q + len(phrase)] == phrase:
-            return q
-    return 0
+    def _stretches(cast: list[tuple[int, int, float]], need: float) -> Iterator[int]:
+        """Relative positions from which on, within DRIFT, rare words of enough weight agree, each place of the template once."""
+        held: Counter = Counter()
+        end, weight = 0, 0.0
+        for k, (at, q, w) in enumerate(cast):
+            while end < len(cast) and cast[end][0] <= at + DRIFT:
+                held[cast[end][1]] += 1
+                weight += cast[end][2] if held[cast[end][1]] == 1 else 0.0
+                end += 1
+            if (not k or cast[k - 1][0] < at) and weight >= need - 1e-9:
+                yield at
+            held[q] -= 1
+            weight -= w if not held[q] else 0.0
+
+    def _agrees(self, own: list[bytes], t: int, at: int) -> float:
+        """The share of the template's weight that agrees from relative position ``at``; 0 if it does not hold."""
+        _, text, phrases = self.templates[t]
+        shift, same = 0, 0.0
+        for q, w in enumerate(text):
+            p = at + q
+            if 0 <= p + shift < len(own) and own[p + shift] == w:
+                same += self.idf[w]
+                continue
+            for d in range(DRIFT + 1):
+                if 0 <= p + d < len(own) and own[p + d] == w:
+                    shift, same = d, same + self.idf[w]
+                    break
+        if same < AGREE * self.weight[t]:
+            return 0.0
+        near = own[max(0, at - SLACK) : at + len(text) + DRIFT + SLACK]
+        return min(1.0, same / self.weight[t]) if all(_holds(near, p) for p in phrases) else 0.0
+
+
+def _holds(own: list[bytes], phrase: list[bytes]) -> bool:
+    return any(own[q : q + len(phrase)] == phrase for q, w in enumerate(own) if w == phrase[0])
 
 
 def base_places(own: list[bytes], phrases: list[tuple[list[bytes], str]]) -> list[tuple[int, str]]:
