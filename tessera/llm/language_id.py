@@ -5,8 +5,8 @@ n-grams (from ORDERS[0] down) of which training knows any are taken, and their m
 per language is added instead. The language with the largest sum wins; the score is its share
 after the sums are brought to the scale of EVIDENCE words.
 
-Training takes a bounded sample of rows of each language (PER_LANGUAGE) and keeps the WORDS most
-frequent words and GRAMS n-grams of each order and language.
+Training takes a bounded sample of rows of each language (PER_LANGUAGE) and keeps every word and
+n-gram that occurs in it.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, as is every text
 when there is nothing to learn from. Rows with a null lang teach nothing. Ties go to the language
@@ -29,7 +29,6 @@ from tessera.llm import common
 ORDERS = (4, 3, 2, 1)
 #: Training rows of each language, about.
 PER_LANGUAGE = 3000
-WORDS, GRAMS, MIN_COUNT = 20_000, 5_000, 2
 SMOOTH, EVIDENCE = 0.5, 20.0
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -52,19 +51,10 @@ class Model:
         self.place: dict[int, dict[str, int]] = {}
         self.logs: dict[int, np.ndarray] = {}
         for order in (0, *ORDERS):
-            kept = defaultdict(lambda: np.zeros(len(self.languages)))
-            for k, language in enumerate(self.languages):
-                top = sorted(counts[language][order].items(), key=lambda x: (-x[1], x[0]))[: GRAMS if order else WORDS]
-                for gram, c in top:
-                    kept[gram][k] = c
-            for k, language in enumerate(self.languages):  # what another language kept counts here too
-                own = counts[language][order]
-                for gram in kept:
-                    kept[gram][k] = own.get(gram, 0)
-            total = sum(kept.values(), np.zeros(len(self.languages)))
+            kept = sorted({gram for language in self.languages for gram in counts[language][order]})
             self.place[order] = {g: k for k, g in enumerate(kept)}
-            logs = [np.log((c + SMOOTH) / (total + SMOOTH * len(kept))) for c in kept.values()]
-            self.logs[order] = np.array(logs, np.float32).reshape(len(kept), len(self.languages))
+            seen = np.array([[counts[language][order].get(g, 0) for language in self.languages] for g in kept], np.float64).reshape(len(kept), len(self.languages))
+            self.logs[order] = np.log((seen + SMOOTH) / (seen.sum(0) + SMOOTH * len(kept))).astype(np.float32)
 
     def words(self, own: list[str]) -> np.ndarray:
         """Log frequencies of words, a row each and a column per language."""
@@ -148,7 +138,7 @@ def train(docs: DataFrame, rows: Column, per_language: int = PER_LANGUAGE) -> Mo
         yield common.arrow_batch(out, {"lang": pa.string(), "order": pa.int32(), "gram": pa.string(), "n": pa.int64()})
 
     counted = common.map_arrow(sample.select(F.col("lang").cast("string"), F.col("text").cast("string")), run, "lang string, order int, gram string, n long")
-    counted = counted.groupBy("lang", "order", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_COUNT)
+    counted = counted.groupBy("lang", "order", "gram").agg(F.sum("n").alias("n"))
     found: dict[str, dict[int, Counter]] = {language: {n: Counter() for n in (0, *ORDERS)} for language in counts}
     for batch in counted.toArrow().to_batches():  # bounded by the sample
         for language, order, gram, n in zip(*(batch.column(k).to_pylist() for k in range(4))):
@@ -158,7 +148,7 @@ def train(docs: DataFrame, rows: Column, per_language: int = PER_LANGUAGE) -> Mo
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score) of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by WORDS, GRAMS and the languages
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample, PER_LANGUAGE rows of each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
