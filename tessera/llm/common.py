@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from itertools import chain
@@ -29,11 +31,22 @@ BATCH_BYTES = 4 << 20
 
 
 # ---------------------------------------------------------------- shared storage
+#: Applications that run in this process alone to their folder.
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a fixed one only where none is set (tests)."""
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Where that is unset, a session on a cluster is an error: executors would not see a folder of the
+    driver's own. A local session, whose executors are threads of the driver, gets a temporary folder.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "/tmp/checkpoints"
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = _own.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="checkpoints-")
+        _own[spark.sparkContext.applicationId] = where
     return where.rstrip("/")
 
 

@@ -12,7 +12,8 @@ THRESHOLD = 0.7
 
 
 def _scored(scores: DataFrame, held_out) -> DataFrame:
-    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    """A row without id belongs to no fold: it is not held out, and teaches nothing."""
+    return scores.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +31,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     held_out = common.fold("doc_id", 4) == 2
     found = language_id.predict(docs, language_id.train(docs, ~held_out))
-    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

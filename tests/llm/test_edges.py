@@ -47,7 +47,18 @@ def folder(spark, tmp_path_factory, docs, labels):
 
 
 def test_shared_folder_comes_from_the_session(spark):
-    assert common.shared_dir(spark) == (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda name, default=None: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError):  # never a folder of the driver's own on a cluster
+        common.shared_dir(Cluster)
+    Cluster.conf.get = staticmethod(lambda name, default=None: "hdfs://shared/folder/")
+    assert common.shared_dir(Cluster) == "hdfs://shared/folder"
+    assert common.shared_dir(spark) == common.shared_dir(spark) != ""
 
 
 @pytest.mark.parametrize("kind", [toxicity, quality])
@@ -55,11 +66,29 @@ def test_classifiers(spark, docs, none, labels, kind):
     model = kind.train(docs, labels, F.lit(True))
     got = kind.score(docs, model).collect()
     assert len(got) == len(ROWS) and all(0 <= r["score"] <= 1 for r in got)
+    by_id = {}
+    for r in got:
+        by_id.setdefault(r["doc_id"], set()).add(r["score"])
+    assert all(len(x) == 1 for x in by_id.values())  # repeated rows score alike
+    if kind is toxicity:
+        bias = 1 / (1 + __import__("math").exp(-model.bias))
+        assert all(abs(x - bias) < 1e-12 for i in (3, 4, 5) for x in by_id[i])  # no features: the bias alone
+    else:
+        assert by_id[4] == {0.5 ** 0 / (1 + __import__("math").exp(-float(model.margins([__import__("numpy").zeros(0, "int32")], __import__("numpy").array([quality.statistics(b"", [], 0, 0)]))[0])))}
     assert kind.score(none, model).count() == 0
     empty = kind.train(none, labels, F.lit(True))
     assert all(0 <= r["score"] <= 1 for r in kind.score(docs, empty).collect())
 
 
+def test_a_score_at_the_threshold_is_predicted(spark):
+    from tessera.llm import queries
+
+    rows = spark.createDataFrame([(1, 0.7), (2, 0.6999999), (3, 0.7000001), (None, 1.0)], "doc_id long, score double")
+    got = queries._scored(rows, common.fold("doc_id", 3) == 1)
+    assert {r["doc_id"]: r["predicted"] for r in got.collect()} == {1: 1, 2: 0, 3: 1, None: 1}
+    assert [r["held_out"] for r in got.where("doc_id is null").collect()] == [False]
+
+
 def test_quality_keep_returns_whole_rows(docs, labels):
     kept = quality.keep(docs, quality.train(docs, labels, F.lit(True)), 0.0)
     assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(map(str, docs.collect()))
@@ -84,6 +113,8 @@ def test_line_dedup(docs, none):
     assert out.columns == [c for c in docs.columns if c != "n_removed"] + ["n_removed"]
     assert out.count() == len(ROWS) and line_dedup.remove_repeated_lines(none).count() == 0
     assert {r["text"] for r in out.where("doc_id is null").collect()} == {ROWS[6][1]}
+    assert [r["text"] for r in out.where("doc_id = 1").collect()] == [ROWS[0][1]] * 2  # rows of one id never lose lines to each other
+    assert [r["text"] for r in out.where("doc_id = 3").collect()] == [None] and [r["text"] for r in out.where("doc_id = 4").collect()] == [""]
 
 
 @pytest.mark.parametrize("k", [2, 5])
@@ -109,8 +140,10 @@ def test_warc(spark):
 
 def test_decontamination(spark, docs, none, folder):
     benchmark = spark.read.parquet(f"{folder}/benchmark.parquet")
-    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(docs, benchmark).collect()}
-    assert got == set() or {d for d, _ in got} <= {1, 2, None}
+    got = sorted(((r["doc_id"] or 0, r["item_id"]) for r in decontaminate.matches(docs, benchmark).collect()))
+    assert got == [(0, 0), (1, 0), (1, 0), (2, 0)]  # repeated rows repeat, a repeated item does not
+    left = decontaminate.decontaminate(docs, benchmark)
+    assert left.columns == docs.columns and sorted(str(r["doc_id"]) for r in left.select("doc_id").collect()) == ["3", "4", "5", "6", "7", "8", "None"]
     assert decontaminate.matches(none, benchmark).count() == 0 and decontaminate.matches(docs, benchmark.limit(0)).count() == 0
 
 
@@ -120,8 +153,21 @@ def test_license_scan(docs, none):
     assert license_scan.scan(none).count() == 0
 
 
-def test_every_stage(spark, docs, none, folder):
-    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        out = stage(spark, docs, folder)
-        assert k == 4 or out.columns == docs.columns
-        assert out.count() > 0 and stage(spark, none, folder).count() == 0
+@pytest.mark.parametrize("k", range(5))
+def test_every_stage(spark, docs, none, folder, k):
+    """Which rows stay: nulls, empty and long texts, repeated rows and rows without id."""
+    name, stage = corpus_pipeline.STAGES[k]
+    rows = stage(spark, docs, folder).collect()
+    assert stage(spark, none, folder).count() == 0
+    ids = sorted(str(r["doc_id"]) for r in rows)
+    if k < 4:
+        assert stage(spark, docs, folder).columns == docs.columns
+        assert all(tuple(r) in set(ROWS) for r in rows)  # whole rows, unchanged
+    want = {
+        "exact_dedup": ["1", "1", "3", "5", "6", "7", "8", "None"],
+        "near_dedup": ["1", "1", "3", "4", "5", "6", "7", "8", "None"],
+        "decontamination": ["3", "4", "5", "6", "7", "8", "None"],
+    }
+    assert name not in want or ids == want[name]
+    if name == "packing":
+        assert sorted({str(r["doc_id"]) for r in rows}) == ["1", "2", "3", "4", "5", "6", "7", "8", "None"]

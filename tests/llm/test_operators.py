@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import common, decontaminate, exact_dedup, license_scan, line_dedup, near_dedup, packing, quality, queries, toxicity, warc_zip
+from tessera.llm import common, decontaminate, exact_dedup, language_id, license_scan, line_dedup, near_dedup, packing, quality, queries, toxicity, warc_zip
 
 SF = "/root/testdata/sf0.01"
 
@@ -78,6 +78,30 @@ def test_costs_are_balanced():
     assert max(full) < 1.6 * min(full)
 
 
+def test_every_block_is_balanced(spark, documents):
+    """Blocks of 8 sequences: the costs of full sequences of one block, and the powers of two at a task's end."""
+    texts = documents.where("length(text) < 6000").select("doc_id", "text").coalesce(2)
+    rows = packing.pack_documents(texts, block_sequences=8).collect()
+    spent, size = collections.Counter(), {}
+    for r in rows:
+        spent[r["sequence_id"]] += packing.cost(r["length"])
+        size[r["sequence_id"]] = r["sequence_length"]
+    by_task = collections.defaultdict(list)
+    for k in sorted(size):
+        by_task[k >> 32].append(k)
+    for own in by_task.values():
+        full = [k for k in own if size[k] == 4096]
+        assert [size[k] for k in own[len(full) :]] == sorted({size[k] for k in own[len(full) :]}, reverse=True)  # distinct powers of two
+        whole = [full[i : i + 8] for i in range(0, len(full) - len(full) % 8, 8)]
+        assert whole and all(max(spent[k] for k in block) < 2 * min(spent[k] for k in block) for block in whole)
+
+
+def test_packing_null_ids_and_repeated_rows(spark):
+    rows = [(None, "some words"), (7, "some words"), (7, "some words"), (8, None)]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted((r["doc_id"] or -1, r["doc_tokens"]) for r in got if r["start"] == 0) == [(-1, 3), (7, 3), (7, 3), (8, 1)] and sum(r["length"] for r in got) == 10
+
+
 # ---------------------------------------------------------------- near duplicates
 def brute_components(texts, k, percent=80):
     sets = {}
@@ -142,6 +166,42 @@ def test_links_that_leaders_hide(spark):
     assert {r["doc_id"]: r["component_id"] for r in near_dedup.components(df, 2).collect()} == want and set(want.values()) == {0}
 
 
+def test_bitmaps_bound_differences():
+    """Bits that differ are at most the shingles that differ, whatever the sizes; and they are near them."""
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        n, m, both = rng.integers(0, 700), rng.integers(0, 700), rng.integers(0, 900)
+        flat = np.unique(rng.integers(0, 2**63, n + m + both, dtype=np.uint64))
+        a, b = flat[: both + n], np.concatenate([flat[:both], flat[both + n :]])
+        sets = near_dedup.parities(np.concatenate([a, b]), np.array([len(a), len(b)]))
+        x, y = (np.frombuffer(s, np.uint64)[None] for s in sets)
+        width = min(x.shape[1], y.shape[1])
+        differ = int(np.bitwise_count(near_dedup.folded(x, width) ^ near_dedup.folded(y, width)).sum())
+        true = len(np.setxor1d(a, b))
+        assert differ <= true and (true > 0.3 * (len(a) + len(b)) or differ >= 0.75 * true - 5)
+
+
+def test_a_group_around_one_text(spark):
+    """Copies with 4 to 7 changes around one text: some link with it, hardly any with each other; and a chain through another."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base, texts = [word() for _ in range(100)], {}
+    for i in range(400):
+        own = list(base)
+        for at in rng.sample(range(2, 98, 3), rng.choice((4, 5, 6, 7))):
+            own[at] = word()
+        texts[i] = " ".join(own)
+    texts[400] = " ".join(base)
+    other = list(base)
+    for k in range(401, 480):  # each link of a chain changes two words more
+        for at in rng.sample(range(100), 2):
+            other[at] = word()
+        texts[k] = " ".join(other)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    want = {i: c for i, (_, c) in brute_components(texts, 2).items()}
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.components(df, 2).collect()} == want and 1 < len(set(want.values())) < 400
+
+
 def test_tensored_keys_find_borderline_pairs():
     """Recall of shared keys and of likely pairs at similarity 0.8, against its formula."""
     rng = np.random.default_rng(5)
@@ -167,6 +227,17 @@ def test_directory_doubles_until_buckets_fit(spark):
     assert sum(r["count"] for r in per) == 3000 and max(r["count"] for r in per) <= 64 and len(per) > 40
 
 
+def test_directory_doubles_beyond_the_first_guess(spark):
+    """Hashes that differ in low bits alone make one bucket overfull until those bits count; equal hashes stay together."""
+    close = spark.range(300).select((F.col("id") * 1024 + (1 << 40)).alias("hash"))
+    found = close.union(spark.range(200).select(F.lit(5).cast("long").alias("hash")))
+    slots, depth = exact_dedup.directory(found, capacity=64)
+    per = exact_dedup.in_bucket(found, slots, depth).groupBy("bucket").agg(F.count("hash").alias("n"), F.countDistinct("hash").alias("d")).collect()
+    assert sum(r["n"] for r in per) == 500 and all(r["n"] <= 64 or r["d"] == 1 for r in per)
+    with_slots = found.withColumn("slot", exact_dedup.slot_of(depth))
+    assert with_slots.join(slots, "slot").where(F.col("bucket") > F.col("slot")).count() == 0
+
+
 # ---------------------------------------------------------------- lines
 def test_patience_keeps_order_and_blocks():
     a, b = [1, 2, 3, 9, 4, 5], [7, 1, 2, 3, 4, 5, 8]
@@ -189,6 +260,38 @@ def test_no_key_line_stays_that_an_earlier_document_holds(spark):
     assert out == {1: rows[0][1], 2: "own words of the second document", 3: "own words of the third document\nthird own line of the document\nthird end line of the document"}
 
 
+def test_lines_in_another_order_go_from_every_copy(spark):
+    a, b = (f"a line number {k} of the shared passage here" for k in range(2))
+    rows = [(1, f"{a}\n{b}"), (2, f"{b}\n{a}"), (3, f"{b}\n{a}")]
+    out = {r["doc_id"]: r["text"] for r in line_dedup.remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: rows[0][1], 2: "", 3: ""}
+
+
+def test_lines_by_all_pairs(documents):
+    """Against an alignment with every earlier document that shares a key: no key line is missed, nothing else goes."""
+    import xxhash
+
+    texts = {r["doc_id"]: r["text"] for r in documents.collect() if r["text"] is not None}
+    hashes, keys, holders = {}, {}, collections.defaultdict(list)
+    for i in sorted(texts):
+        own = [x.strip() for x in texts[i].encode().split(b"\n")]
+        hashes[i] = [xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in own]
+        keys[i] = {h for x, h in zip(own, hashes[i]) if line_dedup.is_key(x)}
+        for k in keys[i]:
+            holders[k].append(i)
+    want = {}
+    for i in sorted(texts):
+        gone = set()
+        for j in {j for k in keys[i] for j in holders[k] if j < i}:
+            part = {q for run in line_dedup.blocks(line_dedup.patience(hashes[j], hashes[i])) if any(hashes[i][q] in keys[i] for _, q in run) for _, q in run}
+            gone |= part | line_dedup.left_over(hashes[j], hashes[i], keys[i], part)
+        want[i] = gone
+    got = {r["doc_id"]: set(r["removed"]) for r in line_dedup.repeated(documents).collect()}
+    missed = [(i, q) for i in want for q in want[i] - got.get(i, set())]
+    assert all(got[i] <= want[i] for i in got) and sum(map(len, want.values())) > 1000
+    assert len(missed) <= 3 and not any(hashes[i][q] in keys[i] for i, q in missed)
+
+
 @pytest.mark.parametrize("line", ["own\twords\tby\ttabs\there", "no\u00a0break\u00a0spaces\u00a0stand\u00a0here", "これは空白のない長い行です", "นี่คือบรรทัดยาวที่ไม่มีช่องว่าง", "x" * 40])
 def test_long_lines_without_plain_spaces_are_keys(spark, line):
     rows = [(1, f"first\n{line}"), (2, f"{line}\nsecond"), (3, "short\tline"), (4, "short\tline")]
@@ -246,6 +349,21 @@ def test_payloads_come_back_whole(spark):
     assert len(back) == len(want) and all(r["payload"] is None or bytes(r["payload"]) == want[r["page_id"]] for r in back)
 
 
+def test_small_and_long_payloads_in_many_packages(spark, monkeypatch):
+    monkeypatch.setattr(warc_zip, "PACKAGE_BYTES", 5_000)
+    monkeypatch.setattr(warc_zip, "READ_BYTES", 700)
+    long = "<p>é\r\n\r\n</p>" * 40_000
+    rows = [(k, f"u{k}", body) for k, body in enumerate(["ab", "ab", "abcd", "abcd", long, long, "", None] + [f"<p>{k}</p>" * 30 for k in range(60)])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    manifest = warc_zip.write(pages, common.new_path(spark, "warc-test"), min_bytes=3)
+    got = {r["page_id"]: r for r in warc_zip.read(manifest, payloads=True).collect()}
+    assert manifest.count() > 6 and len(got) == len(rows)
+    kind = lambda k: (got[k]["record_type"], got[k]["refers_to"])
+    assert [kind(k) for k in range(8)] == [("response", None)] * 3 + [("revisit", 2), ("response", None), ("revisit", 4), ("response", None), ("response", None)]
+    assert all((got[k]["payload"] is None) == (k in (3, 5)) and (got[k]["payload"] is None or bytes(got[k]["payload"]) == (body or "").encode()) for k, _, body in rows)
+    assert got[5]["payload_bytes"] == len(long.encode()) and got[5]["payload_digest"] == warc_zip.digest(long.encode())
+
+
 # ---------------------------------------------------------------- decontamination
 def test_bit_parallel_subsequence():
     rng = random.Random(2)
@@ -313,6 +431,52 @@ def test_paraphrases_without_cosine_are_found(spark, documents, monkeypatch):
     assert want <= got
 
 
+def brute_matches(text, item):
+    """Whether the rule holds for the item and some stretch of the text, by subsequences over all stretches."""
+    own, target = decontaminate.words(text), decontaminate.words(item)
+    answer, best = min(decontaminate.ANSWER, len(target)), False
+    for begin in range(0, max(1, len(own)), 4):
+        near = own[begin : begin + 2 * len(target) + decontaminate.WINDOW]
+        found = decontaminate.lcs(target, near)
+        cover, last = len(found) / len(target), sum(k >= len(target) - answer for k in found) / answer
+        best |= cover >= decontaminate.COVER
+        near = own[begin : begin + 2 * len(target)]
+        found = decontaminate.lcs(target, near)
+        cover, last = len(found) / len(target), sum(k >= len(target) - answer for k in found) / answer
+        best |= cover >= decontaminate.COVER_ANSWER and last >= decontaminate.ANSWER_COVER
+    return best
+
+
+def test_every_match_by_exhaustive_subsequences(spark, documents):
+    """All pairs of 150 documents, 60 of them with paraphrased items, and 30 items: what holds by brute force is found."""
+    items = [(r["item_id"], r["text"]) for r in common.table(spark, SF, "benchmark").collect() if r["text"]][:30]
+    rows = [(r["doc_id"], " ".join(r["text"].split()[:300])) for r in documents.where("doc_id < 150 and text is not null").collect()]
+    rng = random.Random(8)
+    for n in range(60):
+        own = items[n % 30][1].split()
+        for at in rng.sample(range(len(own)), int(len(own) * rng.choice((0.2, 0.3, 0.35)))):
+            own[at] = rng.choice(rng.choice(rows)[1].split() or ["x"])
+        host = rows[n][1].split()
+        rows[n] = (rows[n][0], " ".join([*host[:50], *own, *host[50:]]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(df, benchmark).collect()}
+    want = {(d, i) for d, t in rows for i, x in items if brute_matches(t, x)}
+    assert len(want) >= 50 and want <= got
+    assert all(decontaminate.lcs(decontaminate.words(dict(items)[i]), decontaminate.words(dict(rows)[d])) for d, i in got)
+    assert len(got - want) <= 0.05 * len(want)  # stretches that the brute force steps over
+
+
+def test_blocks_of_items_find_what_one_finds(spark, documents, monkeypatch):
+    benchmark, docs = common.table(spark, SF, "benchmark"), documents.where("doc_id < 400")
+    find = lambda: {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(docs, benchmark).collect()}
+    want = find()
+    n = benchmark.count()
+    assert all(len(b.ids) * len(b.terms) <= 20_000 or len(b.ids) == 1 for b in decontaminate.item_blocks(benchmark, 1000, 20_000))
+    monkeypatch.setattr(decontaminate, "item_blocks", lambda b, f=decontaminate.item_blocks: f(b, -(-n // 3), 10**9))
+    assert len(list(decontaminate.item_blocks(benchmark))) >= 3 and find() == want != set()
+
+
 def test_screen_leaves_no_window_out():
     """Every window whose surroundings hold enough of an item's words as a bag, against a count of all."""
     rng = np.random.default_rng(3)
@@ -347,6 +511,50 @@ def test_base_places_by_regular_expression(documents):
         assert ("cc-by-nc" in r["labels"].split(",")) == ("Licensed under CC BY-NC 4.0" in (row["text"] or ""))
 
 
+@pytest.mark.parametrize("label, text, phrases", license_scan.TEMPLATES)
+def test_whole_texts_with_names_and_changes(label, text, phrases):
+    """Every template between other words: as it is, with words put in, and with a tenth of its other words replaced."""
+    rng = random.Random(len(text))
+    filler = [f"filler{k}" for k in range(60)]
+    index = license_scan.Index(license_scan.TEMPLATES, 1000, {w: 40 for w in license_scan.split("the of and software this license copyright in any")})
+    fixed = {w for p in phrases for w in license_scan.split(p)}
+    own = [w.decode() for w in license_scan.split(text)]
+    put = list(own)
+    if len(own) > 30:
+        put[len(own) // 2 : len(own) // 2] = ["copyright", "2024", "some", "company"]
+    changed = [w if w.encode() in fixed or rng.random() > 0.1 else "changed" for w in own]
+    for body in (own, put, changed):
+        found = index.scan(license_scan.split(" ".join([*filler, *body, *filler])))
+        spans = [s for s in found if s[0] == label]
+        assert spans and max(s[3] for s in spans) > 0.7 and any(abs(s[1] - 60) <= license_scan.DRIFT for s in spans)
+    part = index.scan(license_scan.split(" ".join(filler + own[: max(1, len(own) // 8)])))
+    assert all(s[2] != len(own) for s in part) or len(own) < 30  # at most a notice that stands in the beginning
+
+
+def test_licences_by_all_places(documents):
+    """Templates against every place of every document: wherever enough weight agrees without shifts, the span is found."""
+    docs = [(r["doc_id"], license_scan.words((r["text"] or "").encode())) for r in documents.where("doc_id < 500").collect()]
+    vocabulary = {w for _, t, _ in license_scan.TEMPLATES for w in license_scan.split(t)}
+    df = collections.Counter(w for _, own in docs for w in vocabulary.intersection(own))
+    index = license_scan.Index(license_scan.TEMPLATES, len(docs), df)
+    n = 0
+    for _, own in docs:
+        found = index.scan(own)
+        for t, (label, text, phrases) in enumerate(index.templates):
+            places = collections.defaultdict(list)
+            for q, w in enumerate(text):
+                places[w].append(q)
+            agree = collections.Counter()
+            for p, w in enumerate(own):
+                for q in places.get(w, ()):
+                    agree[p - q] += index.idf[w]
+            for at, weight in agree.items():
+                if weight >= license_scan.AGREE * index.weight[t] and all(license_scan._holds(own[max(0, at) : at + len(text)], p) for p in phrases):
+                    n += 1
+                    assert any(s[0] == label and abs(s[1] - max(0, at)) <= license_scan.DRIFT for s in found)
+    assert n >= 5
+
+
 # ---------------------------------------------------------------- classifiers
 @pytest.mark.parametrize("name, label, n, hold, least", [("op6_quality", "quality", 4, 2, 0.95), ("op1_toxicity", "toxic", 3, 1, 0.95)])
 def test_held_out_accuracy(spark, name, label, n, hold, least):
@@ -363,6 +571,65 @@ def test_languages(spark):
     assert np.mean([r["lang"] == r["lang_pred"] for r in rows]) >= 0.99
 
 
+def test_toxicity_scores_by_hand(spark, documents):
+    """A fitted model's scores are its weights summed over a text's distinct n-grams, each hashed by itself."""
+    labels = common.table(spark, SF, "labels")
+    model = toxicity.train(documents, labels, F.lit(True))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(documents, model).collect()}
+    for r in documents.where("doc_id < 60").collect():
+        ids = set()
+        for w in set((r["text"] or "").split()):
+            ids.update(int(x) for x in toxicity.ngrams([w])[0])
+        z = model.bias + sum(model.weight[i] for i in ids)
+        assert np.isclose(got[r["doc_id"]], 1 / (1 + np.exp(-z)), atol=1e-9)
+
+
+def test_log_count_ratio_scales_features():
+    """One feature only in toxic texts, one only in clean ones, one in all: signs and weights follow the ratios."""
+    label = np.array([1] * 20 + [0] * 20)
+    rows = [[1, 3]] * 20 + [[2, 3]] * 20
+    model = toxicity.fit(label, np.array([2] * 40), np.concatenate(rows).astype(np.int32))
+    assert model.weight[1] > 0 > model.weight[2] and model.weight[3] == 0
+    assert np.isclose(toxicity.log_ratio(20, 0, 20, 20), np.log(21 / 22) - np.log(1 / 22))
+
+
+def test_language_scores_by_hand(spark):
+    """Word first, then the longest n-grams that are known, against a plain count."""
+    import math
+
+    rows = [(1, "the cat sat", "en"), (2, "the dog ran the", "en"), (3, "le chat dort", "fr"), (4, "le chien le", "fr")]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    texts = ["the cat", "le thé", "catx", "zzz", "chatte ran", "qqq lle"]
+    counts = {o: {k: collections.Counter() for k in ("en", "fr")} for o in (0, *language_id.ORDERS)}
+    for _, text, lang in rows:
+        for w in text.split():
+            counts[0][lang][w] += 1
+            for o in language_id.ORDERS:
+                counts[o][lang].update(language_id.grams(w, o))
+    known = {o: set(counts[o]["en"]) | set(counts[o]["fr"]) for o in counts}
+    log = lambda o, lang, g: math.log((counts[o][lang][g] + language_id.SMOOTH) / (sum(counts[o][lang].values()) + language_id.SMOOTH * len(known[o])))
+
+    def word(w, lang):
+        if w in known[0]:
+            return log(0, lang, w)
+        for o in language_id.ORDERS:
+            some = [g for g in language_id.grams(w, o) if g in known[o]]
+            if some:
+                return sum(log(o, lang, g) for g in some) / len(some)
+        return 0.0
+
+    got = {r["doc_id"]: r for r in language_id.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, text in enumerate(texts):
+        z = {lang: sum(word(w, lang) for w in text.split()) for lang in ("en", "fr")}
+        best = max(sorted(z), key=z.get)
+        assert got[i]["lang_pred"] == best and np.isclose(got[i]["score"], math.exp(z[best]) / sum(map(math.exp, z.values())), atol=1e-5)
+
+
+def test_language_ties_go_to_the_first_name(spark):
+    same = spark.createDataFrame([(1, "abc", "xx"), (2, "abc", "aa")], "doc_id long, text string, lang string")
+    assert [tuple(r)[1:] for r in language_id.predict(same.limit(1), language_id.train(same, F.lit(True))).collect()] == [("aa", 0.5)]
+
+
 def test_factorisation_identity():
     rng = np.random.default_rng(1)
     width = (1 << quality.BITS) + quality.STATS
