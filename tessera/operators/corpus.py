@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -57,6 +57,42 @@ def profile(df: DataFrame, order: str, least: int = 50, most: int = 4000) -> Dat
     return t.select(status.alias("status")).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
+def coerced(x: Column, kind: str = "string") -> Column:
+    """Null as empty, bytes as UTF-8 (what is no UTF-8 replaced), lists joined by spaces."""
+    if kind == "binary":
+        x = x.cast("string")  # Spark replaces what is no UTF-8 when it leaves the engine
+    elif kind.startswith("array"):
+        x = F.concat_ws(" ", x.cast("array<string>"))
+    return F.coalesce(x.cast("string"), F.lit(""))
+
+
+def validation(df: DataFrame, line: str, id_col: str = "id", preferred: str | None = None, least: int = 50, most: int = 4000, language: str = "lang", top: int = 20) -> DataFrame:
+    """(kind, name, n): what a corpus's rows come to.
+
+    ``rows``: all, and every row in the first bucket it falls into (empty_text, too_short, too_long, duplicate_texts,
+    kept); ``ids``: generated ones, and rows beyond the first of an id, rejected rows included; ``fields`` that gave
+    the kept texts; the ``top`` languages of kept rows.
+    """
+    rows = with_text(df, preferred).withColumn("text", F.coalesce("text", F.lit("")))
+    path = F.col("path") if "path" in df.columns else F.lit(None).cast("string")
+    rows = rows.withColumn("_sid", T.stable_id(F.col(id_col), path, F.col(line), F.col("text"))).withColumn("_gen", T.strip(F.coalesce(F.col(id_col), F.lit(""))) == "")
+    n = F.length("text")
+    early = F.when(n == 0, "empty_text").when(n < least, "too_short").when(n > most, "too_long")
+    first = rows.where(early.isNull()).groupBy(F.sha2("text", 256).alias("_k")).agg(F.min(line).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    kept = rows.join(first.select(F.col("_first").alias(line)), line, "left_semi").where(early.isNull())
+    count = F.count(F.lit(1)).alias("n")
+    out = rows.select(F.lit("rows").alias("kind"), F.coalesce(early, F.lit("_")).alias("name")).groupBy("kind", "name").agg(count).where("name <> '_'")
+    out = out.union(rows.agg(count).select(F.lit("rows"), F.lit("total_rows"), "n"))
+    sums = first.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("d"), count)
+    out = out.union(sums.where("d > 0").select(F.lit("rows"), F.lit("duplicate_texts"), "d")).union(sums.where("n > 0").select(F.lit("rows"), F.lit("kept"), "n"))
+    out = out.union(rows.where("_gen").agg(count).select(F.lit("ids"), F.lit("generated_ids"), "n"))
+    ids = rows.groupBy("_sid").agg(count)
+    out = out.union(ids.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n")).select(F.lit("ids"), F.lit("duplicate_ids"), "n"))
+    out = out.union(kept.groupBy("text_field").agg(count).select(F.lit("fields"), "text_field", "n"))
+    names = histogram(kept, language, top) if language in df.columns else kept.agg(count).select(F.lit("unknown"), "n")
+    return out.union(names.select(F.lit("languages"), "*"))
+
+
 def id_profile(df: DataFrame, id_col: str) -> DataFrame:
     """(rows, missing, duplicate): ids that are absent, and rows beyond the first of an id."""
     sizes = df.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"))
@@ -92,6 +128,21 @@ def chunked(df: DataFrame, id_col: str, chunk: int = 320, stride: int = 120, lea
     return parts.select(F.concat_ws(":", "source_index", "chunk_index").alias("id"), "source_index", F.col("chunk_index").cast("long").alias("chunk_index"), "text")
 
 
+def chunk_corpus(df: DataFrame, id_col: str, count: int, chunk: int = 320, stride: int = 120, least: int = 80) -> DataFrame:
+    """The first ``count`` windows by source and place; fewer raise."""
+    parts = chunked(df, id_col, chunk, stride, least)
+    first = parts.orderBy("source_index", "chunk_index").limit(count)
+    have = first.count()
+    if have < count:
+        raise ValueError(f"{have} chunks, not {count}")
+    return first
+
+
+def query_sample(df: DataFrame, id_col: str, n: int, seed: int = 7) -> DataFrame:
+    """n rows drawn without replacement, by md5(seed:id), in order of their ids."""
+    return shuffled(df, id_col, n, seed).orderBy(id_col)
+
+
 def split_at(df: DataFrame, id_col: str, share: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Rows below and from the cut of dense ids at ``share`` of their number."""
     cut = int(df.count() * share)

@@ -80,10 +80,12 @@ def v_sql(name="zv", of="z"):
     return f"{name} AS (SELECT vec_id, list(y ORDER BY p) AS v FROM {of} GROUP BY vec_id)"
 
 
-def near_sql(name, k, of="zv", own=True):
+def near_sql(name, k, of="zv", own=True, digits=None):
+    """``digits``: ranked by the score to so many digits, for signatures of few distinct values, whose products tie."""
     keep = "AND a.vec_id <> b.vec_id" if own else ""
+    by = "list_inner_product(a.v, b.v)" if digits is None else f"round(list_inner_product(a.v, b.v), {digits})"
     return f"""{name} AS (SELECT * FROM (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, list_inner_product(a.v, b.v) AS score,
-  row_number() OVER (PARTITION BY a.vec_id ORDER BY list_inner_product(a.v, b.v) DESC, b.vec_id) AS rank
+  row_number() OVER (PARTITION BY a.vec_id ORDER BY {by} DESC, b.vec_id) AS rank
   FROM {of} a JOIN {of} b ON a.vec_id IN (SELECT vec_id FROM q) {keep}) WHERE rank <= {k})"""
 
 

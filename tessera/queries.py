@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import corpus, search
+from tessera.plans import corpus, search, studies
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -12,8 +12,8 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {**search.QUERIES, **corpus.QUERIES}
+    return {**search.QUERIES, **corpus.QUERIES, **studies.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**search.SQL, **corpus.SQL}
+    return {**search.SQL, **corpus.SQL, **studies.SQL}
