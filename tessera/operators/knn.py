@@ -56,9 +56,9 @@ class Best:
         self.k, self.row, self.id, self.score = k, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         self.least = np.full(n, -np.inf)  # a query's k-th best score, once it has k
 
-    def near(self, scores: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places of a block of scores, its rows being queries from ``begin``, that may belong to the best."""
-        cut = self.least[begin : begin + len(scores)]
+    def near(self, scores: np.ndarray, queries: slice | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of a block of scores, its rows being these queries, that may belong to the best."""
+        cut = self.least[queries]
         some = scores >= (cut - SLACK)[:, None]
         if scores.shape[1] > self.k and some.sum() > 4 * self.k * len(scores):
             cut = np.maximum(cut, -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1])
@@ -91,7 +91,7 @@ def nearest(best: Best, ids: np.ndarray, q: np.ndarray, own: np.ndarray, x: np.n
             score = q[i : i + ROWS] @ y.T
             if exclude_self:
                 score[ids[i : i + ROWS, None] == others[None, :]] = -np.inf
-            r, c = best.near(score, i)
+            r, c = best.near(score, slice(i, i + ROWS))
             best.add(r + i, others[c], exact(q[r + i], y[c]))
 
 

@@ -76,7 +76,7 @@ def search(doc_weights: DataFrame, query_weights: DataFrame, k: int) -> DataFram
                     own = np.asarray(part.column(0))
                     score = np.round(q @ x.T, 9)
                     score[(score <= 0) | (ids[:, None] == own[None, :])] = -np.inf
-                    r, c = best.near(score, 0)
+                    r, c = best.near(score, slice(None))
                     best.add(r, own[c], score[r, c])
             yield pa.RecordBatch.from_pydict(knn.found(best, ids))
 

@@ -47,6 +47,67 @@ def embed(df: DataFrame, factory: Callable[[], Embedder], id_col: str = "doc_id"
     return df.select(F.col(id_col).cast("long"), "text").mapInArrow(run, "vec_id long, embedding array<float>")
 
 
+def pooled(output, mask: np.ndarray, prefer_pooler: bool = True) -> np.ndarray:
+    """Unit vectors from whatever a model returns for a batch: a matrix, token vectors, or a record of either.
+
+    A matrix is taken as it is; token vectors (3 axes) are averaged where the mask is 1. Of a record (mapping or
+    object) ``pooler_output`` comes first, if there is one and it is preferred, then ``last_hidden_state``; of a tuple the
+    first entry. Anything else raises.
+    """
+    get = output.get if isinstance(output, dict) else lambda name: getattr(output, name, None)
+    if isinstance(output, (tuple, list)) and len(output) and isinstance(output[0], np.ndarray):
+        x = output[0]
+    elif isinstance(output, np.ndarray):
+        x = output
+    elif prefer_pooler and get("pooler_output") is not None:
+        x = get("pooler_output")
+    elif get("last_hidden_state") is not None:
+        x = get("last_hidden_state")
+    else:
+        raise TypeError(f"no vectors in {type(output).__name__}")
+    x = np.asarray(x, np.float64)
+    if x.ndim == 1:
+        x = x[None]
+    if x.ndim == 3:
+        m = np.asarray(mask, np.float64)[..., None]
+        x = (x * m).sum(1) / np.maximum(m.sum(1), 1e-6)
+    return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+
+
+def wrapped(tokenizer: Callable, model, prefix: str = "", prefer_pooler: bool = True) -> Embedder:
+    """An embedder of a tokenizer (texts to arrays by name) and a model, of which an encoder-decoder's encoder alone runs."""
+    whole = not getattr(model, "is_encoder_decoder", False)
+    run = model if whole else model.encoder
+
+    def embed(texts: list[str]) -> np.ndarray:
+        batch = tokenizer([prefix + t for t in texts])
+        try:
+            output = run(**batch)
+        except TypeError:
+            output = run(batch["input_ids"])
+        return pooled(output, batch["attention_mask"], prefer_pooler)
+
+    return embed
+
+
+def embed_models(df: DataFrame, factories: dict[str, Callable[[], Embedder]], path: str, id_col: str = "doc_id", prefixes: dict[str, str] | None = None) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """Each model's table (vec_id, embedding) below ``path``, computed unless it is there; and what failed, by model.
+
+    A model that fails does not stop the others; when none ends well, the failures are raised.
+    """
+    spark, done, failed = df.sparkSession, {}, {}
+    for name, factory in factories.items():
+        where = f"{path}/{re.sub('[^A-Za-z0-9._-]+', '_', name)}"
+        try:
+            embed(df, factory, id_col, (prefixes or {}).get(name, "")).write.mode("ignore").parquet(where)
+            done[name] = spark.read.parquet(where)
+        except Exception as e:  # noqa: BLE001  a model's own code may raise anything
+            failed[name] = str(e).split("\n")[0]
+    if not done:
+        raise RuntimeError(f"no model could be run: {failed}")
+    return done, failed
+
+
 def mean_pool(tokens: DataFrame) -> DataFrame:
     """(vec_id, embedding): mean of the token vectors (vec_id, mask, v) with mask 1; none gives zeros."""
     long = tokens.select("vec_id", F.col("mask").cast("double").alias("mask"), F.posexplode("v").alias("d", "x"))

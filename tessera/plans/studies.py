@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.functions import vectors as V
 from tessera.operators import anchors as A
-from tessera.operators import ann, knn, learn, studies
+from tessera.operators import ann, knn, learn, models, studies
 from tessera.operators import corpus as C
 from tessera.operators import signatures as S
+from tessera.operators.index import Settings, VectorIndex
 from tessera.plans import corpus
-from tessera.plans.search import ANCHORS, SIG, TRUTH, R, U, Vectors, a_sql, near_sql, norm_sql, s_sql, v_sql, z_sql
+from tessera.plans.search import ANCHORS, SIG, TRUTH, R, U, Vectors, a_sql, near_sql, s_sql, scored, v_sql, z_sql
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -342,3 +343,21 @@ SELECT row_number() OVER (ORDER BY (p * 37) % 64 DESC, p) - 1 AS anchor_pos, vec
 def anchors_heaviest(spark, sf_dir):
     v = Vectors(spark, sf_dir)
     return A.heaviest(A.random(v.all, 64), [float(p * 37 % 64) for p in range(64)], 16).select("anchor_pos", "vec_id")
+
+
+# ------------------------------------------------------------------ the index
+@query()
+def index_ann_search(spark, sf_dir):
+    """Two-stage search of an index with inverted lists, half of whose rows were inserted after it was fitted."""
+    v = Vectors(spark, sf_dir)
+    half = F.col("vec_id") < int(v.n * 0.5)
+    index = VectorIndex.fit(v.table.where(half), Settings(ANCHORS, cells=16, probes=4)).insert(v.table.where(~half), check_ids=False)
+    return scored(index.search_ann(v.table.where(F.col("vec_id") >= v.cut), 10, 100))
+
+
+@query()
+def index_text_search(spark, sf_dir):
+    """Documents as texts, by the hashing embedder; queries are the documents whose id 100 divides."""
+    d = corpus.docs(spark, sf_dir).select("doc_id", "text")
+    index = VectorIndex.fit_texts(d, models.hashing_embedder, Settings(ANCHORS))
+    return scored(index.search_text(d.where("doc_id % 100 = 0"), 10, 100))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,10 +17,27 @@ from tessera.operators import corpus as C
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, line_no, line): lines of text files, from 1 within each file; blank lines count but are left out.
 
-    A file is one partition's work here, as a line's number depends on all before it.
+    Files are read in blocks like any others: lines are numbered within a block, and a block's first
+    number is one more than the lines of the file's blocks before it.
     """
-    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("k", "line"))
-    return rows.select("path", (F.col("k") + 1).cast("long").alias("line_no"), "line").where(X.strip(F.col("line")) != "")
+    rows = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value")
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, k = None, 0
+        for batch in batches:
+            numbers = []
+            for own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                k = k + 1 if own == at else 1
+                at = own
+                numbers.append(k)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], names=["path", "block", "value", "k"])
+
+    numbered = rows.mapInArrow(number, "path string, block long, value string, k long")
+    sizes = numbered.groupBy("path", "block").agg(F.max("k").alias("n"))  # a row per block
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.select("path", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    out = numbered.join(first, ["path", "block"]).select("path", (F.col("first") + F.col("k")).alias("line_no"), F.regexp_replace("value", "\r$", "").alias("line"))
+    return out.where(X.strip(F.col("line")) != "")
 
 
 def read_strict(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -82,6 +103,48 @@ def write_csv(rows: list[DataFrame], path: str, order: list[str] | None = None,
     both.select(*first, *sorted(set(both.columns) - set(first))).write.mode("append" if append else "overwrite").option("header", True).csv(path)
 
 
+def append_csv(df: DataFrame, path: str) -> None:
+    """Adds rows to a table of CSV files, each with its header; other columns than it has raise."""
+    spark = df.sparkSession
+    try:
+        have = spark.read.option("header", True).csv(path).columns
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e):
+            raise
+        have = df.columns
+    if have != df.columns:
+        raise ValueError(f"{path} has columns {have}, not {df.columns}")
+    df.write.mode("append").option("header", True).csv(path)
+
+
+def write_metrics(rows: list[dict], spark: SparkSession, path: str) -> None:
+    """Records of any shape as one JSON document."""
+    spark.createDataFrame([(json.dumps(rows, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_metrics(spark: SparkSession, path: str) -> list[dict]:
+    return json.loads(_whole(spark, path))
+
+
+def read_config(spark: SparkSession, path: str) -> dict:
+    """A YAML file of settings; needs PyYAML."""
+    import yaml
+
+    return yaml.safe_load(_whole(spark, path)) or {}
+
+
+def _whole(spark: SparkSession, path: str) -> str:
+    return "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())  # one small file
+
+
+def labels(df: DataFrame, id_col: str, label: str, n: int | None = None) -> DataFrame:
+    """(id, label): missing labels as ``unknown``, and so are ids from 0 to n - 1 that have no row."""
+    own = df.select(F.col(id_col), F.coalesce(F.col(label).cast("string"), F.lit("unknown")).alias("label"))
+    if n is None:
+        return own
+    return df.sparkSession.range(n).withColumnRenamed("id", id_col).join(own, id_col, "left").select(id_col, F.coalesce("label", F.lit("unknown")).alias("label"))
+
+
 def read_csv(spark: SparkSession, path: str, seed: int | None = None) -> DataFrame:
     df = spark.read.option("header", True).csv(path)
     return df if seed is None else df.withColumn("seed", F.lit(seed))
@@ -92,8 +155,10 @@ def manifest(scanned: DataFrame, kept: DataFrame, seconds: float) -> dict:
 
 
 def markdown(df: DataFrame, digits: int = 4, most: int = 1000) -> str:
-    """A small result as a Markdown table."""
-    rows = df.limit(most).collect()
+    """A small result as a Markdown table; one of over ``most`` rows raises."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
     show = lambda x: f"{x:.{digits}f}" if isinstance(x, float) else "" if x is None else str(x)
     lines = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
     return "\n".join(lines + ["| " + " | ".join(map(show, r)) + " |" for r in rows])

@@ -9,7 +9,7 @@ from tessera.functions import vectors as V
 from tessera.operators import anchors as A
 from tessera.operators import ann, corpus, drift, knn, learn, lexical, metrics, models
 from tessera.operators import signatures as S
-from tessera.operators.index import Settings, VectorIndex, search_generations
+from tessera.operators.index import Settings, VectorIndex, latency, search_generations
 
 
 @pytest.fixture(scope="module")
@@ -226,6 +226,47 @@ def test_insert_equals_fit_on_all(spark, table, tmp_path):
     assert sorted(map(tuple, merged)) == sorted((r["query_id"], r["rank"], r["doc_id"]) for r in whole.search_raw(q, 5).collect())
 
 
+def test_cells_that_are_all_probed_are_exact(spark, table, unit, tmp_path):
+    settings = Settings(16, cells=6, probes=6)
+    whole = VectorIndex.fit(table.where("vec_id < 400"), settings).insert(table.where("vec_id >= 400"))
+    q = table.where("vec_id >= 470")
+    rows = lambda df: sorted((r["query_id"], r["rank"], r["doc_id"]) for r in df.collect())
+    assert rows(whole.search_ann(q, 5, 60)) == rows(whole.search(q, 5, 60))
+    assert rows(whole.search_raw_ann(q, 5)) == rows(whole.search_raw(q, 5))
+    whole.save(str(tmp_path / "cells"))
+    back = VectorIndex.load(spark, str(tmp_path / "cells"))
+    assert back.settings == settings and rows(back.search_ann(q, 5, 60)) == rows(whole.search(q, 5, 60))
+    few = VectorIndex(Settings(16, cells=6, probes=2), whole.anchors, whole.vectors, whole.sigs, None, whole.centres)
+    found = set(rows(few.search_raw_ann(q, 5)))
+    assert 0.3 < len(found & set(rows(whole.search_raw(q, 5)))) / 150
+    with pytest.raises(ValueError):
+        VectorIndex.fit(table, Settings(4)).search_ann(q)
+
+
+def test_blocks_of_queries_probe_the_same_cells(unit, monkeypatch):
+    index, centres = ann.ivf_build(unit, 8)
+    find = lambda: sorted(map(tuple, ann.ivf_search(unit, index, centres, unit.where("vec_id < 60"), 2, 7).collect()))
+    want = find()
+    c = np.array([r["c"] for r in centres.orderBy("cell").collect()])
+    assert all(r["cell"] == int((c @ np.array(r["u"])).argmax()) for r in ann.assign(unit, centres).collect())
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 13)
+    monkeypatch.setattr(knn, "ROWS", 3)
+    assert find() == want and all(q != d for q, d, *_ in want)
+
+
+def test_texts_in_an_index(spark):
+    rows = [(k, f"word{k} word{k + 1} common") for k in range(40)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    index = VectorIndex.fit_texts(texts.where("doc_id < 30"), models.hashing_embedder, Settings(12)).insert_texts(texts.where("doc_id >= 30"))
+    found = index.search_text(texts.where("doc_id in (3, 35)"), 2, 40).where("rank = 1").collect()
+    assert {r["query_id"]: r["doc_id"] for r in found} == {3: 3, 35: 35}
+    index.embedder = None
+    with pytest.raises(ValueError):
+        index.search_text(texts)
+    took = latency(lambda: texts, 40, 1)
+    assert took["ms_per_query"] > 0
+
+
 def test_wrong_settings():
     with pytest.raises(ValueError):
         VectorIndex.fit(None, Settings(transform="other"))
@@ -299,6 +340,50 @@ def test_plug_ins(spark):
     assert {r["vec_id"]: r["embedding"] for r in models.mean_pool(tokens).collect()} == {1: [2.0], 2: [0.0]}
 
 
+def test_what_models_return(spark, tmp_path):
+    mask, tokens, flat = np.array([[1, 1], [1, 0]]), np.array([[[3.0, 0], [0, 4]], [[0, 2], [9, 9]]]), np.array([[0.0, 5], [1, 0]])
+    mean = np.array([[0.6, 0.8], [0, 1]])
+    record = type("Output", (), {"pooler_output": flat, "last_hidden_state": tokens})
+    for output, want in ((tokens, mean), ((tokens,), mean), ({"last_hidden_state": tokens}, mean), (record, [[0, 1], [1, 0]]), (flat, [[0, 1], [1, 0]])):
+        assert np.allclose(models.pooled(output, mask), want)
+    assert np.allclose(models.pooled(record, mask, prefer_pooler=False), mean) and models.pooled(np.array([3.0, 4]), mask).shape == (1, 2)
+    with pytest.raises(TypeError):
+        models.pooled("text", mask)
+
+    class Both:
+        is_encoder_decoder = True
+
+        def encoder(self, ids):  # takes no names
+            return np.array([[len(i), 1.0] for i in ids])
+
+    embed = models.wrapped(lambda t: {"input_ids": t, "attention_mask": None}, Both(), "passage: ")
+    assert np.allclose(embed(["ab"]), np.array([[11, 1]]) / np.sqrt(122))
+
+    def broken():
+        raise OSError("no such model")
+
+    docs = spark.createDataFrame([(1, "red fox")], "doc_id long, text string")
+    done, failed = models.embed_models(docs, {"a/b": models.hashing_embedder, "c": broken}, str(tmp_path))
+    assert set(done) == {"a/b"} and set(failed) == {"c"} and done["a/b"].count() == 1
+    again, _ = models.embed_models(docs, {"a/b": broken}, str(tmp_path))  # cached: not computed again
+    assert again["a/b"].count() == 1
+    with pytest.raises(RuntimeError):
+        models.embed_models(docs, {"c": broken}, str(tmp_path / "none"))
+
+
+def test_coerced_values(spark):
+    df = spark.createDataFrame([(bytearray(b"a\xc3\xa9"), ["x", None, "y"]), (None, None)], "b binary, l array<string>")
+    got = df.select(corpus.coerced(F.col("b"), "binary"), corpus.coerced(F.col("l"), "array<string>"), corpus.coerced(F.lit(None).cast("int"))).collect()
+    assert [tuple(r) for r in got] == [("a\u00e9", "x y", ""), ("", "", "")]
+
+
+def test_chunk_corpus_needs_enough(spark):
+    df = spark.createDataFrame([(1, "x" * 500), (2, "y" * 500)], "doc_id long, text string")
+    assert [r["id"] for r in corpus.chunk_corpus(df, "doc_id", 4).collect()] == ["1:0", "1:1", "1:2", "2:0"]
+    with pytest.raises(ValueError):
+        corpus.chunk_corpus(df, "doc_id", 9)
+
+
 def test_expansion(unit):
     out = corpus.expanded(unit, 700, noise=0.01)
     assert out.count() == 700 and np.allclose(np.linalg.norm(array(out), axis=1), 1) and corpus.expanded(unit, 10).count() == 10

@@ -33,6 +33,48 @@ def test_strict_and_lenient(spark, lines):
     assert {r["language"] for r in jsonl.languages_by_folder(spark, str(lines.parent.parent), SCHEMA).collect()} == {"go"}
 
 
+def test_line_numbers_over_blocks(spark, tmp_path):
+    own = [f"line {k}" if k % 7 else " " for k in range(1, 400)]
+    (tmp_path / "a.txt").write_text("\r\n".join(own))
+    (tmp_path / "b.txt").write_text("only\n")
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        rows = jsonl.numbered_lines(spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() > 1
+        got = sorted((r["path"].rsplit("/", 1)[1], r["line_no"], r["line"]) for r in rows.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert got == sorted([("a.txt", k, x) for k, x in enumerate(own, 1) if x.strip()] + [("b.txt", 1, "only")])
+
+
+def test_metrics_settings_and_labels(spark, tmp_path):
+    rows = [{"a": 1, "b": [0.5, None]}, {"c": "x"}]
+    jsonl.write_metrics(rows, spark, str(tmp_path / "m"))
+    assert jsonl.read_metrics(spark, str(tmp_path / "m")) == rows
+    (tmp_path / "config.yaml").write_text("seed: 7\nmodels:\n  - name: a\n")
+    assert jsonl.read_config(spark, str(tmp_path / "config.yaml")) == {"seed": 7, "models": [{"name": "a"}]}
+    df = spark.createDataFrame([(0, "x"), (2, None)], "k long, lang string")
+    assert sorted(map(tuple, jsonl.labels(df, "k", "lang", 4).collect())) == [(0, "x"), (1, "unknown"), (2, "unknown"), (3, "unknown")]
+    assert sorted(map(tuple, jsonl.labels(df, "k", "lang").collect())) == [(0, "x"), (2, "unknown")]
+
+
+def test_appending_to_csv(spark, tmp_path):
+    df = spark.createDataFrame([(1, "x")], "a long, b string")
+    jsonl.append_csv(df, str(tmp_path / "c"))
+    jsonl.append_csv(df, str(tmp_path / "c"))
+    assert jsonl.read_csv(spark, str(tmp_path / "c")).count() == 2
+    with pytest.raises(ValueError):
+        jsonl.append_csv(df.drop("b"), str(tmp_path / "c"))
+    with pytest.raises(ValueError):
+        jsonl.markdown(spark.range(5), most=4)
+
+
+def test_titles_and_ordered_scans(spark, tmp_path):
+    df = spark.createDataFrame([("1", " A ", "b "), ("2", None, "c"), ("3", "d", None)], "_id string, title string, text string")
+    assert {r["_id"]: r["text"] for r in jsonl.titled(df).collect()} == {"1": "A \nb", "2": "c", "3": "d"}
+
+
 def test_missing_texts(spark):
     df = spark.createDataFrame([(1, "x"), (2, None)], "k long, text string")
     assert [r["text"] for r in jsonl.load_texts(df, 2, "k", missing="empty").orderBy("k").collect()] == ["x", ""]
