@@ -90,9 +90,39 @@ FROM b
 """
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+# components: the smallest id of the transitive closure of the links
+OP5_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE len(w) WHEN 0 THEN [] WHEN 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS own FROM w),
+x AS (SELECT doc_id, len(own) AS n, unnest(own) AS shingle FROM s),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, any_value(a.n) AS nu, any_value(b.n) AS nv, count(*) AS c
+  FROM x a JOIN x b ON a.shingle = b.shingle AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY 1, 2),
+l AS (SELECT u, v FROM p WHERE 100 * c >= 80 * (nu + nv - c)),
+e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+r(node, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.node, e.v FROM r JOIN e ON e.u = r.other),
+m AS (SELECT node, min(other) AS component_id FROM r GROUP BY 1)
+SELECT s.doc_id, len(own) AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN m ON m.node = s.doc_id
+"""
+
+BASE_SQL = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (SELECT doc_id, label, unnest(list_filter(range(1, len(w) + 1), lambda i: w[i : i + len(phrase) - 1] = phrase)) - 1 AS at
+  FROM w, (SELECT unnest([['mit', 'license'], ['apache', 'license'], ['general', 'public', 'license']]) AS phrase, unnest(['mit', 'apache', 'gpl']) AS label)),
+g AS (SELECT doc_id, count(*) AS n_base, min(at) AS first_word, max(at) AS last_word, array_to_string(list_sort(list_distinct(list(label))), ',') AS base_labels FROM p GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels FROM w LEFT JOIN g USING (doc_id)
+"""
+
+
+def license_base_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op10_license_scan that SQL can express."""
+    return op10_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_language_id, op4_line_dedup, op5_near_dedup, op6_quality, op7_exact_dedup, op8_warc_zip, op9_decontamination, op10_license_scan)}
+    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_language_id, op4_line_dedup, op5_near_dedup, op6_quality, op7_exact_dedup, op8_warc_zip, op9_decontamination, op10_license_scan, license_base_places)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL, "op8_warc_zip": OP8_SQL}
+    return {"op5_near_dedup": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op8_warc_zip": OP8_SQL, "license_base_places": BASE_SQL}
