@@ -108,9 +108,9 @@ SELECT s.doc_id, len(own) AS n_shingles, component_id, s.doc_id = component_id A
 
 BASE_SQL = rf"""
 WITH w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-p AS (SELECT doc_id, label, unnest(list_filter(range(1, len(w) + 1), lambda i: w[i : i + len(phrase) - 1] = phrase)) - 1 AS at
+p AS (SELECT doc_id, label, unnest(list_filter(range(1, len(w) + 1), lambda i: w[i : i + len(phrase) - 1] = phrase)) - 1 AS place
   FROM w, (SELECT unnest([['mit', 'license'], ['apache', 'license'], ['general', 'public', 'license']]) AS phrase, unnest(['mit', 'apache', 'gpl']) AS label)),
-g AS (SELECT doc_id, count(*) AS n_base, min(at) AS first_word, max(at) AS last_word, array_to_string(list_sort(list_distinct(list(label))), ',') AS base_labels FROM p GROUP BY 1)
+g AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, array_to_string(list_sort(list_distinct(list(label))), ',') AS base_labels FROM p GROUP BY 1)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels FROM w LEFT JOIN g USING (doc_id)
 """
 
