@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
 from tessera.operators import anchors as A
-from tessera.operators import ann, drift, knn, learn, metrics
+from tessera.operators import ann, drift, graph, knn, learn, metrics
 from tessera.operators import signatures as S
 
 ANCHORS, POOLS = 32, (25, 50, 100, 250)
@@ -499,3 +499,19 @@ def lsh_search(spark, sf_dir):
 def rp_forest_search(spark, sf_dir):
     v = Vectors(spark, sf_dir)
     return scored(ann.forest_search(v.all, v.queries, ann.forest_build(v.all, trees=8), 2, 50))
+
+
+@query()
+def graph_search(spark, sf_dir):
+    v = Vectors(spark, sf_dir)
+    return scored(graph.search(graph.build(v.all), v.queries, 100, 10))
+
+
+@query()
+def graph_two_stage(spark, sf_dir):
+    """A graph over signatures, of rows that were there and rows inserted later; candidates ranked by the vectors."""
+    v = Vectors(spark, sf_dir)
+    sigs = v.sigs("row_zscore").cache()
+    rows = sigs.select("vec_id", F.col("sig").alias("u"))
+    index = graph.insert(graph.build(rows.where(F.col("vec_id") < v.cut)), rows.where(F.col("vec_id") >= v.cut))
+    return scored(graph.two_stage(index, sigs, v.all, v.queries, 120, 100, 10))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.functions import vectors as V
 from tessera.operators import anchors as A
-from tessera.operators import ann, corpus, drift, knn, learn, lexical, metrics, models
+from tessera.operators import ann, corpus, drift, graph, knn, learn, lexical, metrics, models
 from tessera.operators import signatures as S
 from tessera.operators.index import Settings, VectorIndex, latency, search_generations
 
@@ -111,6 +111,27 @@ def test_approximate_search_has_exact_scores(unit, kind):
     assert recall == 1 if kind == "ivf" else recall > 0.5  # all clusters probed
 
 
+def test_graphs_find_what_exact_search_finds(unit):
+    q = unit.where("vec_id >= 400")
+    truth = knn.top_k(unit, q, 10).cache()
+    whole = graph.build(unit, shard=200).cache()
+    assert whole.select("shard").distinct().count() == 3 and whole.count() == unit.count()
+    found = graph.search(whole, q, 60, 10)
+    assert metrics.overlap(truth, found, 10).first()[0] >= 0.95 and found.where("query_id = doc_id").count() == 0
+    exact = {(r["query_id"], r["doc_id"]): r["score"] for r in truth.collect()}
+    assert all(r["score"] == exact[r["query_id"], r["doc_id"]] for r in found.collect() if (r["query_id"], r["doc_id"]) in exact)
+    grown = graph.insert(graph.build(unit.where("vec_id < 300"), shard=200), unit.where("vec_id >= 300"), shard=200)
+    assert grown.count() == unit.count() and metrics.overlap(truth, graph.search(grown, q, 60, 10), 10).first()[0] >= 0.95
+
+
+def test_graphs_of_equal_and_single_rows(spark):
+    rows = spark.createDataFrame([(k, [1.0, 0.0]) for k in range(50)] + [(99, [0.0, 1.0])], "vec_id long, u array<double>")
+    found = graph.search(graph.build(rows, 4), rows.where("vec_id in (0, 99)"), 60, 60).collect()
+    assert {(r["query_id"], r["doc_id"]) for r in found if r["score"] == 1.0} == {(0, k) for k in range(1, 50)}
+    one = graph.build(rows.where("vec_id = 99"))
+    assert [r["doc_id"] for r in graph.search(one, rows.where("vec_id = 0"), 5, 3).collect()] == [99] and graph.search(one, rows.limit(0), 5, 3).count() == 0
+
+
 # ---------------------------------------------------------------- anchors
 def test_smaller_anchor_sets_are_prefixes(unit):
     big, small = ([r["vec_id"] for r in A.random(unit, n).orderBy("anchor_pos").collect()] for n in (16, 8))
