@@ -184,3 +184,15 @@ def best(rows: DataFrame, by: list[str], value: str, n: int, ties: list[str]) ->
     """The n best rows of each group."""
     w = Window.partitionBy(*by).orderBy(F.desc(value), *ties)
     return rows.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= n)
+
+
+def pivoted(rows: DataFrame, by: list[str], column: str, values: list, value: str) -> DataFrame:
+    """A column per value of ``column``, with the mean of ``value``."""
+    wide = rows.groupBy(*by).pivot(column, values).agg(F.avg(value))
+    return wide.select(*by, *[rounded(F.col(f"`{v}`")).alias(f"at_{v}") for v in values])
+
+
+def sampled_pairs(n: int, size: int, spark, seed: int = 7) -> DataFrame:
+    """(i, j): ``size`` draws of two of n rows by hashes of the draw's number, those of a row with itself left out."""
+    drawn = lambda s: F.pmod(F.xxhash64("id", F.lit(seed + s)), F.lit(n))
+    return spark.range(size).select(drawn(0).alias("i"), drawn(1).alias("j")).where("i <> j")

@@ -90,6 +90,18 @@ def wrapped(tokenizer: Callable, model, prefix: str = "", prefer_pooler: bool =
     return embed
 
 
+def padded(encode: Callable[[str], list[int]], begin: int, end: int, pad: int, most: int) -> Callable[[list[str]], dict[str, np.ndarray]]:
+    """A batch tokenizer from one that gives a text's ids: framed by marks, cut to ``most`` with them, padded to the longest."""
+
+    def tokenize(texts: list[str]) -> dict[str, np.ndarray]:
+        rows = [[begin, *encode(t)[: max(0, most - 2)], end] for t in texts]
+        width = max(map(len, rows), default=0)
+        ids = np.array([r + [pad] * (width - len(r)) for r in rows], np.int64).reshape(len(rows), width)
+        return {"input_ids": ids, "attention_mask": np.array([[1] * len(r) + [0] * (width - len(r)) for r in rows], np.int64).reshape(len(rows), width)}
+
+    return tokenize
+
+
 def embed_models(df: DataFrame, factories: dict[str, Callable[[], Embedder]], path: str, id_col: str = "doc_id", prefixes: dict[str, str] | None = None) -> tuple[dict[str, DataFrame], dict[str, str]]:
     """Each model's table (vec_id, embedding) below ``path``, computed unless it is there; and what failed, by model.
 

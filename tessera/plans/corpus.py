@@ -266,3 +266,8 @@ def paired_delta(spark, sf_dir):
 @query(f"WITH {_RUNS} SELECT strategy, model, seed, row_number() OVER w AS place, {R('mean_recall')} AS mean_recall FROM r WINDOW w AS (PARTITION BY strategy ORDER BY mean_recall DESC, model, seed) QUALIFY place <= 3")
 def best_configs(spark, sf_dir):
     return metrics.best(_runs(spark, sf_dir), ["strategy"], "mean_recall", 3, ["model", "seed"]).select("strategy", "model", "seed", "place", V.rounded(F.col("mean_recall")).alias("mean_recall"))
+
+
+@query(f"WITH {_RUNS} SELECT model, " + ", ".join(f"{R(f'avg(mean_recall) FILTER (seed = {k})')} AS at_{k}" for k in (0, 1, 2)) + " FROM r GROUP BY 1")
+def strategy_pivot(spark, sf_dir):
+    return metrics.pivoted(_runs(spark, sf_dir), ["model"], "seed", [0, 1, 2], "mean_recall")

@@ -81,6 +81,26 @@ def languages_by_folder(spark: SparkSession, path: str, schema: T.StructType | s
     return rows.withColumn("language", F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/[^/]+$", 1))
 
 
+def ordered_parquet(spark: SparkSession, files: list[str], limit: int, keep=None) -> DataFrame:
+    """The first ``limit`` rows of the files in the order given, that pass ``keep``; later files are not read.
+
+    Files are counted one by one until they hold enough rows, and only those are in the plan.
+    """
+    used, have = [], 0
+    for file in files:
+        rows = spark.read.parquet(file)
+        have += (rows if keep is None else rows.where(keep)).count()
+        used.append(file)
+        if have >= limit:
+            break
+    out = None
+    for k, file in enumerate(used):
+        one = spark.read.parquet(file).withColumns({"_file": F.lit(k), "_row": F.col("_metadata.row_index")})
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    out = out if keep is None else out.where(keep)
+    return out.orderBy("_file", "_row").limit(limit).drop("_file", "_row")
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 

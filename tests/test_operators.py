@@ -392,6 +392,16 @@ def test_what_models_return(spark, tmp_path):
         models.embed_models(docs, {"c": broken}, str(tmp_path / "none"))
 
 
+def test_padding():
+    got = models.padded(lambda t: [ord(c) for c in t], 1, 2, 0, 5)(["abcdef", "x", ""])
+    assert got["input_ids"].tolist() == [[1, 97, 98, 99, 2], [1, 120, 2, 0, 0], [1, 2, 0, 0, 0]] and got["attention_mask"].sum(1).tolist() == [5, 3, 2]
+
+
+def test_pairs_of_two_rows(spark):
+    got = metrics.sampled_pairs(7, 500, spark).collect()
+    assert 350 < len(got) < 500 and {i for i, _ in got} == set(range(7)) and all(i != j for i, j in got)
+
+
 def test_coerced_values(spark):
     df = spark.createDataFrame([(bytearray(b"a\xc3\xa9"), ["x", None, "y"]), (None, None)], "b binary, l array<string>")
     got = df.select(corpus.coerced(F.col("b"), "binary"), corpus.coerced(F.col("l"), "array<string>"), corpus.coerced(F.lit(None).cast("int"))).collect()

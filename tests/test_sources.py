@@ -59,6 +59,16 @@ def test_metrics_settings_and_labels(spark, tmp_path):
     assert sorted(map(tuple, jsonl.labels(df, "k", "lang").collect())) == [(0, "x"), (2, "unknown")]
 
 
+def test_ordered_parquet_stops_early(spark, tmp_path):
+    files = []
+    for k in range(3):
+        files.append(str(tmp_path / f"{k}.parquet"))
+        spark.createDataFrame([(10 * k + i, i % 2) for i in range(5)], "id long, odd int").coalesce(1).write.parquet(files[-1])
+    files = [files[1], files[0], str(tmp_path / "missing.parquet")]  # never opened
+    assert [r["id"] for r in jsonl.ordered_parquet(spark, files, 7).collect()] == [10, 11, 12, 13, 14, 0, 1]
+    assert [r["id"] for r in jsonl.ordered_parquet(spark, files, 3, "odd = 1").collect()] == [11, 13, 1]
+
+
 def test_appending_to_csv(spark, tmp_path):
     df = spark.createDataFrame([(1, "x")], "a long, b string")
     jsonl.append_csv(df, str(tmp_path / "c"))
