@@ -9,8 +9,13 @@ import urllib.error
 import urllib.request
 import zipfile
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from tessera.operators import corpus
+from tessera.sources import npy
+
 
 def get(url: str, tries: int = 8, wait: float = 1.0, open_=urllib.request.urlopen) -> bytes:
     """The body; code 429 is tried again after 1, 2, 3 ... waits."""
@@ -75,3 +80,16 @@ def unpack(archive: str, folder: str) -> str:
             z.extractall(folder)
         open(marker, "w").close()
     return folder
+
+
+def stratified_corpus(parts: dict[str, DataFrame], path: str, per_part: int, total: int, seed: int = 7) -> DataFrame:
+    """A sampled corpus of several paged sources (offset, row), kept as a table at ``path`` and made only once.
+
+    Each row gets its part's name and an id; of the first 3 * per_part rows of each part, per_part are drawn, and
+    of all those ``total``.
+    """
+    both = None
+    for name, rows in parts.items():
+        own = rows.select(F.lit(name).alias("language"), F.concat_ws(":", F.lit(name), F.lpad(F.col("offset").cast("string"), 12, "0")).alias("id"), "row")
+        both = own if both is None else both.union(own)
+    return npy.cached(corpus.stratified_sample(both, "language", "id", per_part, total, seed), path)

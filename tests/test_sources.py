@@ -153,3 +153,13 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     assert len(got) == 500 and all(np.allclose(got[k], want[k]) for k in want)
     with pytest.raises(ValueError):
         append.append_signatures(None, anchors, "zscore", out, out)
+
+
+def test_stratified_corpus_is_made_once(spark, tmp_path):
+    rows = lambda n: spark.range(n).select(F.col("id").alias("offset"), F.lit("{}").alias("row"))
+    path = str(tmp_path / "corpus")
+    first = rest.stratified_corpus({"go": rows(50), "java": rows(5)}, path, 4, 7)
+    got = [(r["language"], r["id"]) for r in first.collect()]
+    assert len(got) == 7 and sum(a == "go" for a, _ in got) <= 4 and all(int(i.split(":")[1]) < 12 for a, i in got if a == "go")
+    again = rest.stratified_corpus({"go": rows(0)}, path, 4, 7)
+    assert sorted(map(tuple, again.select("language", "id").collect())) == sorted(got)
