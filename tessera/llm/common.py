@@ -64,12 +64,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def reading(df: DataFrame, *frames: DataFrame) -> DataFrame:
+    """``df``, which reads the frames' tables: releasing it releases them too."""
+    df.tessera_reads = [*getattr(df, "tessera_reads", []), *frames]
+    return df
+
+
 def release(*frames: DataFrame) -> None:
-    """Delete materialised tables that no later plan reads."""
+    """Delete materialised tables that no later plan reads, and those that the frames read."""
     for df in frames:
         path = getattr(df, "tessera_path", None)
         if path:
             delete(df.sparkSession, path)
+        release(*getattr(df, "tessera_reads", []))
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -89,7 +96,7 @@ def map_arrow(df: DataFrame, run: Callable, schema: str | StructType) -> DataFra
     outlive tasks, so at the end of each they give memory that is free back to the system.
     """
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(str(conf.get(name)).rstrip("bB")) > BATCH_BYTES:
+    if not 0 < size_in_bytes(conf.get(name)) <= BATCH_BYTES:
         conf.set(name, str(BATCH_BYTES))
 
     def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,6 +108,12 @@ def map_arrow(df: DataFrame, run: Callable, schema: str | StructType) -> DataFra
     return df.mapInArrow(lean, schema)
 
 
+def size_in_bytes(text: str) -> int:
+    """A size as Spark writes it (``64m``, ``4096``, ``4kb``) in bytes; what is no such size counts as 0."""
+    found = re.fullmatch(r"\s*(\d+)\s*([kmgtp]?)b?\s*", str(text).lower())
+    return int(found[1]) << 10 * " kmgtp".index(found[2] or " ") if found else 0
+
+
 def give_back() -> None:
     """Return this process's free memory to the system, as far as its C library can."""
     gc.collect()
@@ -173,7 +186,7 @@ class WordTable:
     starts anew between texts; results never depend on what it holds.
     """
 
-    def __init__(self, compute: Callable[[list], list], limit: int = 150_000, dtype=np.int32):
+    def __init__(self, compute: Callable[[list], list], limit: int = 300_000, dtype=np.int32):
         self.compute, self.limit, self.dtype = compute, limit, dtype
         self.reset()
 

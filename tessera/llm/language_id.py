@@ -90,7 +90,7 @@ class Model:
                 out[full, :-1] = np.add.reduceat(own, (np.cumsum(size) - size)[full], axis=0)
             return out.ravel(), np.full(len(chunks), out.shape[1])
 
-        return common.WordTable(compute, limit=200_000, dtype=np.float32)
+        return common.WordTable(compute, limit=400_000, dtype=np.float32)
 
     def predict(self, table: common.WordTable, text: str) -> tuple[str, float]:
         width = len(self.languages) + 1

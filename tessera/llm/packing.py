@@ -26,6 +26,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,8 +38,6 @@ END_ID = 2
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 #: Sequences that are balanced against each other: the ids in memory are this times CAPACITY.
 BLOCK_SEQUENCES = 256
-#: Characters that str.split takes as white space and the tokenizer does not.
-ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 TYPES = {"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "doc_tokens": pa.int64(), "sequence_id": pa.int64(), "offset": pa.int64(), "sequence_length": pa.int64(), "ids": pa.binary()}
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, sequence_length long, ids binary"
@@ -58,7 +57,7 @@ PRETOKEN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xf
 #: Marks a chunk that goes to the tokenizer as it is; chunks hold no white space.
 ASIS = " "
 #: Chunks, and pre-tokens, whose ids a worker keeps.
-WORDS = 200_000
+WORDS = 400_000
 
 
 class Encoder:
@@ -104,13 +103,21 @@ class Encoder:
         return [ids[slice(*next(spans))] if not p.startswith(ASIS) else self.tokenizer.encode(p[len(ASIS) :], add_special_tokens=False).ids for p in parts]
 
     def __call__(self, text: str) -> np.ndarray:
-        if ODD_SPACE.search(text):
-            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
+        return self.all(pa.array([text]))[0]
+
+    def all(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text, null as empty; the texts' distinct chunks are looked up, each once."""
+        chunks = pc.ascii_split_whitespace(pc.fill_null(texts, ""))  # the tokenizer separates there too
+        coded = chunks.flatten().dictionary_encode()
+        at = np.asarray(coded.indices)
         gc.disable()  # long lists of strings and no cycles
         try:
-            return self.words.gather(self.words.rows(text.split()))
+            rows = self.words.rows(coded.dictionary.to_pylist())[at]
         finally:
             gc.enable()
+        ids = self.words.gather(rows)
+        ends = np.concatenate([[0], np.cumsum(self.words.size[rows], dtype=np.int64)])[np.asarray(chunks.offsets) - chunks.offsets[0].as_py()].tolist()
+        return [ids[a:b] for a, b in zip(ends, ends[1:])]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -197,8 +204,8 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int
             held = rest
 
         for batch in common.blocks(batches):
-            for name, text in zip(batch.column(0).to_pylist(), common.texts(batch)):
-                own = np.append(encode(text), END_ID).astype("<u4")
+            for name, own in zip(batch.column(0).to_pylist(), encode.all(batch.column(1))):
+                own = np.append(own, END_ID).astype("<u4")
                 names.append(name), ids.append(own), begun.append(0)
                 held += len(own)
                 while held >= block:

@@ -61,6 +61,15 @@ def test_shared_folder_comes_from_the_session(spark):
     assert common.shared_dir(spark) == common.shared_dir(spark) != ""
 
 
+def test_batches_are_small_whatever_the_session_says(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    assert [common.size_in_bytes(x) for x in ("64m", "4096", "4kb", "67108864b", "-1b", "x")] == [64 << 20, 4096, 4096, 1 << 26, 0, 0]
+    for given, want in (("64m", common.BATCH_BYTES), ("1m", 1 << 20)):
+        spark.conf.set(name, given)
+        common.map_arrow(spark.range(1), lambda batches: batches, "id long")
+        assert common.size_in_bytes(spark.conf.get(name)) == want
+
+
 @pytest.mark.parametrize("kind", [toxicity, quality])
 def test_classifiers(spark, docs, none, labels, kind):
     model = kind.train(docs, labels, F.lit(True))

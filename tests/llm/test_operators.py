@@ -666,3 +666,17 @@ def test_pipeline_by_brute_force(spark):
     items = [whole(r["text"]) for r in common.table(spark, sf, "benchmark").collect()]
     texts = {i: t for i, t in texts.items() if not any(x in whole(t) for x in items)}
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, sf).select("doc_id").distinct().collect()} == set(texts)
+
+
+# ---------------------------------------------------------------- word tables
+@pytest.mark.parametrize("limit", [1000, 20])
+def test_word_tables_give_what_was_computed(limit):
+    """Ragged rows of words that come up once, often, or after the table began anew, against computing each time."""
+    rng = random.Random(limit)
+    own = lambda w: [int(w), *range(int(w) % 4)] if int(w) % 5 else []
+    table = common.WordTable(lambda words: [own(w) for w in words], limit)
+    for _ in range(300):
+        words = [str(min(rng.randrange(60), rng.randrange(400))) for _ in range(rng.randrange(30))]
+        rows = table.rows(words)
+        assert table.gather(rows).tolist() == [x for w in words for x in own(w)] and len(table.index) <= limit + 30
+        assert table.size[rows].tolist() == [len(own(w)) for w in words]
