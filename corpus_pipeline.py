@@ -2,7 +2,13 @@
 
 Every stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and returns a
 DataFrame; ``run`` writes each stage's result as Parquet to the shared folder and reads it again.
-All stages but the last return the columns of ``documents``.
+All stages but the last return the columns of ``documents``; other columns come along unchanged.
+
+Defined results: null texts count as empty. Quality judges every row by itself, empty texts by their
+statistics and repeated rows alike. Exact dedup keeps one empty text; near-dedup keeps all that are left
+without words, as they link with nothing. Rows without id, which no decision can name, are judged by quality and
+stay in the three stages after it. Rows that share an id stay or go together in those. Ties go to the smallest
+id. Long texts are read whole. An empty table passes all stages and gives no rows.
 """
 
 from __future__ import annotations
@@ -57,7 +63,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES, 1):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES):
-            docs = common.materialize(docs, f"pipeline-{name}")
-    return docs
+        kept = stage(spark, docs, sf_dir)
+        if k == len(STAGES):
+            return kept
+        before, docs = docs, common.materialize(kept, f"pipeline-{name}")
+        common.release(kept, before)  # nothing reads the stage before any more

@@ -173,7 +173,7 @@ def _runs(size: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, int]:
 
 
 def index(docs: DataFrame, terms: list[bytes]) -> tuple[DataFrame, int, np.ndarray]:
-    """(doc_id, seq) of all documents, the corpus's passages, and how many of them hold each term."""
+    """A table with (doc_id, seq) of all documents among its rows; the corpus's passages, and how many of them hold each term."""
     place = {w: k for k, w in enumerate(terms)}
     types = {"doc_id": pa.int64(), "seq": pa.binary(), "term": pa.int64(), "n": pa.int64()}
 
@@ -199,7 +199,7 @@ def index(docs: DataFrame, terms: list[bytes]) -> tuple[DataFrame, int, np.ndarr
     table = common.materialize(common.map_arrow(_texts(docs), run, "doc_id long, seq binary, term long, n long"), "leak-terms")
     got = table.where(F.col("term").isNotNull()).groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row per benchmark term
     found = {r["term"]: r["n"] for r in got}
-    return table.where(F.col("seq").isNotNull()).select("doc_id", "seq"), found.get(-1, 0), np.array([found.get(k, 0) for k in range(len(terms))], np.int64)
+    return table, found.get(-1, 0), np.array([found.get(k, 0) for k in range(len(terms))], np.int64)
 
 
 def sketch(sequences: DataFrame, idf: np.ndarray, omega: np.ndarray) -> np.ndarray:
@@ -396,7 +396,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     out = None
     for items in item_blocks(benchmark):
         one = block_matches(docs, items)
-        out = one if out is None else out.union(one)
+        out = one if out is None else common.reading(out.union(one), out, one)
     return out if out is not None else docs.sparkSession.createDataFrame([], SCHEMA)
 
 
@@ -405,7 +405,8 @@ def block_matches(docs: DataFrame, items: Items) -> DataFrame:
     terms = items.terms
     place = {w: k for k, w in enumerate(terms)}
     targets = [np.array([place[w] for w in own], np.int32) for own in items.words]
-    sequences, n, df = index(docs, terms)
+    table, n, df = index(docs, terms)
+    sequences = table.where(F.col("seq").isNotNull()).select("doc_id", "seq")
     rows = projection(sequences, n, df, targets)
     latent = _unit(np.stack([rows[t].sum(0) for t in targets])).astype(np.float32)
     shared = docs.sparkSession.sparkContext.broadcast((rows, latent, targets, items.ids, screen(targets, df)))  # bounded by MOST_ITEMS and MOST_CELLS
@@ -457,10 +458,12 @@ def block_matches(docs: DataFrame, items: Items) -> DataFrame:
                     out[key].append(x)
             yield common.arrow_batch(out, types)
 
-    return common.map_arrow(sequences, run, SCHEMA)
+    return common.reading(common.map_arrow(sequences, run, SCHEMA), table)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item, with all their columns."""
-    gone = matches(docs, benchmark).where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return common.keep_ids(docs, common.materialize(gone, "leaks"), "doc_id", "left_anti")
+    found = matches(docs, benchmark)
+    gone = common.materialize(found.where(F.col("doc_id").isNotNull()).select("doc_id").distinct(), "leaks")
+    common.release(found)
+    return common.reading(common.keep_ids(docs, gone, "doc_id", "left_anti"), gone)

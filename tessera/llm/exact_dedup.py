@@ -95,10 +95,13 @@ def groups(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     found = in_bucket(rows, slots, depth).join(index.hint("merge"), ["bucket", "hash"])
     hit = F.filter("chain", lambda x: x["text_sha256"] == F.col("text_sha256"))[0]
     found = found.select("doc_id", hit.alias("hit"), "text_sha256")
-    return found.select("doc_id", F.col("hit.keep_id").alias("keep_id"), F.col("hit.group_size").alias("group_size"), F.coalesce(F.col("doc_id").eqNullSafe(F.col("hit.keep_id")), F.lit(False)).alias("kept"), "text_sha256")
+    out = found.select("doc_id", F.col("hit.keep_id").alias("keep_id"), F.col("hit.group_size").alias("group_size"), F.coalesce(F.col("doc_id").eqNullSafe(F.col("hit.keep_id")), F.lit(False)).alias("kept"), "text_sha256")
+    return common.reading(out, index, slots)
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns."""
-    gone = groups(docs).where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return common.keep_ids(docs, common.materialize(gone, "exact-gone"), "doc_id", "left_anti")
+    found = groups(docs)
+    gone = common.materialize(found.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "exact-gone")
+    common.release(found)
+    return common.reading(common.keep_ids(docs, gone, "doc_id", "left_anti"), gone)

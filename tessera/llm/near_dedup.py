@@ -53,7 +53,9 @@ HASHES = 2 * TABLES * WIDTH
 #: pair that needs no second partner; rows that a task holds.
 SMALL, LIKELY, SURE, HELD = 8, 40, 54, 100_000
 #: Sets of a bucket, about, that a task compares at once with as many orphans.
-PART = 1024
+PART = 768
+#: What a set does in a square: it asks, it is one of the others, or both.
+ASKS, OTHER, BOTH = 1, 2, 3
 #: Bits of the smallest and the largest bitmap.
 FEWEST_BITS, MOST_BITS = 256, 1 << 16
 
@@ -70,7 +72,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 def word_table() -> common.WordTable:
     """Words to 64-bit hashes."""
-    return common.WordTable(lambda words: (np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), np.ones(len(words), np.int64)), dtype=np.uint64)
+    return common.WordTable(lambda words: (np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), np.ones(len(words), np.int64)), limit=100_000, dtype=np.uint64)
 
 
 def shingles(table: common.WordTable, text: bytes, k: int) -> np.ndarray:
@@ -347,22 +349,24 @@ def orphans(pairs: DataFrame, links: DataFrame, named: DataFrame) -> DataFrame:
 def partners(classes: DataFrame, large: DataFrame, nodes: DataFrame, named: DataFrame, percent: int) -> DataFrame:
     """(u, v, led), u < v: of the nodes and all sets of other components in their large buckets, the pairs that the bitmaps allow."""
     member = large.select("key", F.explode("nodes").alias("node")).distinct()
-    own = common.materialize(member.join(nodes.hint("merge"), "node"), "near-asks")
     count = lambda df, what, c: df.groupBy("key").agg(F.ceil(F.sum(what) / PART).cast("int").alias(c))
-    squares = count(own.withColumn("one", F.lit(1)), "one", "rows").join(count(large, F.size("nodes"), "columns").hint("merge"), "key")
-    squares = common.materialize(squares, "near-squares")
-    part = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
-    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    columns = ["key", "i", "j", "asks", "node"]
-    asked = own.join(squares.hint("merge"), "key").withColumns({"asks": F.lit(1), "i": part("rows"), "j": every("columns")}).select(columns)
-    around = member.join(squares.hint("merge"), "key").withColumns({"asks": F.lit(0), "j": part("columns"), "i": every("rows")}).select(columns)
+    asks = member.join(nodes.hint("merge"), "node").withColumn("one", F.lit(1))
+    squares = common.materialize(count(asks, "one", "rows").join(count(large, F.size("nodes"), "columns").hint("merge"), "key"), "near-squares")
     info = classes.select("node", F.col("n_shingles").alias("n"), "bits").join(named.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rows = asked.union(around).join(info.hint("merge"), "node").select(*columns, "n", "component", "bits")
+    info = info.join(nodes.withColumn("asks", F.lit(True)).hint("merge"), "node", "left")
+    rows = member.join(squares.hint("merge"), "key").join(info.hint("merge"), "node")
+    # a set stands in every square of its column, and one that asks in every square of its row as well
+    part = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
+    every = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    place = lambda i, j, role: F.struct(i.alias("i"), j.alias("j"), role.alias("role"))
+    rows = rows.withColumns({"asks": F.coalesce("asks", F.lit(False)), "p": part("rows"), "q": part("columns")})
+    down = F.transform(every("rows"), lambda i: place(i, F.col("q"), F.when(F.col("asks") & (i == F.col("p")), BOTH).otherwise(OTHER)))
+    across = F.transform(F.filter(every("columns"), lambda j: F.col("asks") & (j != F.col("q"))), lambda j: place(F.col("p"), j, F.lit(ASKS)))
+    rows = rows.select("key", F.explode(F.concat(down, across)).alias("at"), "node", "n", "component", "bits").select("key", "at.i", "at.j", "at.role", "node", "n", "component", "bits")
 
     def compare(x: np.ndarray, bitmaps: list[bytes]) -> tuple[list[int], list[int]]:
-        """x: rows asks, node, n, component of one square."""
-        asks = np.flatnonzero(x[0] == 1)
-        others = np.flatnonzero(x[0] == 0)
+        """x: rows role, node, n, component of one square."""
+        asks, others = np.flatnonzero(x[0] != OTHER), np.flatnonzero(x[0] != ASKS)
         u, v = [], []
         right = by_width([bitmaps[k] for k in others.tolist()]).items()
         for w, (i, a) in by_width([bitmaps[k] for k in asks.tolist()]).items():
@@ -405,7 +409,7 @@ def partners(classes: DataFrame, large: DataFrame, nodes: DataFrame, named: Data
     dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     found = common.map_arrow(dealt, run, "u long, v long").distinct().withColumn("led", F.lit(1).cast("long"))
     found = common.materialize(found, "near-more")
-    common.release(own, squares)
+    common.release(squares)
     return found
 
 
@@ -457,10 +461,13 @@ def components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Dat
     some = sk.where("n_shingles > 0").select("doc_id", "n_shingles", "set_hash").join(found.hint("merge"), "set_hash")
     none = sk.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
     out = some.select("doc_id", "n_shingles", "component").union(none)
-    return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(False)).alias("kept"))
+    out = out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(False)).alias("kept"))
+    return common.reading(out, sk, found)
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The documents that stay, one of each component, with all their columns."""
-    gone = components(docs, k, percent).where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return common.keep_ids(docs, common.materialize(gone, "near-gone"), "doc_id", "left_anti")
+    found = components(docs, k, percent)
+    gone = common.materialize(found.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "near-gone")
+    common.release(found)
+    return common.reading(common.keep_ids(docs, gone, "doc_id", "left_anti"), gone)

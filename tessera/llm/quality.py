@@ -52,7 +52,7 @@ def statistics(text: bytes, words: list[bytes], distinct: int, n_chars: int | No
 
 def word_table() -> common.WordTable:
     edge = b".,;:!?'\"()[]{}-*#$%&|_<>/\\@+=~^`"
-    return common.WordTable(lambda words: (np.fromiter((zlib.crc32(w.lower().strip(edge) or b"\x00" + w[:1]) & (1 << BITS) - 1 for w in words), np.int32, len(words)), np.ones(len(words), np.int64)))
+    return common.WordTable(lambda words: (np.fromiter((zlib.crc32(w.lower().strip(edge) or b"\x00" + w[:1]) & (1 << BITS) - 1 for w in words), np.int32, len(words)), np.ones(len(words), np.int64)), limit=100_000)
 
 
 def features(table: common.WordTable, text: bytes, n_chars: int | None) -> tuple[np.ndarray, list[float]]:
