@@ -72,6 +72,27 @@ def test_tiles_give_what_broadcast_blocks_give(unit, monkeypatch):
         assert [d for q, d, *_ in sorted(want, key=lambda r: (r[0], r[3])) if q == ids[i]] == [ids[j] for j in order]
 
 
+def test_tiles_of_queries_drawn_from_the_rows_by_a_join(unit, monkeypatch):
+    ids = unit.where("vec_id < 30").select("vec_id")
+    want = sorted(map(tuple, knn.two_stage(unit, S.signatures(unit, A.with_vectors(A.random(unit, 8), unit)), unit.join(ids, "vec_id", "left_semi"), 9, 3).collect()))
+    monkeypatch.setattr(knn, "BROADCAST_QUERIES", 10)  # failed: both sides of the squares were the same frame
+    assert sorted(map(tuple, knn.two_stage(unit, S.signatures(unit, A.with_vectors(A.random(unit, 8), unit)), unit.join(ids, "vec_id", "left_semi"), 9, 3).collect())) == want
+
+
+def test_blocks_are_ordered_seldom(monkeypatch):
+    """What a tile shows waits until as much waits as a block holds; the k best are those of one sort."""
+    rng = np.random.default_rng(3)
+    q, x, calls, order = rng.normal(size=(600, 8)), np.repeat(rng.normal(size=(2000, 8)), 2, axis=0), [], knn.Best._order
+    monkeypatch.setattr(knn, "COLUMNS", 64)
+    monkeypatch.setattr(knn.Best, "_order", lambda self, own: (calls.append(1), order(self, own))[1], raising=True)
+    best = knn.Best(len(q), 40)
+    knn.nearest(best, np.arange(len(q)) - 1000, q, np.arange(len(x)), x, True)
+    got = sorted(zip(*best.held()))
+    score = knn.exact(np.repeat(q, len(x), axis=0), np.tile(x, (len(q), 1))).reshape(len(q), -1)
+    assert got == sorted((i, j, score[i, j]) for i in range(len(q)) for j in np.lexsort((np.arange(len(x)), -score[i]))[:40])
+    assert len(calls) < 40  # before: one per tile, 126
+
+
 def test_k_beyond_the_corpus(unit):
     some = unit.where("vec_id < 4")
     assert knn.top_k(some, some, 10).count() == 12 and knn.top_k(some, some.limit(0), 3).count() == 0
