@@ -93,6 +93,28 @@ def test_blocks_are_ordered_seldom(monkeypatch):
     assert len(calls) < 40  # before: one per tile, 126
 
 
+def test_places_are_ranks_of_the_whole_order(unit, monkeypatch):
+    both = unit.union(unit.where("vec_id < 40").withColumn("vec_id", F.col("vec_id") + 1000)).cache()  # equal vectors tie
+    monkeypatch.setattr(knn, "QUERY_TILE", 13)
+    monkeypatch.setattr(knn, "CORPUS_TILE", 90)
+    whole = {(q, d): r for q, d, _, r in knn.top_k(both, both.where("vec_id < 20"), 10_000).collect()}
+    targets = sorted(whole)[:: 97]
+    got = knn.places(both, both.sparkSession.createDataFrame(targets, "query_id long, doc_id long").dropDuplicates(["query_id"])).collect()
+    assert len(got) == 20 and all(whole[q, d] == r for q, d, r in got) and max(r for *_, r in got) > 250
+
+
+def test_mrr_full_counts_ranks_beyond_1001(spark, tmp_path):
+    from tessera.plans import search
+
+    rng = np.random.default_rng(5)
+    rows = [(i, 0, rng.normal(size=48).tolist()) for i in range(4000)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    v = search.Vectors(spark, str(tmp_path))
+    deep = [r["rank"] for r in knn.places(v.sigs("row_zscore"), v.truth(1), "sig").collect()]
+    assert max(deep) > 1001  # they counted 0
+    assert search.mrr_full(spark, str(tmp_path)).first()[0] == round(sum(1 / r for r in deep) / len(deep), 6)
+
+
 def test_k_beyond_the_corpus(unit):
     some = unit.where("vec_id < 4")
     assert knn.top_k(some, some, 10).count() == 12 and knn.top_k(some, some.limit(0), 3).count() == 0
