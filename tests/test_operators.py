@@ -115,6 +115,26 @@ def test_mrr_full_counts_ranks_beyond_1001(spark, tmp_path):
     assert search.mrr_full(spark, str(tmp_path)).first()[0] == round(sum(1 / r for r in deep) / len(deep), 6)
 
 
+def _of_cells(index, asked, unit, pool):
+    pairs = asked.withColumnRenamed("vec_id", "query_id").join(index, "cell").select("query_id", F.col("vec_id").alias("doc_id")).where("query_id <> doc_id").distinct()
+    return sorted((q, d, r) for q, d, r in knn.ranked(knn.rescore(pairs, unit, unit).withColumn("score", F.round("score", 12)), pool).select("query_id", "doc_id", "rank").collect())
+
+
+def test_leaves_and_cells_meet_without_pairs(unit, monkeypatch):
+    """What a join of cells gives, with leaves cut into squares; copies make a large leaf."""
+    both = unit.union(unit.where("vec_id < 3").crossJoin(unit.sparkSession.range(1000, 1040)).select((F.col("id") * 3 + F.col("vec_id")).alias("vec_id"), "u")).cache()
+    q = both.where("vec_id % 11 = 0")
+    monkeypatch.setattr(ann, "LEAF", 16)
+    forest = ann.forest_build(both, trees=3, leaf=30)
+    got = ann.forest_search(both, q, forest, 2, 9)
+    assert sorted(map(tuple, got.select("query_id", "doc_id", "rank").collect())) == _of_cells(ann.forest_cells(both, forest), ann.forest_cells(q, forest, 2), both, 9)
+    monkeypatch.setattr(knn, "QUERY_TILE", 13)
+    got = ann.lsh_search(both, q, 64, 9, tables=3, bits=3)
+    assert sorted(map(tuple, got.select("query_id", "doc_id", "rank").collect())) == _of_cells(ann.lsh_cells(both, 64, 3, 3), ann.lsh_cells(q, 64, 3, 3), both, 9)
+    for found in (got, ann.forest_search(both, q, forest, 2, 9)):
+        assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString().split("FlatMapCoGroups")[0]  # pairs were joined with their vectors
+
+
 def test_k_beyond_the_corpus(unit):
     some = unit.where("vec_id < 4")
     assert knn.top_k(some, some, 10).count() == 12 and knn.top_k(some, some.limit(0), 3).count() == 0
