@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,11 +17,38 @@ from tessera.operators import knn
 
 #: Weights in the matrix of a block of queries, and of a block of documents.
 QUERY_CELLS, ROW_CELLS = 8_000_000, 2_000_000
+#: Texts that are counted before their rows go on.
+TEXTS = 256
+TOKEN = re.compile(T.TOKEN)
 
 
 def counts(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, term, tf)."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.explode(T.tokenize(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(doc_id, term, tf). A text is counted by itself, so no task holds more than a batch; only rows of an id that occurs twice are grouped."""
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(begin, TEXTS)
+                each = [_tokens(x) for x in part.column(1).to_pylist()]
+                ids = part.column(0).take(pa.array(np.repeat(np.arange(len(each)), [len(c) for c in each])))
+                terms, tf = ([x for c in each for x in f(c)] for f in (dict.keys, dict.values))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(terms, pa.string()), pa.array(tf, pa.int64())], names=["doc_id", "term", "tf"])
+
+    rows = own.where("text IS NOT NULL").mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, term string, tf long")
+    return rows if _unique(own) else rows.groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"))
+
+
+def _tokens(text: str) -> dict[str, int]:
+    out: dict[str, int] = {}
+    for x, n in Counter(TOKEN.findall(text)).items():
+        x = x.lower()
+        out[x] = out.get(x, 0) + n
+    return out
+
+
+def _unique(docs: DataFrame) -> bool:
+    return not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL").limit(1).count()
 
 
 def frequencies(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

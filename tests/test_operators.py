@@ -383,6 +383,16 @@ def test_tokens_and_jaccard(spark):
     assert r["a"] == ["ab_1", "42", "ab_1"] and r["j"] == 0
 
 
+def test_counts_need_no_shuffle(spark):
+    docs = spark.createDataFrame([(1, "B b a_1 7"), (2, "b \u212a\u0130x1 cc"), (3, None), (4, "")], "doc_id long, text string")
+    got = lexical.counts(docs)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == [(1, "7", 1), (1, "a_1", 1), (2, "cc", 1), (2, "x1", 1)]
+    assert sorted(map(tuple, lexical.frequencies(docs.where("doc_id = 1").union(docs.where("doc_id = 1"))).collect())) == [("7", 1, 2), ("a_1", 1, 2)]
+    names = docs.select(F.concat(F.lit("d"), "doc_id").alias("name"), "text")
+    assert {r["doc_id"] for r in lexical.counts(names, "name").collect()} == {"d1", "d2"}
+
+
 def test_lexical_search_by_numpy(spark, monkeypatch):
     rng = np.random.default_rng(3)
     docs = spark.createDataFrame([(i, " ".join(f"w{x}" for x in rng.integers(0, 12, 6))) for i in range(60)] + [(60, "other"), (61, None)], "doc_id long, text string")
