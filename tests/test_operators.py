@@ -383,6 +383,37 @@ def test_tokens_and_jaccard(spark):
     assert r["a"] == ["ab_1", "42", "ab_1"] and r["j"] == 0
 
 
+def test_lexical_search_scores_few_pairs(spark, monkeypatch):
+    """Folds of terms bound the scores, so only pairs near the k best are scored; coded rows are those of the weights."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1000, (60, 30))  # ten near copies of each
+    texts = [" ".join(f"w{x}" for x in [*base[i // 10, 3:], *rng.integers(0, 1000, 3)]) for i in range(600)]
+    docs = spark.createDataFrame([*enumerate(texts), (600, "none"), (601, None)], "doc_id long, text string").coalesce(1)
+    w = lexical.fitted_weights(docs, 1000, 2).cache()
+    at = {t: k for k, t in enumerate(sorted({r["term"] for r in w.collect()}))}
+    x = np.zeros((602, len(at)))
+    for r in w.collect():
+        x[r["doc_id"], at[r["term"]]] = r["w"]
+    score = np.round(x @ x.T, 9)
+    np.fill_diagonal(score, -1)
+    want = [(q, k + 1, int(d), score[q, d]) for q in range(0, 600, 7) for k, d in enumerate(np.lexsort((np.arange(602), -score[q]))[:5]) if score[q, d] > 0]
+    monkeypatch.setattr(lexical, "FOLDS", 300)
+    rows, width = lexical.fitted_rows(docs, 1000, 2)
+    got = lexical.search_rows(rows, rows.where("doc_id % 7 = 0 AND doc_id < 600"), width, 5)
+    assert sorted(map(tuple, got.select("query_id", "rank", "doc_id", "score").collect())) == want and width == len(at) > 300
+    held = sorted(map(tuple, rows.collect()))
+    size = np.array([len(r[1]) // 4 for r in held])
+    p, v = (np.frombuffer(b"".join(r[k] for r in held), kind) for k, kind in ((1, np.int32), (2, np.float64)))
+    q = np.zeros((len(held), width))
+    q[np.repeat(np.arange(len(held)), size), p] = v
+    fold, ids, scored = lexical.folds(size, p, v, width), np.array([r[0] for r in held]), []
+    assert sorted(set(fold.tolist())) == list(range(300))
+    own = lexical.products
+    monkeypatch.setattr(lexical, "products", lambda *a: scored.append(len(a[-1])) or own(*a))
+    lexical._nearest(lexical.knn.Best(len(held), 5), ids, q, lexical.lengths(size, p, v, fold), ids, size, p, v, fold)
+    assert sum(scored) < len(held) ** 2 / 10
+
+
 def test_counts_need_no_shuffle(spark):
     docs = spark.createDataFrame([(1, "B b a_1 7"), (2, "b \u212a\u0130x1 cc"), (3, None), (4, "")], "doc_id long, text string")
     got = lexical.counts(docs)
