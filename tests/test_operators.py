@@ -522,3 +522,13 @@ def test_chunk_corpus_needs_enough(spark):
 def test_expansion(unit):
     out = corpus.expanded(unit, 700, noise=0.01)
     assert out.count() == 700 and np.allclose(np.linalg.norm(array(out), axis=1), 1) and corpus.expanded(unit, 10).count() == 10
+
+
+def test_signatures_are_made_once(spark, sf):
+    """Not once per block of queries: what is scanned is cached."""
+    from tessera.plans.search import Vectors
+
+    v = Vectors(spark, sf)
+    for found in (v.near(v.sigs("rank"), 5), v.truth(5)):
+        assert "InMemoryTableScan" in found._jdf.queryExecution().executedPlan().toString()
+    spark.catalog.clearCache()
