@@ -167,8 +167,7 @@ def kmeans(vectors: DataFrame, count: int, boundary: bool = False, seed: int = S
     rows, centres = _kmeans(vectors, count, seed)
     c = rows.sparkSession.createDataFrame([(k, list(map(float, x))) for k, x in enumerate(centres)], "cluster int, c array<double>")
     near = rows.join(F.broadcast(c), "cluster").withColumn("s", V.dot(F.col("u"), F.col("c")))
-    w = Window.partitionBy("cluster").orderBy(F.asc("s") if boundary else F.desc("s"), "vec_id")
-    best = near.withColumn("r", F.row_number().over(w)).where("r = 1")
+    best = near.groupBy("cluster").agg(F.min(F.struct(F.col("s") if boundary else -F.col("s"), "vec_id"))["vec_id"].alias("vec_id"))  # no row is shuffled
     return unique_fill([numbered(best, F.col("cluster"))], vectors, count, seed)
 
 

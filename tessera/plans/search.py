@@ -240,8 +240,9 @@ def anchors_kmeans_boundary(spark, sf_dir):
 
 @query()
 def anchors_stratified_kmeans(spark, sf_dir):
-    v = Vectors(spark, sf_dir)
-    return _placed(A.stratified_kmeans(v.all.join(v.table.select("vec_id", F.col("label").alias("stratum")), "vec_id"), ANCHORS))
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    rows = table.select("vec_id", V.l2_normalize(V.doubles("embedding")).alias("u"), F.col("label").alias("stratum"))
+    return _placed(A.stratified_kmeans(rows.cache(), ANCHORS))
 
 
 @query()

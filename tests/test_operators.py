@@ -532,3 +532,16 @@ def test_signatures_are_made_once(spark, sf):
     for found in (v.near(v.sigs("rank"), 5), v.truth(5)):
         assert "InMemoryTableScan" in found._jdf.queryExecution().executedPlan().toString()
     spark.catalog.clearCache()
+
+
+def test_medoids_shuffle_no_rows(spark, monkeypatch):
+    """A cluster's medoid is found on the map side; equal rows go by their ids."""
+    from tessera.operators import anchors as A
+
+    rows = spark.createDataFrame([(5, [1.0, 0.0], 0), (3, [1.0, 0.0], 0), (1, [0.6, 0.8], 0), (4, [0.0, 1.0], 1), (2, [-1.0, 0.0], 1)], "vec_id long, u array<double>, cluster int")
+    monkeypatch.setattr(A, "_kmeans", lambda *a: (rows, np.array([[1.0, 0.0], [0.0, 1.0]])))
+    monkeypatch.setattr(A, "unique_fill", lambda parts, *a: parts[0])
+    for boundary, want in ((False, [(0, 3), (1, 4)]), (True, [(0, 1), (1, 2)])):
+        found = A.kmeans(rows, 2, boundary)
+        assert "partial_min" in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, found.collect())) == want
