@@ -103,7 +103,7 @@ class VectorIndex:
         if self.centres is None:
             raise ValueError("the index has no cells")
         centres = self.centres.where(F.col("space") == space)
-        return ann.cell_search(ann.assign(rows, centres), centres, q, self.settings.probes, k, exclude_self=False)
+        return ann.cell_search(ann.assign(rows, centres).cache(), centres, q, self.settings.probes, k, exclude_self=False)
 
     def search_relative(self, queries: DataFrame, k: int = 10) -> DataFrame:
         return knn.top_k(self.sigs, self.signatures(knn.unit(queries)), k, exclude_self=False, vec="sig")

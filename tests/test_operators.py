@@ -338,6 +338,63 @@ def test_blocks_of_queries_probe_the_same_cells(unit, monkeypatch):
     assert find() == want and all(q != d for q, d, *_ in want)
 
 
+class Captured:
+    """Stands for rows: keeps the function that a search sends to the tasks."""
+
+    def __init__(self, spark):
+        self.sparkSession = spark
+
+    def where(self, *_):
+        return self
+
+    select = where
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self.sparkSession.createDataFrame([], schema)
+
+
+def peak(f):
+    """MB that a call holds at most, in numpy and in Arrow."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    usual = pa.default_memory_pool()
+    pool = pa.proxy_memory_pool(usual)
+    pa.set_memory_pool(pool)
+    tracemalloc.start()
+    try:
+        f()
+        return (tracemalloc.get_traced_memory()[1] + pool.max_memory()) / 1e6
+    finally:
+        tracemalloc.stop()
+        pa.set_memory_pool(usual)
+
+
+def test_cell_search_gathers_few_pairs_at_once(spark):
+    import pyarrow as pa
+
+    rng, held = np.random.default_rng(3), Captured(spark)
+    x = rng.normal(size=(10_000, 64))
+    q = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x[:1023])], "vec_id long, u array<double>")
+    ann.cell_search(held, spark.createDataFrame([(0, [1.0] * 64)], "cell long, c array<double>"), q, 1, 100)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(x))), pa.array(list(x)), pa.array(np.zeros(len(x), np.int64))], names=["vec_id", "u", "cell"])
+    assert peak(lambda: list(held.run(iter([batch])))) < 80
+
+
+def test_squares_hold_rows_once(spark, monkeypatch):
+    import pyarrow as pa
+
+    rng, sent = np.random.default_rng(3), []
+    monkeypatch.setattr(knn, "squares", lambda rows, asked, run, schema: sent.append(run))
+    knn._tiled(None, None, 5, True)
+    x = rng.normal(size=(65_536, 64))
+    table = pa.table({"vec_id": np.arange(len(x)), "u": pa.array(list(x))})
+    table = pa.concat_tables([table.slice(i, 10_000) for i in range(0, len(x), 10_000)])
+    assert peak(lambda: sent[0](table.slice(0, 100), table)) < 40
+
+
 def test_texts_in_an_index(spark):
     rows = [(k, f"word{k} word{k + 1} common") for k in range(40)]
     texts = spark.createDataFrame(rows, "doc_id long, text string")
