@@ -1,10 +1,12 @@
 """Navigable neighbour graphs over shards of rows: an approximate index that a cluster can build and search.
 
-Rows are dealt to shards of about SHARD rows by a hash of their ids, so that a shard's graph is built and
-searched by one task and its size is bounded; rows that come later make shards of their own. In a shard every
+Rows are dealt to shards by a hash of their ids, so that a shard's graph is built and searched by one task and its
+size is bounded; rows that come later make shards of their own. A walk takes nearly as long in a small shard as in a
+large one, and every query walks all: so there are SHARDS at most until they hold LARGEST rows. In a shard every
 row is linked with near rows that are not already reached through a nearer link (so links lead in different
 directions), both ways. A search walks each shard's graph from a few entry rows, keeping the ``width`` best rows
-seen, and brings the shards' best together. All queries of a block walk at once, as array operations.
+seen, and brings the shards' best together. All queries of a block walk at once, as array operations, and each goes
+on from its STEPS best open rows; walks compare in single precision where that is safe, scores are exact.
 """
 
 from __future__ import annotations
@@ -13,14 +15,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import knn
 
-SHARD, NEIGHBOURS, ENTRIES = 4096, 16, 8
-#: Queries that walk at once.
-WALKERS = 256
+SHARD, SHARDS, LARGEST, NEIGHBOURS, ENTRIES = 4096, 16, 32_768, 16, 8
+#: Queries that walk at once; rows that each goes on from; products that are held while links are sought.
+WALKERS, STEPS, CELLS = 256, 8, 2_097_152
 
 SCHEMA = "shard long, vec_id long, u array<double>, links array<int>"
 
@@ -29,8 +32,9 @@ def neighbours(x: np.ndarray, count: int) -> list[np.ndarray]:
     """Links of each row: of its 3 * count nearest those nearer to it than to a link before them, and the way back."""
     n = len(x)
     out: list[list[int]] = [[] for _ in range(n)]
-    for begin in range(0, n, knn.ROWS):
-        score = x[begin : begin + knn.ROWS] @ x.T
+    step = max(1, min(knn.ROWS, CELLS // max(1, n)))
+    for begin in range(0, n, step):
+        score = x[begin : begin + step] @ x.T
         score[np.arange(len(score)), np.arange(begin, begin + len(score))] = -np.inf
         wide = min(n - 1, 3 * count)
         if wide < 1:
@@ -38,9 +42,9 @@ def neighbours(x: np.ndarray, count: int) -> list[np.ndarray]:
         near = np.argpartition(-score, wide - 1, axis=1)[:, :wide]
         near = np.take_along_axis(near, np.argsort(-np.take_along_axis(score, near, 1), axis=1, kind="stable"), 1)
         for i, own in enumerate(near):
-            apart, kept = x[own] @ x[own].T, []
+            apart, close, kept = (x[own] @ x[own].T).tolist(), score[i, own].tolist(), []
             for k in range(len(own)):
-                if len(kept) < count and all(apart[k, j] < score[i, own[k]] for j in kept):
+                if len(kept) < count and all(apart[k][j] < close[k] for j in kept):
                     kept.append(k)
             for k in range(len(own)):  # equal rows hide each other: fill up with the nearest
                 if len(kept) >= count // 2:
@@ -63,16 +67,20 @@ def neighbours(x: np.ndarray, count: int) -> list[np.ndarray]:
 
 
 def build(vectors: DataFrame, count: int = NEIGHBOURS, shard: int = SHARD, first: int = 0) -> DataFrame:
-    """(shard, vec_id, u, links): links are places within the shard's rows in order of their ids; shards from ``first``."""
+    """(shard, vec_id, u, links): links are places within the shard's rows in order of their ids; shards from ``first``.
+
+    Cached, as every block of queries walks it. ``shard``: rows of a shard while there are SHARDS or fewer.
+    """
     n = vectors.count()
-    dealt = vectors.select((F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-n // shard)))) + first).alias("shard"), "vec_id", "u")
+    size = max(shard, min(LARGEST, -(-n // SHARDS)))
+    dealt = vectors.select((F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-n // size)))) + first).alias("shard"), "vec_id", "u")
 
     def run(part: pa.Table) -> pa.Table:
         part = part.sort_by("vec_id")
         links = neighbours(knn.matrix(part.column(2)), count)
         return part.append_column("links", pa.array(links, pa.list_(pa.int32())))
 
-    return dealt.groupBy("shard").applyInArrow(run, SCHEMA)
+    return dealt.groupBy("shard").applyInArrow(run, SCHEMA).cache()
 
 
 def insert(graph: DataFrame, vectors: DataFrame, count: int = NEIGHBOURS, shard: int = SHARD) -> DataFrame:
@@ -83,27 +91,41 @@ def insert(graph: DataFrame, vectors: DataFrame, count: int = NEIGHBOURS, shard:
 
 def walk(x: np.ndarray, links: np.ndarray, entries: np.ndarray, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and scores (queries, width) of the best rows met; places are -1 where fewer were."""
-    rows = np.arange(len(q))
-    seen = np.zeros((len(q), len(x)), bool)
-    place, score, done = np.full((len(q), width), -1), np.full((len(q), width), -np.inf), np.zeros((len(q), width), bool)
-    entries = entries[:width]
-    seen[:, entries] = True
+    entries, steps = entries[:width], min(width, STEPS)
+    seen = np.full((len(q), len(x)), -1, np.int32)
+    seen[:, entries] = 0
+    seen = seen.ravel()
+    place, score, done = np.full((len(q), width), -1), np.full((len(q), width), -np.inf, x.dtype), np.zeros((len(q), width), bool)
     place[:, : len(entries)], score[:, : len(entries)] = entries, q @ x[entries].T
     while True:
         open_ = np.where(done, -np.inf, score)
-        best = open_.argmax(1)
-        going = np.flatnonzero(open_[rows, best] > -np.inf)
-        if not len(going):
+        best = np.argpartition(-open_, steps - 1, axis=1)[:, :steps]
+        row, k = np.nonzero(np.take_along_axis(open_, best, 1) > -np.inf)
+        if not len(row):
             return place, score
-        done[going, best[going]] = True
-        near = links[place[going, best[going]]]
-        new = (near >= 0) & ~seen[going[:, None], near]
-        seen[going[:, None], np.where(near >= 0, near, place[going, best[going]][:, None])] = True
-        fresh = np.where(new, np.einsum("qmd,qd->qm", x[near], q[going]), -np.inf)
-        both, at, old = np.concatenate([score[going], fresh], 1), np.concatenate([place[going], near], 1), np.concatenate([done[going], np.zeros(near.shape, bool)], 1)
+        best = best[row, k]
+        done[row, best] = True
+        near = links[place[row, best]]
+        who, near = np.repeat(row, near.shape[1])[(linked := near.ravel() >= 0)], near.ravel()[linked]
+        at = who * len(x) + near
+        new = seen[at] < 0
+        who, near, at = who[new], near[new], at[new]
+        seen[at] = number = np.arange(len(at), dtype=np.int32)
+        new = seen[at] == number  # a row that several lead to counts once
+        who, near = who[new], near[new]
+        fresh = np.einsum("md,md->m", x[near], q[who])
+        new = fresh > score.min(1)[who]
+        who, near, fresh = who[new], near[new], fresh[new]
+        going, first, many = np.unique(who, return_index=True, return_counts=True)
+        if not len(going):
+            continue
+        line, column = np.repeat(np.arange(len(going)), many), np.arange(len(who)) - np.repeat(first, many)
+        wide = (len(going), int(many.max()))
+        places, scores = np.full(wide, -1), np.full(wide, -np.inf, x.dtype)
+        places[line, column], scores[line, column] = near, fresh
+        both, at, old = np.concatenate([score[going], scores], 1), np.concatenate([place[going], places], 1), np.concatenate([done[going], np.zeros(wide, bool)], 1)
         top = np.argpartition(-both, width - 1, axis=1)[:, :width]
         score[going], place[going], done[going] = (np.take_along_axis(y, top, 1) for y in (both, at, old))
-        place[going] = np.where(np.isfinite(score[going]), place[going], -1)
 
 
 def search(graph: DataFrame, queries: DataFrame, width: int, k: int, exclude_self: bool = True) -> DataFrame:
@@ -121,19 +143,20 @@ def _walker(shared, width: int, k: int, exclude_self: bool):
         ids, q = shared.value
         part = part.sort_by("vec_id")
         own, x = np.asarray(part.column(1)), knn.matrix(part.column(2))
-        sizes = np.array([len(r) for r in part.column(3).to_pylist()])
+        sizes = np.asarray(pc.list_value_length(part.column(3).combine_chunks()))
         links = np.full((len(x), max(1, sizes.max(initial=1))), -1)
         links[np.arange(links.shape[1])[None, :] < sizes[:, None]] = np.asarray(part.column(3).combine_chunks().flatten())
         entries = np.unique(np.linspace(0, len(x) - 1, ENTRIES).astype(np.int64))
         best = knn.Best(len(ids), k)
+        a, b, _ = knn.screens(q, x)
         for begin in range(0, len(ids), WALKERS):
-            place, _ = walk(x, links, entries, q[begin : begin + WALKERS], max(width, k + 1))
+            place, _ = walk(b, links, entries, a[begin : begin + WALKERS], max(width, k + 1))
             r, c = np.nonzero(place >= 0)
             at = place[r, c]
             if exclude_self:
                 other = ids[begin + r] != own[at]
                 r, at = r[other], at[other]
-            best.add(begin + r, own[at], knn.exact(q[begin + r], x[at]))
+            best.add(begin + r, own[at], knn.exact(q, x, begin + r, at))
         return pa.Table.from_pydict(knn.found(best, ids))
 
     return run

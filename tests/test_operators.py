@@ -187,6 +187,14 @@ def test_graphs_find_what_exact_search_finds(unit):
     assert grown.count() == unit.count() and metrics.overlap(truth, graph.search(grown, q, 60, 10), 10).first()[0] >= 0.95
 
 
+def test_graphs_are_few_and_built_once(unit, monkeypatch):
+    monkeypatch.setattr(graph, "SHARDS", 2, raising=False)
+    built = graph.build(unit, shard=50)
+    assert built.select("shard").distinct().count() == 2 and built.storageLevel.useMemory
+    q = unit.where("vec_id >= 400")
+    assert metrics.overlap(knn.top_k(unit, q, 10), graph.search(built, q, 60, 10), 10).first()[0] >= 0.95
+
+
 def test_graphs_of_equal_and_single_rows(spark):
     rows = spark.createDataFrame([(k, [1.0, 0.0]) for k in range(50)] + [(99, [0.0, 1.0])], "vec_id long, u array<double>")
     found = graph.search(graph.build(rows, 4), rows.where("vec_id in (0, 99)"), 60, 60).collect()
